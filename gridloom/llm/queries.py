@@ -15,6 +15,23 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embeddings
+
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(node, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.root FROM reach r JOIN link l ON l.a = r.node),
+comp AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN comp ON node = vec_id LEFT JOIN n ON a = vec_id
+"""
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -80,8 +97,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_packing": op3_packing, "op4_quality": op4_quality, "op5_substring": op5_substring, "op7_bpe": op7_bpe, "op9_minhash": op9_minhash, "op10_secrets": op10_secrets}
+    return {"op1_embeddings": op1_embeddings, "op3_packing": op3_packing, "op4_quality": op4_quality, "op5_substring": op5_substring, "op7_bpe": op7_bpe, "op9_minhash": op9_minhash, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring": OP5_SQL, "op9_minhash": OP9_SQL}
+    return {"op1_embeddings": OP1_SQL, "op5_substring": OP5_SQL, "op9_minhash": OP9_SQL}
