@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .graph import components
-from .shared import deal, stored
+from .shared import bounded_batches, deal, stored
 from .text import coded, hashed, mixed, ragged, slices, windows, words_of
 
 PERMUTATIONS, BANDS, ROWS, BITS = 128, 24, 5, 2
@@ -319,6 +319,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: int = 80, hot: in
     nothing. A null doc_id has no component and is kept. Rows that share a doc_id are judged each by its own text;
     texts whose smallest doc_id is the same are one node. Further columns of docs are not read.
     """
+    bounded_batches(docs.sparkSession)
     marks = stored(signed(docs.select("doc_id", "text"), n), "signed")
     full = marks.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["fp1", "fp2", "n_shingles"]

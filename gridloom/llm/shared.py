@@ -38,3 +38,10 @@ def dropped(df: DataFrame) -> None:
 def deal(spark: SparkSession) -> int:
     """Number of partitions that the session gives to shuffles: sized with the data by whoever runs the job."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Lets the session hand Python workers Arrow batches of at most `most` bytes (or one row): texts can be very long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).lower().rstrip("b")) > most:
+        spark.conf.set(key, f"{most}b")

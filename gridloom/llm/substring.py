@@ -24,12 +24,12 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import deal, stored
+from .shared import bounded_batches, deal, stored
 from .text import coded, covered, hashed, ragged, slices, windows, words_of
 
 WINDOW = 13
 #: Bytes of text of the blocks whose windows are packed together.
-BLOCK = 6 << 20
+BLOCK = 3 << 20
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -98,8 +98,8 @@ ANSWER = pa.schema([("block", pa.int64()), *((n, pa.binary()) for n in ("at", "i
 def repeated(blobs: DataFrame) -> DataFrame:
     """Rows (block, at, ids, starts, keys): packed places of the windows that also begin in a smaller document.
 
-    All entries of a hash are in one partition, which holds its entries together: as many as all windows over the number
-    of shuffle partitions. Tables of blocks pass through.
+    All entries of a hash are in one partition, which holds its entries together: a quarter of all windows over the
+    number of shuffle partitions. Tables of blocks pass through.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +190,8 @@ def dedup(docs: DataFrame, *, k: int = WINDOW, keep: tuple[str, ...] = (), verba
     each other.
     """
     spark = docs.sparkSession
-    parts = deal(spark)
+    bounded_batches(spark)
+    parts = 4 * deal(spark)
     found = stored(repeated(window_blobs(docs, k, parts).repartitionById(parts, F.col("deal"))), "repeats")
     kept = [f"_k{i}" for i in range(len(keep))]
 
