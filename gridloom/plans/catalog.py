@@ -1,17 +1,178 @@
-"""Driver queries of the spatial operators and their SQL."""
+"""Driver queries of the spatial operators and their SQL: plain theta joins over the same derived rectangles."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import geometry
+from ..functions.predicates import register, valid
+from ..operators import index, partition
+from ..operators.join import as_rects, nearest, spatial_join
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+RECTS_A = """SELECT p_partkey AS id, CAST(p_partkey*7919%10000 AS DOUBLE) AS low0, CAST(p_partkey*7919%10000 + p_size AS DOUBLE) AS high0,
+ CAST(p_partkey*6151%10000 AS DOUBLE) AS low1, CAST(p_partkey*6151%10000 + p_size AS DOUBLE) AS high1 FROM {part}"""
+RECTS_B = """SELECT o_orderkey AS id, CAST(o_orderkey*3571%10000 AS DOUBLE) AS low0, CAST(o_orderkey*3571%10000 + 1 + o_orderkey%40 AS DOUBLE) AS high0,
+ CAST(o_custkey*4813%10000 AS DOUBLE) AS low1, CAST(o_custkey*4813%10000 + 1 + o_custkey%40 AS DOUBLE) AS high1 FROM {orders}"""
+POINTS = """SELECT event_id AS id, CAST(event_id*2969%10000 AS DOUBLE) AS x, CAST(user_id*1543%10000 + event_id%100 AS DOUBLE) AS y FROM {events}"""
+#: A grid over the whole map for the statistics queries, whose rows depend on it.
+MAP = partition.Grid(0.0, 10064.0, 0.0, 10128.0, 16, 16)
+REACH = 25.0
+
+
+def rects_a(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql(RECTS_A.format(part="{part}"), part=spark.read.parquet(f"{d}/part.parquet"))
+
+
+def rects_b(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql(RECTS_B.format(orders="{orders}"), orders=spark.read.parquet(f"{d}/orders.parquet"))
+
+
+def points(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql(POINTS.format(events="{events}"), events=spark.read.parquet(f"{d}/events.parquet"))
+
+
+def few(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as rectangles: the small side of the strategies that compare all pairs."""
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    at = lambda c, m, w: (F.col(c) * m % 10000 + w).cast("double")
+    return s.select(F.col("s_suppkey").alias("id"), at("s_suppkey", 7919, 0).alias("low0"), at("s_suppkey", 7919, 300).alias("high0"), at("s_suppkey", 6151, 0).alias("low1"), at("s_suppkey", 6151, 300).alias("high1"))
+
+
+FEW = """SELECT s_suppkey AS id, CAST(s_suppkey*7919%10000 AS DOUBLE) AS low0, CAST(s_suppkey*7919%10000 + 300 AS DOUBLE) AS high0,
+ CAST(s_suppkey*6151%10000 AS DOUBLE) AS low1, CAST(s_suppkey*6151%10000 + 300 AS DOUBLE) AS high1 FROM supplier"""
+
+
+def _join(spark: SparkSession, d: str, right: Callable = rects_b, left: Callable = rects_a, **options) -> DataFrame:
+    return spatial_join(left(spark, d), right(spark, d), **options)
+
+
+def pip(spark: SparkSession, d: str, **options) -> DataFrame:
+    return spatial_join(as_rects(points(spark, d)), rects_a(spark, d), **options)
+
+
+def diamonds(spark: SparkSession, d: str) -> DataFrame:
+    """Polygons: the diamonds inside rects_a, parsed from text."""
+    a = rects_a(spark, d)
+    mx, my = (F.col("low0") + F.col("high0")) / 2, (F.col("low1") + F.col("high1")) / 2
+    wkt = F.format_string("POLYGON((%s %s, %s %s, %s %s, %s %s, %s %s))", *(c.cast("string") for c in (F.col("low0"), my, mx, F.col("low1"), F.col("high0"), my, mx, F.col("high1"), F.col("low0"), my)))
+    return a.select("id", geometry.ring(wkt).alias("ring"))
+
+
+def pip_polygon(spark: SparkSession, d: str) -> DataFrame:
+    return geometry.points_in_polygons(points(spark, d).withColumn("x", F.col("x") + 0.25).withColumn("y", F.col("y") + 0.125), diamonds(spark, d))
+
+
+def sql_join(spark: SparkSession, d: str) -> DataFrame:
+    register(spark)
+    box = lambda t: ", ".join(f"{t}.{c}" for c in ("low0", "high0", "low1", "high1"))
+    return spark.sql(f"SELECT count(*) AS n FROM {{a}} a JOIN {{b}} b ON mbr_intersects({box('a')}, {box('b')})", a=few(spark, d), b=rects_b(spark, d))
+
+
+def map_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return partition.bounds(valid(rects_a(spark, d)), valid(rects_b(spark, d))).select("low0", "high0", "low1", "high1", "n")
+
+
+def str_leaves(spark: SparkSession, d: str) -> DataFrame:
+    return index.leaves(valid(rects_b(spark, d)), 16).select("id", "leaf")
+
+
+def str_node_mbrs(spark: SparkSession, d: str) -> DataFrame:
+    return index.nodes(index.build(valid(rects_b(spark, d)), 16))
+
+
+def refine_cells(spark: SparkSession, d: str) -> DataFrame:
+    return partition.refined_cells(valid(rects_a(spark, d)), valid(rects_b(spark, d)), partition.Grid(0.0, 10064.0, 0.0, 10128.0, 8, 8), max_comparisons=1000)
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    joins = {f"mbr_join_{n}": partial(_join, algorithm=n) for n in ("grid", "adaptive", "sort_tile", "binary_split", "rtree", "inlj")}
+    return joins | {
+        "mbr_join_stripe_x": partial(_join, algorithm="stripes_x", n=128),
+        "mbr_join_stripe_y": partial(_join, algorithm="stripes_y", n=128),
+        "mbr_join_nested": partial(_join, left=few, algorithm="nested"),
+        "mbr_join_broadcast": partial(_join, left=rects_b, right=few, algorithm="broadcast"),
+        "mbr_join_open": partial(_join, boundary="open"),
+        "mbr_join_float32": partial(_join, precision="float32"),
+        "pip_join": pip,
+        "pip_join_open": partial(pip, boundary="open"),
+        "pip_polygon_join": pip_polygon,
+        "self_join": partial(_join, right=rects_a),
+        "self_join_no_identity": partial(_join, right=rects_a, exclude_self=True),
+        "contains_join": partial(_join, predicate_name="contains"),
+        "within_join": partial(_join, predicate_name="within"),
+        "overlaps_join": partial(_join, predicate_name="overlaps"),
+        "distance_join": partial(_join, predicate_name="distance", distance=REACH),
+        "nearest_join": lambda s, d: nearest(rects_a(s, d), rects_b(s, d), REACH),
+        "semi_join": partial(_join, how="semi"),
+        "anti_join": partial(_join, how="anti"),
+        "join_count": lambda s, d: _join(s, d).agg(F.count("*").alias("n")),
+        "sql_join_count": sql_join,
+        "map_bounds": map_bounds,
+        "grid_histogram": lambda s, d: partition.histogram(valid(rects_b(s, d)), MAP),
+        "partition_stats": lambda s, d: partition.statistics(valid(rects_a(s, d)), valid(rects_b(s, d)), MAP),
+        "heatmap": lambda s, d: partition.heatmap(valid(rects_b(s, d)), MAP),
+        "median_extent": lambda s, d: partition.median_extent(valid(rects_b(s, d))),
+        "refine_cells": refine_cells,
+        "str_leaves": str_leaves,
+        "str_node_mbrs": str_node_mbrs,
+        "duplicate_ids": lambda s, d: index.duplicate_ids(rects_a(s, d).unionByName(rects_a(s, d).where("id <= 50"))),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    a, b, p = RECTS_A.format(part="part"), RECTS_B.format(orders="orders"), POINTS.format(events="events")
+    closed = "a.low0 <= b.high0 AND a.high0 >= b.low0 AND a.low1 <= b.high1 AND a.high1 >= b.low1"
+    opened = "a.low0 < b.high0 AND a.high0 > b.low0 AND a.low1 < b.high1 AND a.high1 > b.low1"
+    inside = "{o}.low0 <= {i}.low0 AND {i}.high0 <= {o}.high0 AND {o}.low1 <= {i}.low1 AND {i}.high1 <= {o}.high1"
+    a_in_b, b_in_a = inside.format(o="b", i="a"), inside.format(o="a", i="b")
+    d2 = "(pow(greatest(0.0::DOUBLE, a.low0 - b.high0, b.low0 - a.high0), 2) + pow(greatest(0.0::DOUBLE, a.low1 - b.high1, b.low1 - a.high1), 2))"
+    pts = f"SELECT id, x AS low0, x AS high0, y AS low1, y AS high1 FROM ({p})"
+
+    def join(on: str, left: str = a, right: str = b, what: str = "a.id::BIGINT AS id_a, b.id::BIGINT AS id_b") -> str:
+        return f"WITH a AS ({left}), b AS ({right}) SELECT {what} FROM a JOIN b ON {on}"
+
+    cells = "least(15, greatest(0, floor(({x} - 0.0) / {w} * 16)))::BIGINT"
+    cx, cy = (lambda x: cells.format(x=x, w="10064.0::DOUBLE")), (lambda y: cells.format(x=y, w="10128.0::DOUBLE"))
+    spread = lambda t: f"SELECT cx, unnest(range({cy('low1')}, {cy('high1')} + 1)) AS cy FROM (SELECT *, unnest(range({cx('low0')}, {cx('high0')} + 1)) AS cx FROM ({t}))"
+    hist = lambda t: f"SELECT cx, cy, count(*) AS n FROM ({spread(t)}) GROUP BY cx, cy"
+    leaf = f"""WITH b AS ({b}), c AS (SELECT count(*) AS n FROM b), s AS (SELECT greatest(1, floor(sqrt(ceil(n / 16.0))))::BIGINT AS s FROM c),
+        r AS (SELECT *, (row_number() OVER (ORDER BY low0, id) - 1) // (s * 16) AS slice, s FROM b, s),
+        leaves AS (SELECT id::BIGINT AS id, low0, high0, low1, high1, (slice * s + (row_number() OVER (PARTITION BY slice ORDER BY low1, id) - 1) // 16)::BIGINT AS leaf FROM r)"""
+    levels, parts = "", []
+    for k in range(6):  # 16**6 leaves at most
+        source = "(SELECT leaf AS node, low0, high0, low1, high1 FROM leaves)" if k == 0 else f"(SELECT node // 16 AS node, low0, high0, low1, high1 FROM l{k - 1} WHERE (SELECT count(*) FROM l{k - 1}) > 1)"
+        levels += f", l{k} AS (SELECT node, count(*) AS n, min(low0) AS low0, max(high0) AS high0, min(low1) AS low1, max(high1) AS high1 FROM {source} GROUP BY node)"
+        parts.append(f"SELECT {k}::INTEGER AS level, node, n, low0, high0, low1, high1 FROM l{k}")
+    diamond = "abs(p.x + 0.25 - (a.low0 + a.high0) / 2) / ((a.high0 - a.low0) / 2) + abs(p.y + 0.125 - (a.low1 + a.high1) / 2) / ((a.high1 - a.low1) / 2) < 1"
+    return {f"mbr_join_{n}": join(closed) for n in ("grid", "adaptive", "sort_tile", "binary_split", "rtree", "inlj", "stripe_x", "stripe_y", "float32")} | {
+        "mbr_join_nested": join(closed, left=FEW),
+        "mbr_join_broadcast": join(closed, left=b, right=FEW),
+        "mbr_join_open": join(opened),
+        "pip_join": join(closed, left=pts, right=a),
+        "pip_join_open": join(opened, left=pts, right=a),
+        "pip_polygon_join": f"WITH p AS ({p}), a AS ({a}) SELECT p.id::BIGINT AS id_a, a.id::BIGINT AS id_b FROM p JOIN a ON {diamond}",
+        "self_join": join(closed, right=a),
+        "self_join_no_identity": join(f"{closed} AND a.id <> b.id", right=a),
+        "contains_join": join(b_in_a),
+        "within_join": join(a_in_b),
+        "overlaps_join": join(f"{opened} AND NOT ({a_in_b}) AND NOT ({b_in_a})"),
+        "distance_join": join(f"{d2} <= {REACH} * {REACH}"),
+        "nearest_join": f"SELECT id_a, id_b, sqrt(d2) AS distance FROM ({join(f'{d2} <= {REACH} * {REACH}', what=f'a.id::BIGINT AS id_a, b.id::BIGINT AS id_b, {d2} AS d2')}) QUALIFY row_number() OVER (PARTITION BY id_a ORDER BY d2, id_b) = 1",
+        "semi_join": f"WITH a AS ({a}), b AS ({b}) SELECT id::BIGINT AS id_a FROM a WHERE EXISTS (SELECT 1 FROM b WHERE {closed})",
+        "anti_join": f"WITH a AS ({a}), b AS ({b}) SELECT id::BIGINT AS id_a FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE {closed})",
+        "join_count": join(closed, what="count(*) AS n"),
+        "sql_join_count": join(closed, left=FEW, what="count(*) AS n"),
+        "map_bounds": f"SELECT min(low0) AS low0, max(high0) AS high0, min(low1) AS low1, max(high1) AS high1, count(*) AS n FROM ({a} UNION ALL {b})",
+        "grid_histogram": hist(b),
+        "partition_stats": f"SELECT count(*) AS n_partitions, sum(a.n + b.n)::BIGINT AS total, avg(a.n + b.n) AS average, max(a.n + b.n) AS most FROM ({hist(a)}) a JOIN ({hist(b)}) b USING (cx, cy)",
+        "heatmap": f"SELECT {cx('(low0 + high0) / 2')} AS cx, {cy('(low1 + high1) / 2')} AS cy, count(*) AS n FROM ({b}) GROUP BY ALL",
+        "median_extent": f"SELECT median(high0 - low0) AS width, median(high1 - low1) AS height FROM ({b})",
+        "str_leaves": f"{leaf} SELECT id, leaf FROM leaves",
+        "str_node_mbrs": f"{leaf}{levels} " + " UNION ALL ".join(parts),
+        "duplicate_ids": "SELECT p_partkey AS id, 2::BIGINT AS n FROM part WHERE p_partkey <= 50",
+    }
