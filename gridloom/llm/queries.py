@@ -32,6 +32,22 @@ FROM embeddings JOIN comp ON node = vec_id LEFT JOIN n ON a = vec_id
 """
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import urls
+
+    rules = [urls.Rule("com", "/en/", True), urls.Rule("example.com", "/en/7", False), urls.Rule("net", "/de/", False), urls.Rule("example.net", "/de/8", True), urls.Rule("org", "/es/", True)]
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+
+
+OP2_SQL = r"""
+WITH u AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(h, p, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+best AS (SELECT r, arg_max(h || rules.p, len(h || rules.p)) AS rule, arg_max(verdict, len(h || rules.p)) AS verdict FROM p JOIN rules ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, rules.p) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN best USING (r)
+"""
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -70,6 +86,29 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer("byte_bpe_50k.json"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licenses
+
+    found = licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"))
+
+
+OP8_SQL = r"""
+WITH t(name, text) AS (VALUES ('Apache-2.0', 'Licensed under the Apache License, Version 2.0.'), ('CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'),
+  ('GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'), ('MIT', 'Released under the MIT License.')),
+tw AS (SELECT name, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS ws FROM t),
+ts AS (SELECT DISTINCT name, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT name, ws, unnest(range(1, len(ws) - 3)) AS i FROM tw)),
+tn AS (SELECT name, count(*) AS n, greatest(1, count(*) // 4) AS stride FROM ts GROUP BY name),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS ws FROM documents),
+ds AS (SELECT doc_id, i - 1 AS i, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
+hit AS (SELECT doc_id, name, n, stride, i, s FROM ds JOIN ts USING (s) JOIN tn USING (name)),
+win AS (SELECT doc_id, name, n, s, unnest(range(greatest(0, (i - n - stride) // stride), i // stride + 1)) AS k, i, stride FROM hit),
+found AS (SELECT doc_id, name FROM win WHERE i < k * stride + n + stride - 1 GROUP BY doc_id, name, n, k HAVING 100 * count(DISTINCT s) >= 80 * n),
+one AS (SELECT doc_id, count(DISTINCT name) AS c, string_agg(DISTINCT name, ',' ORDER BY name) AS l FROM found GROUP BY doc_id)
+SELECT doc_id, coalesce(c, 0)::BIGINT AS n_licenses, coalesce(l, '') AS licenses FROM documents LEFT JOIN one USING (doc_id)
+"""
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import minhash
 
@@ -97,8 +136,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_embeddings": op1_embeddings, "op3_packing": op3_packing, "op4_quality": op4_quality, "op5_substring": op5_substring, "op7_bpe": op7_bpe, "op9_minhash": op9_minhash, "op10_secrets": op10_secrets}
+    return {"op1_embeddings": op1_embeddings, "op2_urls": op2_urls, "op3_packing": op3_packing, "op4_quality": op4_quality, "op5_substring": op5_substring, "op7_bpe": op7_bpe, "op8_licenses": op8_licenses, "op9_minhash": op9_minhash, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embeddings": OP1_SQL, "op5_substring": OP5_SQL, "op9_minhash": OP9_SQL}
+    return {"op1_embeddings": OP1_SQL, "op2_urls": OP2_SQL, "op5_substring": OP5_SQL, "op8_licenses": OP8_SQL, "op9_minhash": OP9_SQL}
