@@ -80,6 +80,12 @@ FROM w LEFT JOIN kept USING (doc_id)
 """
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language
+
+    return language.score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
@@ -136,7 +142,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_embeddings": op1_embeddings, "op2_urls": op2_urls, "op3_packing": op3_packing, "op4_quality": op4_quality, "op5_substring": op5_substring, "op7_bpe": op7_bpe, "op8_licenses": op8_licenses, "op9_minhash": op9_minhash, "op10_secrets": op10_secrets}
+    return {"op1_embeddings": op1_embeddings, "op2_urls": op2_urls, "op3_packing": op3_packing, "op4_quality": op4_quality, "op5_substring": op5_substring, "op6_language": op6_language, "op7_bpe": op7_bpe, "op8_licenses": op8_licenses, "op9_minhash": op9_minhash, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
