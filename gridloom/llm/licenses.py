@@ -7,24 +7,76 @@ similarity of at least 0.8 / 1.45, so that it is missed with a chance of at most
 0.8 or more and is missed at 2e-10. The window matches if it holds 0.8 or more of the template's distinct shingles.
 A minimum can only be the same where the window holds the shingle that is the template's own minimum: windows without
 any such shingle, most of all, are passed over before minima are taken, which changes no result. All of it is column
-expressions over one document; nothing is shuffled. The templates are a parameter of at most MOST_SHINGLES shingles.
+expressions over one document; nothing is shuffled. The templates are a parameter of at most MOST_SHINGLES shingles; one
+name can have several. The default ones are whole texts, standard headers and short notices of common licenses, to which
+the names in SPDX lines are added.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Mapping
+import functools
+from collections.abc import Iterable, Mapping
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SHINGLE, BANDS, SHARE, MOST_SHINGLES = 5, 14, 80, 20_000
-#: Notices by which common licenses are named.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
+#: Whole texts in license_texts/NAME.txt, without the appendix that says how to apply them.
+TEXTS = ("Apache-2.0", "BSL-1.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "Zlib")
+PUBLISHED = "under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or"
+ONLY = "under the terms of the GNU {} as published by the Free Software Foundation; version {} of the License"
+BINARY = "in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {}"
+BSD_WARRANTY = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES", "THIS SOFTWARE IS PROVIDED BY THE AUTHOR AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES", "THIS SOFTWARE IS PROVIDED BY THE AUTHOR AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES")
+#: Standard headers, short notices and, of texts that hold most of each other (BSD), the passages that tell them apart.
+#: Where versions or names differ in one word, a notice is so short that SHARE allows for no other.
+NOTICES = {
+    "AGPL-3.0": (PUBLISHED.format("Affero General Public License", "3"), "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "under the GNU Affero General Public License v3"),
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+        "Licensed under the Apache License 2.0",
+        "under the Apache 2.0 License",
+        "under the terms of the Apache License, Version 2.0",
+    ),
+    "BSD-2-Clause": (*(BINARY.format(w) for w in BSD_WARRANTY), "under the BSD 2-Clause License"),
+    "BSD-3-Clause": (*(f"nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {w}" for w in BSD_WARRANTY), "under the BSD 3-Clause License"),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.",),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "licensed under a Creative Commons Attribution 4.0 International License"),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC-BY-NC-ND-4.0": ("Licensed under CC BY-NC-ND 4.0.", "licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    "CC-BY-NC-SA-4.0": ("Licensed under CC BY-NC-SA 4.0.", "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.", "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "CC0-1.0": ("has waived all copyright and related or neighboring rights to",),
+    "GPL-2.0": (PUBLISHED.format("General Public License", "2"), ONLY.format("General Public License", "2"), "under the GNU General Public License version 2", "of the GNU General Public License version 2", "under the GNU GPL v2"),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", PUBLISHED.format("General Public License", "3"), ONLY.format("General Public License", "3"), "under the GNU General Public License version 3", "of the GNU General Public License version 3", "under the GNU GPL v3"),
+    "ISC": ("Licensed under the ISC License", "under the terms of the ISC License"),
+    "LGPL-2.1": (PUBLISHED.format("Lesser General Public License", "2.1"), ONLY.format("Lesser General Public License", "2.1"), "under the GNU Lesser General Public License v2.1"),
+    "LGPL-3.0": (PUBLISHED.format("Lesser General Public License", "3"), "GNU Lesser General Public License version 3", "under the GNU Lesser General Public License v3"),
+    "MIT": ("Released under the MIT License.", "Licensed under the MIT License", "Distributed under the MIT License", "Available under the MIT License", "under the terms of the MIT License", "The MIT License (MIT) Copyright"),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "Licensed under the Mozilla Public License, Version 2.0", "Licensed under the Mozilla Public License 2.0"),
 }
+#: Line by which files name their license; most are too short for a shingle, so it is read by pattern.
+TAG = "SPDX-License-Identifier"
+NAMED = rf"{TAG}:[ \t]*([A-Za-z0-9.+() \t-]+)"
+
+
+@functools.cache
+def defaults() -> dict[str, tuple[str, ...]]:
+    """All templates of each name."""
+    here = resources.files(__package__) / "license_texts"
+    whole = {n: (here / f"{n}.txt").read_text(encoding="utf-8") for n in TEXTS}
+    return {n: NOTICES.get(n, ()) + ((whole[n],) if n in whole else ()) for n in sorted({*NOTICES, *TEXTS})}
+
+
+def tagged(text: Column, names: Iterable[str]) -> Column:
+    """The names in SPDX lines; -only, -or-later and + are dropped."""
+    ids = F.split(F.lower(F.array_join(F.regexp_extract_all(text, F.lit(NAMED), 1), " ")), r"[() \t]+")
+    plain = F.transform(ids, lambda i: F.regexp_replace(i, r"(-only|-or-later|\+)$", ""))
+    known = F.create_map(*(F.lit(x) for n in names for x in (n.lower(), n)))
+    return F.when(F.contains(text, F.lit(TAG)), F.array_compact(F.transform(plain, lambda i: F.try_element_at(known, i)))).otherwise(F.array().cast("array<string>"))
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,16 +96,18 @@ def minimum(shingles: Column, band: int) -> Column:
 
 
 def longs(values: list[int]) -> Column:
-    return F.array(*(F.lit(v).cast("bigint") for v in values))
+    """A constant; one literal, because templates have thousands of values."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
 def keyed(band: int):
     return lambda h: F.struct(F.xxhash64(h, F.lit(band)).alias("v"), h.alias("h"))
 
 
-def prepared(spark: SparkSession, templates: Mapping[str, str]) -> list[dict]:
+def prepared(spark: SparkSession, templates: Mapping[str, str | tuple[str, ...]]) -> list[dict]:
     """Of each template its name, distinct shingles, minima and the shingles that are minima."""
-    rows = spark.createDataFrame(list(templates.items()), "name string, text string").select("name", F.array_distinct(shingles_of(words_of(F.col("text")))).alias("shingles"))
+    each = [(n, t) for n, ts in templates.items() for t in ((ts,) if isinstance(ts, str) else ts)]
+    rows = spark.createDataFrame(each, "name string, text string").select("name", words_of(F.col("text")).alias("words")).select("name", F.array_distinct(shingles_of(F.col("words"))).alias("shingles"))
     rows = rows.select("*", F.array(*(minimum(F.col("shingles"), p) for p in range(BANDS))).alias("minima"))
     rows = rows.select("*", F.array_distinct(F.array(*(F.array_min(F.transform("shingles", keyed(p)))["h"] for p in range(BANDS)))).alias("marks"))
     out = [r.asDict() for r in rows.orderBy("name").collect()]
@@ -81,19 +135,22 @@ def holds(shingles: Column, template: dict) -> Column:
         return same(start) & (100 * F.size(F.array_intersect(window(start), mine)) >= SHARE * n)
 
     starts = F.sequence(F.lit(1), F.greatest(F.size(shingles), F.lit(1)), F.lit(stride))
-    return F.exists(F.filter(starts, lambda i: F.arrays_overlap(window(i), marks)), matches)
+    return F.arrays_overlap(shingles, marks) & F.exists(F.filter(starts, lambda i: F.arrays_overlap(window(i), marks)), matches)
 
 
-def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: Mapping[str, str | tuple[str, ...]] | None = None, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """Rows (*keep, licenses), one for each row of docs: the names found, in order, an empty array if there are none.
 
     Null, empty and short texts hold no license. Repeated rows give a row each; further columns are not read.
     """
-    known = prepared(docs.sparkSession, TEMPLATES if templates is None else templates)
+    known = prepared(docs.sparkSession, defaults() if templates is None else templates)
     kept = [f"_k{i}" for i in range(len(keep))]
-    rows = docs.select(*(docs[c].alias(k) for c, k in zip(keep, kept, strict=True)), words_of(docs[text_col]).alias("_w")).select(*kept, shingles_of(F.col("_w")).alias("_h"))
+    none = F.array().cast("array<string>")
+    tags = tagged(F.coalesce(docs[text_col], F.lit("")), defaults()) if templates is None else none
+    rows = docs.select(*(docs[c].alias(k) for c, k in zip(keep, kept, strict=True)), tags.alias("_t"), words_of(docs[text_col]).alias("_w")).select(*kept, "_t", shingles_of(F.col("_w")).alias("_h"))
     marks = sorted({m for t in known for m in t["marks"]})
     rows = rows.withColumn("_any", F.arrays_overlap("_h", longs(marks)) if marks else F.lit(False))
     found = [F.when(holds(F.col("_h"), t), F.lit(t["name"])) for t in known]
-    names = F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
-    return rows.select(*(F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)), F.when(F.col("_any"), names).otherwise(F.array().cast("array<string>")).alias("licenses"))
+    names = F.array_compact(F.array(*found)) if found else none
+    names = F.array_sort(F.array_union("_t", F.when(F.col("_any"), names).otherwise(none)))
+    return rows.select(*(F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)), names.alias("licenses"))

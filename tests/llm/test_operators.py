@@ -156,6 +156,23 @@ def test_licenses(docs, empty):
     assert licenses.scan(empty).count() == 0 and licenses.scan(docs, {}).count() == docs.count()
 
 
+def test_default_licenses_are_whole_texts_headers_and_tags(spark):
+    from gridloom.llm import licenses
+
+    gpl = "{} is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version. See the license for more."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES"
+    third = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+    cases = [(licenses.defaults()[n][-1], n) for n in licenses.TEXTS]
+    cases += [(gpl.format("This program", "General Public License", v), f"GPL-{v}.0") for v in "23"]
+    cases += [(gpl.format("This library", "Lesser General Public License", v), f"LGPL-{v if '.' in v else v + '.0'}") for v in ("2.1", "3")]
+    cases += [(gpl.format("This program", "Affero General Public License", "3"), "AGPL-3.0"), (bsd.format(""), "BSD-2-Clause"), (bsd.format(third), "BSD-3-Clause")]
+    cases += [("// SPDX-License-Identifier: MIT\nint x;", "MIT"), ("# SPDX-License-Identifier: (GPL-2.0-only OR BSD-3-Clause)\n", "BSD-3-Clause,GPL-2.0"), ("SPDX-License-Identifier: Unheard-Of", ""), ("the license of a driver is in the glove box of the car", "")]
+    cases += [("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"), ("Licensed under the Apache License, Version 2.0. SPDX-License-Identifier: Apache-2.0", "Apache-2.0")]
+    df = spark.createDataFrame([(i, f"some words before\n{t}\nsome words after") for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: ",".join(r["licenses"]) for r in licenses.scan(df).collect()}
+    assert got == {i: name for i, (_, name) in enumerate(cases)}
+
+
 def test_minhash_links(docs, empty):
     from gridloom.llm import minhash
 
