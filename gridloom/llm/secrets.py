@@ -22,17 +22,29 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .shared import deal, shared_dir, stored
 from .text import slices
 
+#: A private key from its BEGIN line to the next END line, if no other BEGIN comes first; else over header fields and
+#: base64: long runs wherever they are, short ones if padded or alone in a line. Newlines may be escaped, lines quoted.
+PEM = re.compile(
+    r"""-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----
+    (?:
+        [^-]*+(?:-(?!----(?:BEGIN|END)\x20)[^-]*+)*+-----END\x20[A-Z\x20]*PRIVATE\x20KEY-----
+    |
+        (?:(?:\s|\\[rn])*+[A-Za-z][A-Za-z0-9-]*+:[^\n\\]*+)*+
+        (?:(?:[\s"'>#*|,;]|\\[rnt])*+[A-Za-z0-9+/]{16,}+={0,2}|(?:\r?\n|\\n)[ \t]*+[A-Za-z0-9+/]++={0,2}(?=[ \t\r"',;]*+(?:\n|\\n|\Z))|\s++[A-Za-z0-9+/]++={1,2})++
+    )?+""",
+    re.VERBOSE,
+)
 #: Kinds in the order in which spans with one start are listed; the pattern, and what a match must satisfy.
 RULES = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE), lambda m: len(m[2]) >= 8),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
     ("hex", re.compile(r"[0-9a-f]{32,}"), None),  # the same as runs of any length of which the shorter are dropped
     ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), None),
-    ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), None),
+    ("pem", PEM, None),
 )
 BASE_KINDS = ("assign", "access", "hex")
 #: Changes whenever RULES does: pairs of a blob and an older version are scanned anew.
-RULE_VERSION = "1"
+RULE_VERSION = "2"
 LEDGER = "blob string, rule_version string, spans array<struct<start:int,end:int,kind:string>>"
 #: Texts gathered at a time by the task that scans, and bytes of compressed blobs by the one that reads.
 HELD = 4 << 20

@@ -196,6 +196,29 @@ def test_secret_ledger_scans_new_blobs_only(docs, empty, tmp_path):
     assert secrets.digest(empty).count() == 0
 
 
+def test_masked_text_holds_no_key_bytes(spark):
+    import base64
+
+    from gridloom.llm import secrets
+
+    raw = base64.b64encode(b"".join(hashlib.sha256(bytes([i])).digest() for i in range(20)) + b"end").decode() + "=="
+    lines = [raw[i : i + 64] for i in range(0, len(raw), 64)]
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "\n".join(lines)
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123\n\n"
+    texts = [
+        f"before\n{head}\n{body}\n{tail}\nafter", f"before\n{head}\n{body}\nafter that", f"before {head} {' '.join(lines)} {tail} after", f"before {head}\\n{body.replace(chr(10), chr(92) + 'n')}\\n{tail}\\n after",
+        f"before\n{head}\n{fields}{body}\n{tail}\nafter", f"before\n{head}\n{fields}{body}\nafter that", f"before\r\n{head}\r\n" + "\r\n".join(lines) + "\r\nafter that", f"before\n{head}\n{body}\n{head}\n{body}\n{tail}\nafter", f"before\n{head}\n{body}",
+        f"before\n{head}\n{body}\n-----BEGIN CERTIFICATE-----\nkept\n-----END CERTIFICATE-----\nafter", f"before {head} and prose after", f"before {head}\nNote: the key is kept elsewhere, after",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secrets.masked(docs, secrets.scan(docs)).collect()}
+    for i, text in enumerate(texts):
+        assert got[i].startswith("before") and ("after" in got[i]) == ("after" in text) and "PRIVATE KEY" not in got[i], got[i]
+        assert not any(x in got[i] for line in lines for x in (line[k : k + 8] for k in range(max(1, len(line) - 7)))), got[i]
+    assert "kept" in got[9] and got[10] == "before [secret] and prose after" and got[0] == "before\n[secret]\nafter"
+
+
 def test_embeddings_edge_cases(spark):
     from gridloom.llm import embeddings
 
