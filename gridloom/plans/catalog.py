@@ -121,6 +121,7 @@ def queries() -> dict[str, Query]:
         "str_leaves": str_leaves,
         "str_node_mbrs": str_node_mbrs,
         "duplicate_ids": lambda s, d: index.duplicate_ids(rects_a(s, d).unionByName(rects_a(s, d).where("id <= 50"))),
+        "duplicate_customers": lambda s, d: index.duplicate_ids(s.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("id"))),
     }
 
 
@@ -175,4 +176,5 @@ def oracle_sql() -> dict[str, str]:
         "str_leaves": f"{leaf} SELECT id, leaf FROM leaves",
         "str_node_mbrs": f"{leaf}{levels} " + " UNION ALL ".join(parts),
         "duplicate_ids": "SELECT p_partkey AS id, 2::BIGINT AS n FROM part WHERE p_partkey <= 50",
+        "duplicate_customers": "SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1",
     }

@@ -1,3 +1,4 @@
+import collections
 import random
 
 import pytest
@@ -113,3 +114,13 @@ def test_wkt_and_rings(spark):
     points = spark.createDataFrame([(1, 2.0, 2.0), (2, 5.0, 2.0)], "id long, x double, y double")
     assert pairs(geometry.points_in_polygons(points, polys)) == [(1, 1)]
     assert as_rects(points).count() == 2
+
+
+def test_duplicates_grow_with_the_table(spark):
+    from gridloom.plans import catalog
+
+    got = [{(r["id"], r["n"]) for r in catalog.queries()["duplicate_customers"](spark, f"/root/testdata/{d}").collect()} for d in ("sf0.001", "sf0.01")]
+    for d, rows in zip(("sf0.001", "sf0.01"), got, strict=True):
+        count = collections.Counter(r["o_custkey"] for r in spark.read.parquet(f"/root/testdata/{d}/orders.parquet").select("o_custkey").collect())
+        assert rows == {(k, n) for k, n in count.items() if n > 1}
+    assert len(got[1]) > 5 * len(got[0]) > 0
