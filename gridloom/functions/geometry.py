@@ -28,6 +28,15 @@ def ring(wkt: Column) -> Column:
     return F.when((inner != "") & ~broken, out)
 
 
+def well_formed(wkt: Column) -> Column:
+    """Is it a LINESTRING, POLYGON or MULTI kind of planar coordinates? Lists are folded step by step, as one pattern would recurse."""
+    t = F.regexp_replace(F.upper(F.trim(wkt)), rf"(?i)(?<![A-Z0-9.]){NUMBER}\s+{NUMBER}(?![0-9.])", "c")
+    t = F.regexp_replace(t, r"\s+", "")
+    for part in (r",c(?=[,)])", r",\(c\)", r",\(\(c\)\)"):
+        t = F.regexp_replace(t, part, "")
+    return t.rlike(r"^((LINESTRING|MULTIPOINT)\(c\)|(POLYGON|MULTILINESTRING|MULTIPOINT)\(\(c\)\)|MULTIPOLYGON\(\(\(c\)\)\))$")
+
+
 def envelope(corners: Column) -> list[Column]:
     """low0, high0, low1, high1 of an array of corners."""
     return [f(corners.getField(c)).alias(n) for n, f, c in (("low0", F.array_min, "x"), ("high0", F.array_max, "x"), ("low1", F.array_min, "y"), ("high1", F.array_max, "y"))]

@@ -26,6 +26,15 @@ def test_export_reads_back(spark, tmp_path):
     assert readers.wkt_lines(spark, f"{tmp_path}/wkt").where("size(ring) = 5").count() == 20
 
 
+def test_wkt_lines_keep_other_kinds(spark, tmp_path):
+    good = ["POINT(1 2)", "POLYGON((0 0, 9 0, 9 9, 0 0))", "POLYGON((0 0, 9 0, 9 9, 0 0), (1 1, 2 1, 2 2, 1 1))", "MULTIPOLYGON (((0 0, 9 0, 9 9, 0 0), (1 1, 2 1, 2 2, 1 1)), ((20 0, 21 0, 21 1, 20 0)))", "linestring(0 0, -1.5e3 2)", "MULTIPOINT((1 2), (3 4))", "LINESTRING(" + ", ".join(f"{i} {i}" for i in range(20000)) + ")"]
+    bad = ["", "hello", "LINESTRING(0 0, x 1)", "POLYGON((0 0, 1 1)", "MULTIPOLYGON((0 0, 1 1))", "LINESTRING(0 0,, 1 1)"]
+    (tmp_path / "a.wkt").write_text("\n".join(good + bad) + "\n")
+    rows = {r["id"]: r for r in readers.wkt_lines(spark, str(tmp_path / "a.wkt")).collect()}
+    assert {i: r["wkt"] for i, r in rows.items()} == dict(enumerate(good))
+    assert [rows[i]["ring"] is not None for i in range(len(good))] == [False, True] + [False] * 5
+
+
 def test_osm(spark, tmp_path):
     (tmp_path / "p.tsv").write_text("1\tPOLYGON((0 0, 2 0, 2 3, 0 3, 0 0))\t[]\n2\tPOLYGON((0 0, 2 0, 0 0))\t[]\n3\tGEOMETRYCOLLECTION EMPTY\t[]\n")
     assert [tuple(r) for r in readers.osm_polygons(spark, str(tmp_path / "p.tsv")).collect()] == [(1, 0.0, 2.0, 0.0, 3.0)]
