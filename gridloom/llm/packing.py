@@ -16,31 +16,90 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import deal, stored
-from .text import coded, ragged, slices, words_of
+from .shared import bounded_batches, deal, dropped, stored
+from .text import coded, ragged, slices
 
 CAPACITY = 4096
 END_ID = 2
-#: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+#: Parts of words whose ids a worker remembers; beyond that it starts anew. How many are encoded in one string.
+REMEMBERED, JOINED = 600_000, 2000
+#: Bytes of text that are encoded at a time.
+PART = 16 << 20
 
+#: Kinds of bytes: white space, letters, digits, others, and those whose words are left whole: apostrophes (which begin
+#: pre-tokens with letters), < (which may begin a special token) and characters beyond Latin-1 letters (which NFC or
+#: lower-casing could change).
+SPACE, LETTER, DIGIT, OTHER, WHOLE = range(5)
 
-def stem_of(word: str) -> tuple[str, str]:
-    """A word whose ids, followed by those of the mark if there is one, are the word's.
 
-    The vocabulary's normaliser lower-cases, and a comma or full stop after a letter or digit is a pre-token of its own.
-    Words beyond Latin-1, which NFC could change, or with a < that might begin a special token, stay as they are.
+def kinds_of() -> np.ndarray:
+    kind = np.full(256, OTHER, np.uint8)
+    kind[np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8)] = SPACE
+    kind[ord("A") : ord("Z") + 1] = kind[ord("a") : ord("z") + 1] = LETTER
+    kind[ord("0") : ord("9") + 1] = DIGIT
+    kind[[ord("'"), ord("<")]] = WHOLE
+    kind[128:] = WHOLE
+    return kind
+
+
+KINDS, SMALL = kinds_of(), np.arange(256, dtype=np.uint8)
+SMALL[ord("A") : ord("Z") + 1] += 32
+#: First byte of the letters U+00C0 to U+00FF, and the second bytes of the two signs among them.
+LATIN, SIGNS = 0xC3, (0x97, 0xB7)
+
+
+def pieces_of_text(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Parts of all texts that the vocabulary encodes each on its own, in one array, and where each text's begin.
+
+    The vocabulary lower-cases; a run of letters, a digit and a run of other signs are pre-tokens. Words of white space's
+    making are cut there unless they hold a byte of kind WHOLE. A-Z are lower-cased in words without <.
     """
-    if not (word.isascii() or max(word) < "\u0100") or "<" in word:
-        return word, ""
-    word = word.lower()
-    return (word[:-1], word[-1]) if word[-1] in ",." and word[-2:-1].isalnum() else (word, "")
+    text = pc.fill_null(text, "")
+    size = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
+    # one more white space after each text, so that words end there
+    flat = np.frombuffer(b"\n".join([*text.cast(pa.binary()).to_pylist(), b""]), np.uint8)
+    if not len(flat):
+        return pa.array([], pa.binary()), np.zeros(len(text) + 1, np.int64)
+    kind = KINDS[flat]
+    lead = np.flatnonzero(flat[:-1] == LATIN)
+    lead = lead[(flat[lead + 1] != SIGNS[0]) & (flat[lead + 1] != SIGNS[1])]
+    kind[lead] = kind[lead + 1] = LETTER
+    begins = np.empty(len(flat), bool)
+    begins[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+    begins |= kind == DIGIT
+    begins &= kind != SPACE
+    at = np.flatnonzero(begins)
+    low = SMALL[flat]
+    whole = np.flatnonzero(kind == WHOLE)
+    if len(whole):
+        space = np.flatnonzero(kind == SPACE)
+        word = np.unique(np.searchsorted(space, whole))
+        first, last = np.where(word > 0, space[word - 1] + 1, 0), space[word]
+        inside = np.searchsorted(first, at, side="right") - 1
+        at = at[(inside < 0) | (at <= first[inside]) | (at >= last[inside])]
+        special = np.unique(np.searchsorted(space, np.flatnonzero(flat == ord("<"))))
+        if len(special):
+            first, last = np.where(special > 0, space[special - 1] + 1, 0), space[special]
+            own = ragged(first, last - first)
+            low[own] = flat[own]
+    filled = kind != SPACE
+    ends = np.concatenate(([0], np.cumsum(size + 1)))
+    offsets = np.searchsorted(at, ends)
+    before = np.cumsum(filled, dtype=np.int32)  # bytes up to and with each
+    starts = np.append(before[at] - 1, before[-1]).astype(np.int32)
+    data = low[filled]
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(starts), pa.py_buffer(data)]), offsets
 
 
 class WordIds:
-    """Ids of a tokenizers vocabulary whose pre-tokens never reach over white space: words are encoded one by one, once."""
+    """Ids of a tokenizers vocabulary whose pre-tokens never reach over white space: parts of words are encoded once.
+
+    What was encoded lies in flat arrays: the parts, and of each where its ids begin.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,46 +110,49 @@ class WordIds:
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.is_end[i] = token.endswith("</w>")
-        self.known: dict[str, bytes] = {}
+        self.forget()
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes words whose ids are not known yet, by way of their stems: capitals and full stops make few new ones.
+    def forget(self) -> None:
+        self.known, self.ids, self.ends = pa.array([], pa.binary()), np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-        A stem of Latin-1 letters alone is one pre-token, whose last token is its only one with the word-end mark: such
-        stems are encoded many at a time, joined by spaces.
+    def learn(self, parts: pa.Array) -> np.ndarray:
+        """Encodes parts that are not known yet; their places among the known ones.
+
+        A run of letters is one pre-token, whose last token is its only one with the word-end mark: such parts are
+        encoded many at a time, joined by spaces.
         """
-        known, cut = self.known, [stem_of(w) for w in words]
-        new = {s for s, _ in cut}.union(",.").difference(known)
-        plain = [s for s in new if s.isalpha() and (s.isascii() or max(s) < "\u0100")]
-        other = list(new.difference(plain))
-        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        if plain:
-            found = self.tokenizer.encode_batch_fast([" ".join(plain[i : i + 500]) for i in range(0, len(plain), 500)], add_special_tokens=False)
-            ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            flat, ends = ids.tobytes(), (4 * ends).tolist()
-            for w, a, b in zip(plain, [0, *ends[:-1]], ends, strict=True):
-                known[w] = flat[a:b]
-        for w, (stem, mark) in zip(words, cut, strict=True):
-            known[w] = known[stem] + known[mark] if mark else known[stem]
+        # A-Z stand only in words with <, which are none of these
+        letters = pc.match_substring_regex(parts.cast(pa.string()), "^[a-zÀ-ÖØ-öø-ÿ]+$").to_numpy(zero_copy_only=False)
+        order = np.argsort(letters, kind="stable")
+        parts, signs = parts.take(pa.array(order)), len(parts) - int(letters.sum())
+        other, plain = parts.slice(0, signs), parts.slice(signs)
+        found = self.tokenizer.encode_batch_fast(other.cast(pa.string()).to_pylist(), add_special_tokens=False)
+        ids, ends = [self.ids, *(np.array(e.ids, np.uint32) for e in found)], [self.ends, self.ends[-1] + np.cumsum([len(e) for e in found], dtype=np.int64)]
+        if len(plain):
+            cuts = np.append(np.arange(0, len(plain), JOINED), len(plain))
+            lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), plain.cast(pa.string())), " ").to_pylist()
+            own = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            ids.append(own)
+            ends.append((self.ends[-1] + sum(map(len, found))) + np.flatnonzero(self.is_end[own]) + 1)
+        places = np.empty(len(parts), np.int64)
+        places[order] = len(self.known) + np.arange(len(parts))
+        self.known, self.ids, self.ends = pa.concat_arrays([self.known, parts]), np.concatenate(ids), np.concatenate(ends)
+        return places
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one flat array, and where each text's begin."""
-        words, offsets = words_of(text)
-        codes, distinct = coded(words)
-        distinct = distinct.to_pylist()
+        parts, offsets = pieces_of_text(text)
+        codes, distinct = coded(parts)
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        missing = [w for w in distinct if w not in known]
-        if missing:
-            self.learn(missing)
-        own = [self.known[w] for w in distinct]
-        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        flat = np.frombuffer(b"".join(own), "<u4")
-        ids = flat[ragged((np.cumsum(size) - size)[codes], size[codes])] if len(codes) else flat[:0]
-        return ids, np.concatenate(([0], np.cumsum(size[codes])))[offsets]
+            self.forget()
+        found = pc.index_in(distinct, value_set=self.known)
+        at = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if found.null_count:
+            at[at < 0] = self.learn(distinct.filter(found.is_null()))
+        at = at[codes]
+        begin = self.ends[at]
+        size = self.ends[at + 1] - begin
+        return self.ids[ragged(begin, size)], np.concatenate(([0], np.cumsum(size)))[offsets]
 
 
 @functools.lru_cache(maxsize=2)
@@ -104,20 +166,22 @@ def pieces_of(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end_id: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = loaded(path)
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", PART):
                 ids, ends = encode(part.column(1))
-                rows, start, length, crc, total = [], [], [], [], []
-                for i in range(part.num_rows):
-                    own = np.append(ids[ends[i] : ends[i + 1]], np.uint32(end_id)).astype("<u4")
-                    for a in range(0, len(own), capacity):
-                        piece = own[a : a + capacity]
-                        rows.append(i)
-                        start.append(a)
-                        length.append(len(piece))
-                        crc.append(zlib.crc32(piece.tobytes()))
-                        total.append(len(own))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-
+                total = np.diff(ends) + 1
+                # end_id after each document's ids
+                flat = np.full(int(total.sum()), end_id, "<u4")
+                flat[np.arange(len(ids)) + np.repeat(np.arange(part.num_rows), np.diff(ends))] = ids
+                count = -(-total // capacity)
+                row = np.repeat(np.arange(part.num_rows), count)
+                start = ragged(np.zeros(len(count), np.int64), count) * capacity
+                length = np.minimum(total[row] - start, capacity)
+                first = (np.cumsum(total) - total)[row] + start
+                raw = memoryview(flat).cast("B")
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip((4 * first).tolist(), (4 * (first + length)).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(total[row])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
