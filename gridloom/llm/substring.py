@@ -25,23 +25,13 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import bounded_batches, deal, stored
-from .text import coded, covered, hashed, ragged, slices, windows, words_of
+from .text import coded, covered, from_planes, hashed, planes, ragged, slices, windows, words_of
 
 WINDOW = 13
 #: Bytes of text of the blocks whose windows are packed together.
 BLOCK = 3 << 20
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Integers with their first, second, ... bytes together, so that the quiet high ones compress away."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
-
-
-def from_planes(raw: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
-
-
 def row_keys(ids: pa.Array, bodies: list[bytes]) -> np.ndarray:
     """A 64-bit key of (id, text): rows that share both also share their answers."""
     names = ids.cast(pa.string()).to_pylist()
