@@ -2,17 +2,16 @@
 
 The vocabulary is a byte-level one of the tokenizers library (its JSON file is a parameter and is read on each worker).
 Texts are cut into pre-tokens by the byte-level pattern; the symbols of all pre-tokens that a worker has not met yet lie
-in one flat array. A round looks every adjacent pair up by binary search over the sorted pair keys, takes the lowest
-rank of each pre-token, merges all its occurrences from left to right and goes on with the pre-tokens that changed.
-Pre-tokens of more than LONG symbols take the same merges from a heap, as a round there would touch too much for one
-merge.
+in one flat array. A round looks every adjacent pair up by binary search over the sorted pair keys and merges, from left
+to right, those whose rank is the lowest within reach: no token is longer than REACH bytes, so a pair that far away can't
+touch this one before it merges. In pre-tokens of up to REACH symbols that is the lowest rank of the whole; longer ones
+merge at many places in one round, so that rounds do not grow with their length.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-import heapq
 import json
 from collections.abc import Iterator
 
@@ -22,11 +21,11 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .text import ragged, slices
+from .shared import bounded_batches
+from .text import slices
 
 #: The byte-level pre-token pattern: a fixed value of this vocabulary family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LONG = 512
 NONE = np.int64(1) << 40
 #: Pre-tokens that a worker remembers; beyond that it starts anew.
 REMEMBERED = 250_000
@@ -39,6 +38,19 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def chosen(rank: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Of overlapping hits (a a a: pairs of one rank in a row) every second one from the row's start.
+
+    A row's hits after a place that is none are left for a later round, which knows where they begin. Rows never reach
+    over pre-tokens, whose last place has no pair.
+    """
+    at = np.arange(len(rank))
+    begins = np.concatenate(([True], rank[1:] != rank[:-1]))
+    start = np.maximum.accumulate(np.where(begins, at, 0))
+    missed = np.maximum.accumulate(np.where(hit, -1, at))
+    return hit & (missed < start) & ((at - start) % 2 == 0)
+
+
 class Bpe:
     """One byte-level vocabulary: encode(texts), decode(ids)."""
 
@@ -64,6 +76,7 @@ class Bpe:
         keys = left * self.size + right
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
+        self.reach = max(map(len, self.token_bytes))
         self.pattern = regex.compile(PATTERN)
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.known: dict[str, tuple[str, int, bytes]] = {}
@@ -78,14 +91,8 @@ class Bpe:
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words in one flat array, and the number of each word's."""
         size = np.fromiter(map(len, words), np.int64, len(words))
-        flat = self.symbol[np.frombuffer(b"".join(words), np.uint8)]
-        done: dict[int, np.ndarray] = {}
-        starts = np.cumsum(size) - size
-        for i in np.flatnonzero(size > LONG):
-            done[int(i)] = self.heap(flat[starts[i] : starts[i] + size[i]])
-        at_work = np.flatnonzero((size > 0) & (size <= LONG))
-        sym = flat[ragged(starts[at_work], size[at_work])]
-        word = np.repeat(at_work, size[at_work])
+        sym = self.symbol[np.frombuffer(b"".join(words), np.uint8)]
+        word = np.repeat(np.arange(len(words)), size)
         out_word, out_sym = [], []
         while len(sym):
             pair = np.full(len(sym), -1)
@@ -102,44 +109,31 @@ class Bpe:
                 out_sym.append(sym[~keep])
                 sym, word, rank, pair = sym[keep], word[keep], rank[keep], pair[keep]
                 count, lowest = count[live], lowest[live]
-            hit = rank == np.repeat(lowest, count)
-            # of overlapping hits (a a a) every second one of the run counts, from the left
-            run = np.flatnonzero(hit & ~np.concatenate(([False], hit[:-1])))
-            place = np.arange(len(hit)) - (np.repeat(run, np.diff(np.append(run, len(hit)))) if not len(run) or run[0] == 0 else np.concatenate((np.zeros(run[0], np.int64), np.repeat(run, np.diff(np.append(run, len(hit)))))))
-            hit &= place % 2 == 0
-            at = np.flatnonzero(hit)
+            bar = np.repeat(lowest, count)
+            if (count > self.reach).any():
+                far = np.repeat(count > self.reach, count)
+                bar[far] = self.lowest_near(rank[far], count[count > self.reach])
+            at = np.flatnonzero(chosen(rank, (rank == bar) & (rank < NONE)))
             sym[at] = self.made[pair[at]]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
             sym, word = sym[keep], word[keep]
-        ids = np.concatenate([*out_sym, *done.values()]) if out_sym or done else np.empty(0, np.int64)
-        owner = np.concatenate([*out_word, *(np.full(len(v), k) for k, v in done.items())]) if out_sym or done else ids
+        ids, owner = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_sym, out_word))
         return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
-    def heap(self, sym: np.ndarray) -> np.ndarray:
-        """The same merges for one long word, lowest rank and then leftmost first."""
-        ids, n = sym.tolist(), len(sym)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        table = self.pairs()
-        queue = [(table[p][0], i, p) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in table]
-        heapq.heapify(queue)
-        while queue:
-            _, i, (a, b) = heapq.heappop(queue)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j] = table[a, b][1], -1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (p := (ids[x], ids[y])) in table:
-                    heapq.heappush(queue, (table[p][0], x, p))
-        return np.array([x for x in ids if x >= 0], np.int64)
-
-    @functools.lru_cache(maxsize=1)  # noqa: B019
-    def pairs(self) -> dict[tuple[int, int], tuple[int, int]]:
-        return {(int(k) // self.size, int(k) % self.size): (int(r), int(m)) for k, r, m in zip(self.keys, self.rank, self.made, strict=True)}
+    def lowest_near(self, rank: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The lowest rank within reach on either side, inside runs of `count`; by minima over blocks of one width."""
+        reach = self.reach
+        # reach places without a pair between runs, and around all
+        place = np.arange(len(rank)) + reach * (1 + np.repeat(np.arange(len(count)), count))
+        width = 2 * reach + 1
+        size = -(-(len(rank) + reach * (len(count) + 1)) // width) * width
+        row = np.full(size + width, NONE)
+        row[place] = rank
+        blocks = row.reshape(-1, width)
+        before = np.minimum.accumulate(blocks, axis=1).ravel()
+        after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+        return np.minimum(after[place - reach], before[place + reach])
 
     def learn(self, words: list[str]) -> None:
         """Puts ids (as joined decimals), their number and their bytes of new words into `known`."""
@@ -215,9 +209,11 @@ def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256) of every text, in one pass.
 
     Null text counts as the empty one (no tokens, digests of empty strings). Rows are independent: repeated or null ids
-    each give their row; an empty table gives none; further columns of docs are not read.
+    each give their row; very long texts are encoded whole; an empty table gives none; further columns are not read.
     """
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         sha = hashlib.sha256

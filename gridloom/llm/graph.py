@@ -7,31 +7,49 @@ from pyspark.sql import DataFrame, functions as F
 from .shared import dropped, stored
 
 
+#: Nodes with more than one HUBth of all links are hubs: there are at most twice as many of them as that.
+HUB = 256
+
+
+def with_minimum(links: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """(rows (u, v) of links with `m`, the smallest v of each u; the stored table of minima).
+
+    Minima are aggregated before the shuffle. Those of hubs, 2 * HUB rows at most, are broadcast, so that no task gets all
+    links of a hub; the rest meet by a shuffle.
+    """
+    least = stored(links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "minima")
+    hubs = least.where(F.col("n") * HUB > total)
+    hub = F.broadcast(hubs.select(F.col("u").alias("h"), F.col("m").alias("hm")))
+    marked = links.join(hub, links["u"] == F.col("h"), "left")
+    most = marked.where("h IS NOT NULL").select("u", "v", F.col("hm").alias("m"))
+    rest = marked.where("h IS NULL").select("u", "v").join(least.where(F.col("n") * HUB <= total).select("u", "m"), "u")
+    return most.unionByName(rest.select("u", "v", "m")), least
+
+
 def components(links: DataFrame) -> DataFrame:
     """Rows (node, root), long: of every node in links (a, b) the smallest node that is reachable, for nodes that have links.
 
-    Alternates large stars and small stars over distributed tables, each round written to the shared folder: a round
+    Alternates large stars and small stars over distributed tables, each step written to the shared folder: a round
     links every node to the smallest neighbour known, first those above it, then those below, until nothing changes.
-    Minima are aggregated before the shuffle; joins on a node with many neighbours are left to Spark's skew handling.
     Loops and nulls are no links; repeated ones count once.
     """
     pairs = links.where("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct()
     edges = stored(pairs, "links")
-    if edges.isEmpty():
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    before = None
-    while True:
+    seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # every neighbour above u goes to the smallest of u and its neighbours
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        whole, least = with_minimum(both, seen[0])
+        large = stored(whole.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "large")
         # then of the smaller neighbours of each node the smallest takes the others and the node itself
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        after = stored(small.where("u <> v").distinct(), "links")
-        seen = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        dropped(edges)
+        dropped(least)
+        whole, least = with_minimum(large, seen[0])
+        small = whole.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        after = stored(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
+        before, seen = seen, after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        for t in (edges, large, least):
+            dropped(t)
         edges = after
         if seen == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = seen
+            break
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

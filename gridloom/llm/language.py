@@ -43,8 +43,8 @@ LEAST_ROWS, MOST_ROWS, WORDS_PER_ROW = 1 << 12, 1 << 19, 32
 ROUNDS, STEP, DAMP, UNIT = 2, 0.5, 60.0, 4096
 #: Positions whose chances are computed at a time (they fit a cache) and whose expectations are summed at a time; ranges
 #: of rows that are merged together; training tokens for each task.
-BATCH, GROUP, SHARDS, TASK = 1 << 13, 1 << 19, 64, 12_000_000
-CHUNK = 8 << 20
+BATCH, GROUP, SHARDS, TASK = 1 << 13, 1 << 18, 64, 5_000_000
+CHUNK = 4 << 20
 GOLD = 0x9E3779B97F4A7C15
 
 

@@ -1,10 +1,11 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact containment verifies them.
 
-Texts and templates are words of a-z and 0-9, and shingles of five words. A template of T shingles is sought in windows
-of T + stride - 1 shingles, stride = max(1, T // 4), so that a whole occurrence lies in one window. A window retrieves
-a template if one of BANDS minima (one row a band) is the same. A window that holds 0.8 of the template has a Jaccard
-similarity of at least 0.8 / 1.45, so that it is missed with a chance of at most 0.45 ** 14 = 1.4e-5; an exact copy has
-0.8 or more and is missed at 2e-10. The window matches if it holds 0.8 or more of the template's distinct shingles.
+Texts and templates are words of a-z and 0-9, and shingles of five words. A template of L shingles, T of them distinct,
+is sought in windows of L + stride - 1 shingles, stride = max(1, T // 4), so that a whole occurrence lies in one window.
+A window retrieves a template if one of its bands' minima (one row a band) is the same. A window that holds 0.8 of the
+template's distinct shingles has a Jaccard similarity of at least 0.8 T / (L + 0.45 T); the template has as many bands
+as keep the chance to miss it below MISS. Without repeats (L = T) that is 0.8 / 1.45 and 14 bands; an exact copy is
+missed at 2e-10. The window matches if it holds 0.8 or more of the template's distinct shingles.
 A minimum can only be the same where the window holds the shingle that is the template's own minimum: windows without
 any such shingle, most of all, are passed over before minima are taken, which changes no result. All of it is column
 expressions over one document; nothing is shuffled. The templates are a parameter of at most MOST_SHINGLES shingles; one
@@ -15,12 +16,17 @@ the names in SPDX lines are added.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterable, Mapping
 from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-SHINGLE, BANDS, SHARE, MOST_SHINGLES = 5, 14, 80, 20_000
+from .shared import own_names
+
+SHINGLE, SHARE, MOST_SHINGLES = 5, 80, 20_000
+#: The chance to miss a matching window, and the bands that a template may take for it.
+MISS, MOST_BANDS = 1.5e-5, 256
 #: Whole texts in license_texts/NAME.txt, without the appendix that says how to apply them.
 TEXTS = ("Apache-2.0", "BSL-1.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "Zlib")
 PUBLISHED = "under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or"
@@ -91,8 +97,8 @@ def shingles_of(words: Column) -> Column:
     return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def minimum(shingles: Column, band: int) -> Column:
-    return F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, F.lit(band))))
+def minimum(shingles: Column, band: Column) -> Column:
+    return F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, band)))
 
 
 def longs(values: list[int]) -> Column:
@@ -100,17 +106,24 @@ def longs(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def keyed(band: int):
-    return lambda h: F.struct(F.xxhash64(h, F.lit(band)).alias("v"), h.alias("h"))
+def keyed(band: Column):
+    return lambda h: F.struct(F.xxhash64(h, band).alias("v"), h.alias("h"))
 
 
 def prepared(spark: SparkSession, templates: Mapping[str, str | tuple[str, ...]]) -> list[dict]:
     """Of each template its name, distinct shingles, minima and the shingles that are minima."""
     each = [(n, t) for n, ts in templates.items() for t in ((ts,) if isinstance(ts, str) else ts)]
-    rows = spark.createDataFrame(each, "name string, text string").select("name", words_of(F.col("text")).alias("words")).select("name", F.array_distinct(shingles_of(F.col("words"))).alias("shingles"))
-    rows = rows.select("*", F.array(*(minimum(F.col("shingles"), p) for p in range(BANDS))).alias("minima"))
-    rows = rows.select("*", F.array_distinct(F.array(*(F.array_min(F.transform("shingles", keyed(p)))["h"] for p in range(BANDS)))).alias("marks"))
+    rows = spark.createDataFrame(each, "name string, text string").select("name", shingles_of(words_of(F.col("text"))).alias("all"))
+    rows = rows.select("name", F.size("all").alias("length"), F.array_distinct("all").alias("shingles"))
+    similar = 0.8 * F.size("shingles") / (F.col("length") + 0.45 * F.size("shingles"))
+    rows = rows.withColumn("bands", F.when(F.size("shingles") > 0, F.ceil(F.lit(math.log(MISS)) / F.log(1 - similar))).otherwise(1).cast("int"))
+    band = lambda value: F.transform(F.sequence(F.lit(0), F.col("bands") - 1), lambda p: value(p))
+    rows = rows.select("*", band(lambda p: minimum(F.col("shingles"), p)).alias("minima"))
+    rows = rows.select("*", F.array_distinct(band(lambda p: F.array_min(F.transform("shingles", keyed(p)))["h"])).alias("marks"))
     out = [r.asDict() for r in rows.orderBy("name").collect()]
+    repeats = [r["name"] for r in out if r["bands"] > MOST_BANDS]
+    if repeats:
+        raise ValueError(f"templates that repeat themselves so often that they need more than {MOST_BANDS} bands: {repeats}")
     if sum(len(r["shingles"]) for r in out) > MOST_SHINGLES:
         raise ValueError(f"templates of more than {MOST_SHINGLES} shingles")
     short = [r["name"] for r in out if not r["shingles"]]
@@ -122,14 +135,14 @@ def prepared(spark: SparkSession, templates: Mapping[str, str | tuple[str, ...]]
 def holds(shingles: Column, template: dict) -> Column:
     """Does a window of `shingles` retrieve and match the template?"""
     n = len(template["shingles"])
-    stride = max(1, n // 4)
+    stride, most = max(1, n // 4), template["length"]
     mine, marks, minima = (longs(template[c]) for c in ("shingles", "marks", "minima"))
 
     def window(start: Column) -> Column:
-        return F.slice(shingles, start, n + stride - 1)
+        return F.slice(shingles, start, most + stride - 1)
 
     def same(start: Column) -> Column:
-        return F.exists(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda p: F.array_min(F.transform(window(start), lambda h: F.xxhash64(h, p))) == F.get(minima, p))
+        return F.exists(F.sequence(F.lit(0), F.lit(template["bands"] - 1)), lambda p: F.array_min(F.transform(window(start), lambda h: F.xxhash64(h, p))) == F.get(minima, p))
 
     def matches(start: Column) -> Column:
         return same(start) & (100 * F.size(F.array_intersect(window(start), mine)) >= SHARE * n)
@@ -141,7 +154,8 @@ def holds(shingles: Column, template: dict) -> Column:
 def scan(docs: DataFrame, templates: Mapping[str, str | tuple[str, ...]] | None = None, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """Rows (*keep, licenses), one for each row of docs: the names found, in order, an empty array if there are none.
 
-    Null, empty and short texts hold no license. Repeated rows give a row each; further columns are not read.
+    Null, empty and short texts hold no license; very long ones are scanned whole. Repeated rows give a row each; an empty
+    table gives none. Columns not in keep are not read; a kept one named licenses comes back as _licenses.
     """
     known = prepared(docs.sparkSession, defaults() if templates is None else templates)
     kept = [f"_k{i}" for i in range(len(keep))]
@@ -153,4 +167,4 @@ def scan(docs: DataFrame, templates: Mapping[str, str | tuple[str, ...]] | None
     found = [F.when(holds(F.col("_h"), t), F.lit(t["name"])) for t in known]
     names = F.array_compact(F.array(*found)) if found else none
     names = F.array_sort(F.array_union("_t", F.when(F.col("_any"), names).otherwise(none)))
-    return rows.select(*(F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)), names.alias("licenses"))
+    return rows.select(*(F.col(k).alias(c) for k, c in zip(kept, own_names(keep, ["licenses"]), strict=True)), names.alias("licenses"))

@@ -11,6 +11,7 @@ Statistics are computed for every document from its whole text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import stored
+from .shared import bounded_batches, dropped, own_names, stored
 from .text import coded, covered, hashed, slices, windows, words_of
 
 MAX_LABELLED = 50_000
@@ -82,15 +83,17 @@ def statistics_of(text: pa.Array) -> dict[str, np.ndarray]:
 
 def statistics(docs: DataFrame, *, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """Rows of `keep` columns and STATS (bigint), one for each row of docs."""
+    bounded_batches(docs.sparkSession)
     kept = [f"_k{i}" for i in range(len(keep))]
+    names = own_names(keep, [*STATS, "base_failed", "rule", "kept"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
                 stats = statistics_of(part.column("_text"))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *(pa.array(stats[s], pa.int64()) for s in STATS)], [*keep, *STATS])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *(pa.array(stats[s], pa.int64()) for s in STATS)], [*names, *STATS])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{s} bigint" for s in STATS)])
+    schema = ", ".join([*(f"`{n}` {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True)), *(f"{s} bigint" for s in STATS)])
     return docs.select(*(docs[c].alias(k) for c, k in zip(keep, kept, strict=True)), docs[text_col].alias("_text")).mapInArrow(run, schema)
 
 
@@ -233,15 +236,24 @@ def labelled(stats: DataFrame, labels: DataFrame, *, most: int = MAX_LABELLED) -
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", "quality").distinct()
     order = F.xxhash64(F.lit(7), F.col("doc_id"))
-    some = stats.select("doc_id", *STATS).join(known, "doc_id").withColumn("_order", order).orderBy("_order", "quality", *STATS).limit(most)
-    rows = some.toPandas()
+    some = stored(stats.select("doc_id", *STATS).join(known, "doc_id").withColumn("_order", order), "labelled")
+    total = some.count()
+    if total > most:
+        # hashes below a cut that leaves `most` rows and a margin of eight deviations: only those come to the driver
+        share = min(1.0, (most + 8 * math.sqrt(most) + 64) / total)
+        few = some.where(F.col("_order") < int(-(2**63) + share * (2**64 - 1))) if share < 1 else some
+    else:
+        few = some
+    rows = few.orderBy("_order", "quality", *STATS).limit(most).toPandas()
+    dropped(some)
     return {s: rows[s].to_numpy(np.int64) for s in STATS}, rows["quality"].to_numpy() == 0, rows["_order"].to_numpy(np.int64) % 3
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, keep: Sequence[str] = ("doc_id",), most: int = MAX_LABELLED) -> tuple[DataFrame, list[Rule]]:
     """(rows of `keep` and STATS with base_failed, rule and kept, one for each row of docs; the rules learned).
 
-    keep must hold doc_id. Null or empty texts have no words and fail the base. Without labels there are no rules. Rows
+    keep must hold doc_id. Null or empty texts have no words and fail the base; very long texts are judged whole. An empty
+    table gives no rows. Columns not in keep are not read; a kept one of the name of an output comes back with a leading _. Without labels there are no rules. Rows
     with the same or no doc_id are judged each by its own text.
     """
     stats = stored(statistics(docs, keep=keep), "quality")

@@ -104,12 +104,12 @@ WITH t(name, text) AS (VALUES ('Apache-2.0', 'Licensed under the Apache License,
   ('GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'), ('MIT', 'Released under the MIT License.')),
 tw AS (SELECT name, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS ws FROM t),
 ts AS (SELECT DISTINCT name, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT name, ws, unnest(range(1, len(ws) - 3)) AS i FROM tw)),
-tn AS (SELECT name, count(*) AS n, greatest(1, count(*) // 4) AS stride FROM ts GROUP BY name),
+tn AS (SELECT name, count(*) AS n, any_value(len(ws)) - 4 AS l, greatest(1, count(*) // 4) AS stride FROM ts JOIN tw USING (name) GROUP BY name),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS ws FROM documents),
 ds AS (SELECT doc_id, i - 1 AS i, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
-hit AS (SELECT doc_id, name, n, stride, i, s FROM ds JOIN ts USING (s) JOIN tn USING (name)),
-win AS (SELECT doc_id, name, n, s, unnest(range(greatest(0, (i - n - stride) // stride), i // stride + 1)) AS k, i, stride FROM hit),
-found AS (SELECT doc_id, name FROM win WHERE i < k * stride + n + stride - 1 GROUP BY doc_id, name, n, k HAVING 100 * count(DISTINCT s) >= 80 * n),
+hit AS (SELECT doc_id, name, n, l, stride, i, s FROM ds JOIN ts USING (s) JOIN tn USING (name)),
+win AS (SELECT doc_id, name, n, l, s, unnest(range(greatest(0, (i - l - stride) // stride), i // stride + 1)) AS k, i, stride FROM hit),
+found AS (SELECT doc_id, name FROM win WHERE i < k * stride + l + stride - 1 GROUP BY doc_id, name, n, k HAVING 100 * count(DISTINCT s) >= 80 * n),
 one AS (SELECT doc_id, count(DISTINCT name) AS c, string_agg(DISTINCT name, ',' ORDER BY name) AS l FROM found GROUP BY doc_id)
 SELECT doc_id, coalesce(c, 0)::BIGINT AS n_licenses, coalesce(l, '') AS licenses FROM documents LEFT JOIN one USING (doc_id)
 """

@@ -12,14 +12,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .shared import deal, shared_dir, stored
+from .shared import bounded_batches, deal, dropped, own_names, shared_dir, stored
 from .text import slices
 
 #: A private key from its BEGIN line to the next END line, if no other BEGIN comes first; else over header fields and
@@ -39,22 +40,44 @@ RULES = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE), lambda m: len(m[2]) >= 8),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
     ("hex", re.compile(r"[0-9a-f]{32,}"), None),  # the same as runs of any length of which the shorter are dropped
-    ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), None),
     ("pem", PEM, None),
 )
+#: The middle part of a signed token, before its last; the first is sought backwards from there, so that each letter is
+#: read a bounded number of times.
+JWT_MIDDLE, JWT_LETTERS = re.compile(r"\.eyJ[A-Za-z0-9_-]++(?=\.[A-Za-z0-9_-])"), re.compile(r"[A-Za-z0-9_-]*+")
+KINDS = ("assign", "access", "hex", "jwt", "pem")
 BASE_KINDS = ("assign", "access", "hex")
 #: Changes whenever RULES does: pairs of a blob and an older version are scanned anew.
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 LEDGER = "blob string, rule_version string, spans array<struct<start:int,end:int,kind:string>>"
 #: Texts gathered at a time by the task that scans, and bytes of compressed blobs by the one that reads.
 HELD = 4 << 20
+#: Keys over which the copies of a blob are dealt.
+SALTS = 16
+
+
+def jwt_spans(text: str) -> Iterator[tuple[int, int]]:
+    """eyJ and letters, a dot, eyJ and letters, a dot, letters: from the first eyJ of the first part."""
+    at = 0
+    for m in JWT_MIDDLE.finditer(text):
+        if m.start() < at:
+            continue
+        # token letters back to a sign or to the end of the last span; stretches between dots never overlap
+        head = text[max(at, text.rfind(".", at, m.start()) + 1) : m.start()]
+        head = JWT_LETTERS.match(head[::-1])[0][::-1]
+        start = head.find("eyJ")
+        if 0 <= start < len(head) - 3:
+            at = JWT_LETTERS.match(text, m.end() + 1).end()
+            yield m.start() - len(head) + start, at
 
 
 def spans_of(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each finding, in code points, by start and then kind as listed."""
     found = []
-    for order, (kind, pattern, holds) in enumerate(RULES):
+    for kind, pattern, holds in RULES:
+        order = KINDS.index(kind)
         found += [(m.start(), order, m.end(), kind) for m in pattern.finditer(text) if holds is None or holds(m)]
+    found += [(a, KINDS.index("jwt"), b, "jwt") for a, b in jwt_spans(text)]
     return [(a, b, kind) for a, _, b, kind in sorted(found)]
 
 
@@ -99,16 +122,34 @@ def scanned(blobs: DataFrame) -> DataFrame:
     return blobs.mapInArrow(run, LEDGER)
 
 
+#: Unseen addresses that are broadcast, of 64 characters each; beyond that their join is a shuffle.
+MOST_ADDRESSES = 100_000
+
+
+def address(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
 def scan(docs: DataFrame, ledger: DataFrame | None = None, *, text_col: str = "text") -> DataFrame:
     """New ledger rows: of all blobs in docs of which `ledger` has no row with the present rule version.
 
     docs: one row for each version of each path. Null text counts as the empty one. Written once in the shared folder.
+    With a ledger, addresses alone are compared first; only bodies of unseen blobs go on.
     """
     spark = docs.sparkSession
-    blobs = blobs_of(docs, text_col).repartition(deal(spark), "blob")
+    bounded_batches(spark)
+    docs = docs.select(docs[text_col].alias("text"))
+    unseen = None
     if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
-    return stored(scanned(blobs), "ledger")
+        keyed = docs.withColumn("_blob", address(F.col("text")))
+        seen = ledger.where(F.col("rule_version") == RULE_VERSION).select(F.col("blob").alias("_blob"))
+        unseen = stored(keyed.select("_blob").distinct().join(seen, "_blob", "left_anti"), "unseen")
+        side = F.broadcast(unseen) if unseen.count() <= MOST_ADDRESSES else unseen
+        docs = keyed.join(side, "_blob", "left_semi")
+    new = stored(scanned(blobs_of(docs).repartition(deal(spark), "blob")), "ledger")
+    if unseen is not None:
+        dropped(unseen)
+    return new
 
 
 def update(spark: SparkSession, docs: DataFrame, path: str | None = None, *, text_col: str = "text") -> tuple[DataFrame, int]:
@@ -117,20 +158,38 @@ def update(spark: SparkSession, docs: DataFrame, path: str | None = None, *, tex
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     exists = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
     new = scan(docs, spark.read.schema(LEDGER).parquet(path) if exists else None, text_col=text_col)
+    count = new.count()
     new.write.mode("append").parquet(path)
-    return spark.read.schema(LEDGER).parquet(path), new.count()
+    dropped(new)
+    return spark.read.schema(LEDGER).parquet(path), count
+
+
+def fresh_ledger(spark: SparkSession) -> str:
+    """The path of a ledger that nobody has written yet, in the shared folder."""
+    return f"{shared_dir(spark)}/gridloom/secret-ledger-{uuid.uuid4().hex}"
+
+
+def found_in(rows: DataFrame, ledger: DataFrame) -> DataFrame:
+    """rows (row, text) with `spans`, an array of (start, end, kind); empty where nothing was found.
+
+    Only blobs with findings are joined, each once: that side is small, while copies of one blob can be many. Copies of a
+    blob are dealt over SALTS keys, and its findings go to each.
+    """
+    empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    found = ledger.where((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).groupBy("blob").agg(F.first("spans").alias("spans"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    found = found.select("blob", "spans", salts.alias("salt"))
+    keyed = rows.withColumn("blob", address(F.col("text"))).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return keyed.join(found, ["blob", "salt"], "left").select("row", "text", F.coalesce("spans", empty).alias("spans"))
 
 
 def findings(docs: DataFrame, ledger: DataFrame, *, text_col: str = "text") -> DataFrame:
     """All rows and columns of docs with `spans`, an array of (start, end, kind); empty where nothing was found.
 
-    Only blobs with findings are joined: that side is small, while copies of one blob can be many.
+    A column of docs that is named spans comes back as _spans. An empty table gives no rows.
     """
-    found = ledger.where((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    keyed = docs.withColumn("_blob", F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256))
-    joined = keyed.join(found, "_blob", "left")
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    return joined.select(*[joined[c] for c in docs.columns], F.coalesce("_spans", empty).alias("spans"))
+    rows = docs.select(F.struct(*(docs[c].alias(n) for c, n in zip(docs.columns, own_names(docs.columns, ["spans"]), strict=True))).alias("row"), docs[text_col].alias("text"))
+    return found_in(rows, ledger).select("row.*", "spans")
 
 
 def listed(spans, kinds: tuple[str, ...] | None = None):
@@ -139,30 +198,35 @@ def listed(spans, kinds: tuple[str, ...] | None = None):
     return F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def digest(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+def digest(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     """Rows (doc_id, n_assign, n_access, n_hex, base_sha256, spans) of each row of docs (doc_id, text).
 
-    Null or empty text: no findings. Repeated rows give a row each; further columns are not read.
+    The ledger at the path `ledger` is brought up to date and joined back; without a path it is a new one. Null or empty
+    text: no findings. Very long texts are scanned whole. Repeated rows give a row each; an empty table gives none; further
+    columns are not read.
     """
-    docs = docs.select("doc_id", "text")
-    new = scan(docs, ledger)
-    known = new if ledger is None else ledger.unionByName(new)
-    found = findings(docs.select("doc_id", "text"), known)
+    spark = docs.sparkSession
+    known, _ = update(spark, docs.select("text"), ledger or fresh_ledger(spark))
+    found = found_in(docs.select(F.struct("doc_id").alias("row"), "text"), known)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
-    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE_KINDS], F.sha2(listed(F.col("spans"), BASE_KINDS).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select("row.doc_id", *[count(k).alias(f"n_{k}") for k in BASE_KINDS], F.sha2(listed(F.col("spans"), BASE_KINDS).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 def masked(docs: DataFrame, ledger: DataFrame, *, mask: str = "[secret]") -> DataFrame:
-    """docs with every finding in `text` replaced by mask; overlapping findings are replaced together."""
+    """docs with every finding in `text` replaced by mask; overlapping findings are replaced together.
+
+    Null texts stay null. Columns may have any names; an empty table gives no rows.
+    """
+    bounded_batches(docs.sparkSession)
+    others = [c for c in docs.columns if c != "text"]
+    found = found_in(docs.select(F.struct(*(docs[c].alias(f"c{i}") for i, c in enumerate(others))).alias("row") if others else F.struct(F.lit(0)).alias("row"), "text"), ledger)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts = batch.column(at)
+            texts = batch.column("text")
             if pc.sum(pc.list_value_length(batch.column("spans"))).as_py():
                 texts = pa.array([cut(t, s) for t, s in zip(texts.to_pylist(), batch.column("spans").to_pylist(), strict=True)], pa.string())
-            names = [n for n in batch.schema.names if n != "spans"]
-            yield pa.RecordBatch.from_arrays([texts if n == "text" else batch.column(n) for n in names], names)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), texts], ["row", "text"])
 
     def cut(text: str | None, spans: list[dict]) -> str | None:
         out, at = [], 0
@@ -172,4 +236,5 @@ def masked(docs: DataFrame, ledger: DataFrame, *, mask: str = "[secret]") -> Dat
             at = max(at, s["end"])
         return text if not spans else "".join(out) + text[at:]
 
-    return findings(docs, ledger).mapInArrow(run, docs.schema)
+    done = found.mapInArrow(run, f"row {found.schema['row'].dataType.simpleString()}, text string")
+    return done.select(*(F.col("text") if c == "text" else F.col(f"row.c{others.index(c)}").alias(c) for c in docs.columns))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,8 +41,22 @@ def deal(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def own_names(keep: Sequence[str], outputs: Sequence[str]) -> list[str]:
+    """Names under which kept columns come back: their own, with a leading _ for each output column of that name."""
+    taken, out = {c.lower() for c in outputs}, []
+    for c in keep:
+        while c.lower() in taken:
+            c = f"_{c}"
+        taken.add(c.lower())
+        out.append(c)
+    return out
+
+
 def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
-    """Lets the session hand Python workers Arrow batches of at most `most` bytes (or one row): texts can be very long."""
+    """Lets the session hand Python workers Arrow batches of at most `most` bytes (or one row): texts can be very long.
+
+    The setting stays: results are lazy, and no later plan gives other rows for it.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key).lower().rstrip("b")) > most:
         spark.conf.set(key, f"{most}b")

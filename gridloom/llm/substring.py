@@ -2,14 +2,15 @@
 
 A word goes if some window of k consecutive words that covers it also begins in a document with a smaller id.
 
-1. Map tasks hash all windows of their texts, keep one entry for each hash of a block of texts and smallest document,
-   and send the sorted entries to the shuffle partition that the hash's high bits name: one packed blob for each
-   (block, partition), about seven bytes a window.
+1. Map tasks hash all windows of a block of texts. Of a hash that stands in several documents of the block, only the
+   smallest one's entries travel; the others' windows go anyway and are answered at once. The sorted entries go to the
+   shuffle partition that the hash's high bits name: one packed blob for each (block, partition), about seven bytes a
+   window.
 2. Each shuffle partition sorts its hashes, takes the smallest document of each, and answers with the windows that
    begin in a larger one: one row for each document, of packed word positions.
 3. Answers meet the texts by a key of the document's id and text; runs of windows merge into maximal intervals, which
    are cut out.
-A passage that a third of all documents share is one entry for each of their windows, like any other. Hashes have
+A passage that a third of all documents share is one document's entries for each block of 3 MB of text. Hashes have
 64 bits: two different windows share one with a chance of 5e-20.
 """
 
@@ -24,7 +25,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import bounded_batches, deal, stored
+from .shared import bounded_batches, deal, own_names, stored
 from .text import coded, covered, from_planes, hashed, planes, ragged, slices, windows, words_of
 
 WINDOW = 13
@@ -39,11 +40,26 @@ def row_keys(ids: pa.Array, bodies: list[bytes]) -> np.ndarray:
 
 
 #: block: digest of the keys of a block's rows. Blobs have hashes (sorted, as deltas), at (each entry's first word in the
-#: block), and ids and starts of the documents that have entries; a block's one table has part -1, ids, starts and keys.
+#: block), and ids and starts of the documents that have entries; a block's one table has part -1, ids, starts and
+#: keys, and the places answered at once as at.
 BLOB = pa.schema([("part", pa.int32()), ("deal", pa.int32()), ("block", pa.int64()), *((n, pa.binary()) for n in ("hashes", "at", "ids", "starts", "keys"))])
 BLOB_DDL = "part int, deal int, block bigint, hashes binary, at binary, ids binary, starts binary, keys binary"
 
 
+def thinned(window: np.ndarray, first: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted windows and their places without those that a smaller document of the block holds too, and the latter's places."""
+    new = np.concatenate(([True], window[1:] != window[:-1]))
+    some = np.flatnonzero(~(new & np.concatenate((new[1:], [True]))))
+    if not len(some):
+        return window, first, first[:0]
+    own = ids[np.searchsorted(offsets, first[some], side="right") - 1]
+    group = np.flatnonzero(new[some])
+    later = some[own > np.repeat(np.minimum.reduceat(own, group), np.diff(np.append(group, len(some))))]
+    keep = np.ones(len(window), bool)
+    keep[later] = False
+    return window[keep], first[keep], first[later]
+
+
 def window_blobs(docs: DataFrame, k: int, parts: int) -> DataFrame:
     """Blobs of all windows of each block of texts, one for each partition, and the block's table.
 
@@ -67,9 +83,10 @@ def window_blobs(docs: DataFrame, k: int, parts: int) -> DataFrame:
                 ids = block.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 order = np.argsort(window)
                 window, first = window[order], first[order].astype(np.uint32)
+                window, first, gone = thinned(window, first, ids, offsets)
                 part = ((window >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # in the order of the hashes
                 cuts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]))
-                rows = [(-1, name % parts, name, None, None, flat(ids), flat(offsets[:-1]), pack(planes(keys)))]
+                rows = [(-1, name % parts, name, None, np.sort(gone).tobytes() or None, flat(ids), flat(offsets[:-1]), pack(planes(keys)))]
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     present = np.unique(np.searchsorted(offsets, first[a:b], side="right") - 1)
                     rows.append((int(part[a]), int(part[a]), name, flat(window[a:b]), pack(planes(first[a:b])), flat(ids[present]), flat(offsets[present]), None))
@@ -175,7 +192,9 @@ def dedup(docs: DataFrame, *, k: int = WINDOW, keep: tuple[str, ...] = (), verba
 
     removed: maximal intervals of words (begin, end), judged on the input; text: the words left, joined by one space;
     if verbatim, texts that lose nothing stay as they are.
-    Null text has no words and gives an empty text. Texts of fewer than k words lose nothing. A null doc_id is smaller
+    Null text has no words and gives an empty text (null if verbatim). Texts of fewer than k words lose nothing; very long
+    ones are judged whole. An empty table gives no rows. Columns not in keep are not read; a kept column that has the name
+    of an output comes back with a leading _. A null doc_id is smaller
     than none and larger than none: such rows lose nothing and take nothing. Rows that share a doc_id take nothing from
     each other.
     """
@@ -184,6 +203,7 @@ def dedup(docs: DataFrame, *, k: int = WINDOW, keep: tuple[str, ...] = (), verba
     parts = 4 * deal(spark)
     found = stored(repeated(window_blobs(docs, k, parts).repartitionById(parts, F.col("deal"))), "repeats")
     kept = [f"_k{i}" for i in range(len(keep))]
+    names = own_names(keep, ["doc_id", "n_words", "n_removed", "removed", "text"])
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -215,12 +235,12 @@ def dedup(docs: DataFrame, *, k: int = WINDOW, keep: tuple[str, ...] = (), verba
                     texts.append((None if none else raw.decode()) if verbatim and not found else b" ".join(left + words[at:]).decode())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_id"), *(part.column(c) for c in kept), pa.array(count, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), pa.array(texts, pa.string())],
-                    ["doc_id", *keep, "n_words", "n_removed", "removed", "text"],
+                    ["doc_id", *names, "n_words", "n_removed", "removed", "text"],
                 )
 
     own = "".join(f", {k} {docs.schema[c].dataType.simpleString()}" for k, c in zip(kept, keep, strict=True))
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), *(F.col(c).alias(k) for c, k in zip(keep, kept, strict=True))).mapInArrow(bodies, f"key bigint, _id {id_kind}{own}, _none boolean, body binary")
     answers = by_document(found).groupBy("key", "_id").agg(F.first("first").alias("first"))
-    named = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    named = "".join(f", `{n}` {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
     return texts.join(answers, ["key", "_id"], "left").mapInArrow(cut, f"doc_id {id_kind}{named}, n_words bigint, n_removed bigint, removed array<struct<begin:int,end:int>>, text string")

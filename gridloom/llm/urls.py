@@ -15,12 +15,15 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import dropped, stored
+from .shared import dropped, own_names, stored
 
 #: Bytes that the levels of one cascade may take.
 MOST_BYTES = 32 << 20
+#: Bytes of a filter that come to the driver as one row.
+PIECE = 64 << 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,12 +64,16 @@ class Filter:
         return out
 
     def filled(self, keys: DataFrame) -> Filter:
-        """Bits are put together in Spark: one row comes back for each byte that is not 0."""
+        """Bits are put together in Spark, first as longs and then as pieces of PIECE bytes: the driver gets one row a piece."""
         at = keys.select(F.explode(self.places(F.col("key"))).alias("at"))
-        rows = at.groupBy(F.floor(F.col("at") / 8).alias("i")).agg(F.bit_or(F.expr("shiftleft(1, cast(at % 8 as int))")).alias("b")).collect()
-        data = bytearray((self.bits + 7) // 8)
-        for r in rows:
-            data[r["i"]] = r["b"]
+        words = at.groupBy(F.floor(F.col("at") / 64).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("b"))
+        # each long as 16 hexadecimal digits, so that the words of a piece join into one string
+        one = F.struct("i", F.lpad(F.hex("b"), 16, "0").alias("h"))
+        rows = words.groupBy(F.floor(F.col("i") * 8 / PIECE).alias("piece")).agg(F.array_sort(F.collect_list(one)).alias("w")).select("piece", F.col("w.i").alias("i"), F.array_join("w.h", "").alias("h"))
+        data = bytearray(8 * ((self.bits + 63) // 64))
+        held = np.frombuffer(data, "<u8")
+        for r in rows.collect():  # MOST_BYTES / PIECE rows at most
+            held[r["i"]] = np.frombuffer(bytes.fromhex(r["h"]), ">u8")
         return Filter(self.bits, self.hashes, self.seed, bytes(data))
 
 
@@ -126,7 +133,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], *, keep: Sequence[str] = ("pa
 
     A rule fits its host and all subdomains, if the path starts with the rule's; the longest wins; block or allow. Urls
     that no rule fits are not listed: allow. Null urls and urls without :// have empty hosts and paths. Repeated rows
-    give a row each. A key in both lists is blocked. Without rules all is allowed.
+    give a row each. A key in both lists is blocked. Without rules all is allowed. An empty table gives no rows; very long
+    urls are judged whole. Columns not in keep are not read; a kept one of the name of an output gets a leading _.
     """
     spark = pages.sparkSession
     host, path = parts(pages[url_col])
@@ -135,7 +143,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], *, keep: Sequence[str] = ("pa
     labels = F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1
     shapes = sorted({r.shape for r in rules})
     fits = [F.when((labels >= k) & (F.length("path") >= n), F.concat(F.substring_index("host", ".", -k), F.substring("path", 1, n))) for k, n in shapes]
-    out = [F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)]
+    out = [F.col(k).alias(c) for k, c in zip(kept, own_names(keep, ["host", "path", "rule", "verdict"]), strict=True)]
     if not rules:
         return rows.select(*out, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
     keyed = rows.withColumn("_keys", F.array_compact(F.array(*fits)))
