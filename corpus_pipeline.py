@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.llm import minhash, packing, quality, secrets, substring
 from gridloom.llm.queries import tokenizer
-from gridloom.llm.shared import stored
+from gridloom.llm.shared import dropped, stored
 
 
 def _measured(texts: DataFrame, like: DataFrame) -> DataFrame:
@@ -33,13 +33,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages that a document of a smaller id holds; texts that lose nothing stay as they are."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    return _measured(substring.dedup(docs, keep=others, verbatim=True), docs)
+    whole = docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("row"))
+    left = substring.dedup(whole, keep=("row",), verbatim=True)
+    return _measured(left.select("row.*", "text"), docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks every secret found."""
-    return _measured(secrets.masked(docs, secrets.scan(docs)), docs)
+    """Masks every secret found; the findings are in a ledger of this run's own."""
+    ledger, _ = secrets.update(spark, docs.select("text"), secrets.fresh_ledger(spark))
+    return _measured(secrets.masked(docs, ledger), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +56,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        after = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if i:
+            dropped(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
