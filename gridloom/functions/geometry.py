@@ -42,27 +42,138 @@ def envelope(corners: Column) -> list[Column]:
     return [f(corners.getField(c)).alias(n) for n, f, c in (("low0", F.array_min, "x"), ("high0", F.array_max, "x"), ("low1", F.array_min, "y"), ("high1", F.array_max, "y"))]
 
 
-def in_ring(x: Column, y: Column, corners: Column) -> Column:
-    """Ray casting: is (x, y) inside the ring? Borders count as half-open, so rings that share one never both hold a point."""
-    n = F.size(corners)
+def rings(wkt: Column) -> Column:
+    """All rings of a POLYGON or MULTIPOLYGON, holes included, as array<array<struct(x, y)>>; null for anything else."""
+    t = F.upper(F.trim(wkt))
+    body = F.regexp_extract(t, r"^(?:MULTI)?POLYGON\s*\((.*)\)$", 1)
+    lists = F.regexp_extract_all(body, F.lit(r"\(([^()]+)\)"), 1)
+    return F.when(well_formed(wkt) & t.rlike("^(MULTI)?POLYGON") & (F.size(lists) > 0), F.transform(lists, _corners))
 
-    def crosses(i: Column) -> Column:
-        p, q = F.get(corners, i), F.get(corners, (i + 1) % n)
-        at = p["x"] + (y - p["y"]) * (q["x"] - p["x"]) / F.nullif(q["y"] - p["y"], F.lit(0.0))
-        return F.when(((p["y"] > y) != (q["y"] > y)) & (x < at), 1).otherwise(0)
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda s, i: s + crosses(i)) % 2 == 1
+def _corners(inner: Column) -> Column:
+    def corner(s: Column) -> Column:
+        xy = F.split(F.trim(s), r"\s+")
+        return F.struct(F.get(xy, F.lit(0)).try_cast("double").alias("x"), F.get(xy, F.lit(1)).try_cast("double").alias("y"))
+
+    return F.transform(F.split(inner, ","), corner)
+
+
+def edges(parts: Column) -> Column:
+    """The edges of all rings as array<struct(x0, y0, x1, y1)>; a ring that is not closed is closed, empty edges go."""
+
+    def of(ring: Column) -> Column:
+        after = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+        out = F.zip_with(ring, after, lambda p, q: F.struct(p["x"].alias("x0"), p["y"].alias("y0"), q["x"].alias("x1"), q["y"].alias("y1")))
+        return F.filter(out, lambda e: (e["x0"] != e["x1"]) | (e["y0"] != e["y1"]))
+
+    return F.flatten(F.transform(parts, of))
+
+
+def inside(x: Column, y: Column, sides: Column) -> Column:
+    """Ray casting over edges (even-odd, so holes count): is (x, y) inside? Borders are half-open."""
+
+    def crosses(e: Column) -> Column:
+        at = e["x0"] + (y - e["y0"]) * (e["x1"] - e["x0"]) / F.nullif(e["y1"] - e["y0"], F.lit(0.0))
+        return ((e["y0"] > y) != (e["y1"] > y)) & (x < at)
+
+    return F.size(F.filter(sides, crosses)) % 2 == 1
+
+
+def _turn(e: Column, x: Column, y: Column) -> Column:
+    """Which side of an edge a point is on: the sign of the cross product."""
+    return F.signum((e["x1"] - e["x0"]) * (y - e["y0"]) - (e["y1"] - e["y0"]) * (x - e["x0"]))
+
+
+def _on(e: Column, x: Column, y: Column) -> Column:
+    """Is the point on the edge?"""
+    box = (x >= F.least(e["x0"], e["x1"])) & (x <= F.greatest(e["x0"], e["x1"])) & (y >= F.least(e["y0"], e["y1"])) & (y <= F.greatest(e["y0"], e["y1"]))
+    return box & (_turn(e, x, y) == 0)
+
+
+def _crossing(e: Column, f: Column) -> Column:
+    """Do the edges cross in a point inside both?"""
+    return (_turn(e, f["x0"], f["y0"]) * _turn(e, f["x1"], f["y1"]) < 0) & (_turn(f, e["x0"], e["y0"]) * _turn(f, e["x1"], e["y1"]) < 0)
+
+
+def _touching(e: Column, f: Column) -> Column:
+    ends = _on(e, f["x0"], f["y0"]) | _on(e, f["x1"], f["y1"]) | _on(f, e["x0"], e["y0"]) | _on(f, e["x1"], e["y1"])
+    return _crossing(e, f) | ends
+
+
+def _any_pair(a: Column, b: Column, test) -> Column:
+    return F.exists(a, lambda e: F.exists(b, lambda f: test(e, f)))
+
+
+def _corner_inside(a: Column, b: Column) -> Column:
+    """Is a corner of a inside b?"""
+    return F.exists(a, lambda e: inside(e["x0"], e["y0"], b))
+
+
+def polygons_intersect(a: Column, b: Column) -> Column:
+    """Do two polygons (edges) share a point, borders included? Edges meet, or one lies in the other."""
+    return _any_pair(a, b, _touching) | _corner_inside(a, b) | _corner_inside(b, a)
+
+
+def polygon_contains(a: Column, b: Column) -> Column:
+    """Is every point of b in a, borders included?
+
+    No edges cross; each corner and edge's middle of b is in a or on its border; no corner of a is inside b but on none of
+    its edges. An edge of b that leaves a through a corner of a and comes back before and after its middle is not seen.
+    """
+    covered = lambda x, y: inside(x, y, a) | F.exists(a, lambda e: _on(e, x, y))
+    corners = F.forall(b, lambda f: covered(f["x0"], f["y0"]) & covered((f["x0"] + f["x1"]) / 2, (f["y0"] + f["y1"]) / 2))
+    within = F.exists(a, lambda e: inside(e["x0"], e["y0"], b) & ~F.exists(b, lambda f: _on(f, e["x0"], e["y0"])))
+    return corners & ~within & ~_any_pair(a, b, _crossing)
+
+
+def _to_edge(e: Column, x: Column, y: Column) -> Column:
+    """Squared distance of a point from an edge."""
+    dx, dy = e["x1"] - e["x0"], e["y1"] - e["y0"]
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((x - e["x0"]) * dx + (y - e["y0"]) * dy) / (dx * dx + dy * dy)))
+    px, py = x - e["x0"] - t * dx, y - e["y0"] - t * dy
+    return px * px + py * py
+
+
+def polygon_distance(a: Column, b: Column) -> Column:
+    """The distance of two polygons: 0 if they intersect, else the least one of a corner from an edge."""
+    least = lambda p, q: F.array_min(F.flatten(F.transform(p, lambda e: F.transform(q, lambda f: _to_edge(f, e["x0"], e["y0"])))))
+    return F.when(polygons_intersect(a, b), F.lit(0.0)).otherwise(F.sqrt(F.least(least(a, b), least(b, a))))
+
+
+def _boxed(polygons: DataFrame) -> DataFrame:
+    """Rows (id, SIDES, sides) of polygons (id, rings): envelopes with the edges as payload; null rings go."""
+    every = F.flatten("rings")
+    return polygons.where("rings IS NOT NULL").select("id", *envelope(every), edges(F.col("rings")).alias("sides"))
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, **options) -> DataFrame:
-    """Rows (id_a, id_b): points (id, x, y) in polygons (id, ring), by a join of envelopes and a test of those pairs alone.
+    """Rows (id_a, id_b): points (id, x, y) in polygons (id, ring) or (id, rings), rings with holes by the even-odd rule.
 
-    Ids of polygons must be unique. Null rings hold nothing.
+    Envelopes carry the edges through their join, and only its pairs are tested. Null rings hold nothing. Rows that repeat
+    give pairs each.
     """
     from ..operators.join import as_rects, matched
     from .predicates import intersects, valid
 
-    boxes = polygons.select("id", *envelope(F.col("ring")))
-    pairs = matched(valid(as_rects(points)), valid(boxes), test=intersects(), **options)
-    rings = polygons.select(F.col("id").cast("long").alias("id_b"), F.col("ring").alias("_ring"))
-    return pairs.join(rings, "id_b").where(in_ring(F.col("a_low0"), F.col("a_low1"), F.col("_ring"))).select("id_a", "id_b")
+    if "rings" not in polygons.columns:
+        polygons = polygons.select("id", F.when(F.col("ring").isNotNull(), F.array("ring")).alias("rings"))
+    pairs = matched(valid(as_rects(points)), valid(_boxed(polygons), keep=("sides",)), test=intersects(), payload_b="sides", **options)
+    return pairs.where(inside(F.col("a_low0"), F.col("a_low1"), F.col("b_sides"))).select("id_a", "id_b")
+
+
+def polygon_join(a: DataFrame, b: DataFrame, *, predicate_name: str = "intersects", distance: float | None = None, **options) -> DataFrame:
+    """Rows (id_a, id_b) of polygons (id, rings) for which predicate_name holds exactly: intersects, contains, within, distance.
+
+    The envelopes' join proposes pairs. Null rings match nothing; borders belong to polygons; rows that repeat give pairs
+    each; empty tables give none.
+    """
+    from ..operators.join import matched
+    from .predicates import predicate, valid
+
+    tests = {"intersects": polygons_intersect, "contains": polygon_contains, "within": lambda x, y: polygon_contains(y, x), "distance": lambda x, y: polygon_distance(x, y) <= F.lit(float(distance))}
+    if predicate_name not in tests:
+        raise ValueError(f"predicate: {predicate_name}")
+    by = float(distance or 0.0) if predicate_name == "distance" else 0.0
+    left, right = (valid(_boxed(t), keep=("sides",)) for t in (a, b))
+    pairs = matched(left, right, test=predicate(predicate_name, "closed", distance), by=by, payload_a="sides", payload_b="sides", **options)
+    return pairs.where(tests[predicate_name](F.col("a_sides"), F.col("b_sides"))).select("id_a", "id_b")

@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SIDES = ("low0", "high0", "low1", "high1")
 
 
-def valid(df: DataFrame, *, precision: str = "double", drop_zero_rows: bool = False) -> DataFrame:
-    """The rows (id, SIDES) whose coordinates are numbers, as double; precision float32 rounds them to 32 bits first."""
+def valid(df: DataFrame, *, precision: str = "double", drop_zero_rows: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The rows (id, SIDES, *keep) whose coordinates are numbers, as double; precision float32 rounds them to 32 bits first."""
     if precision not in ("double", "float32"):
         raise ValueError(f"precision: {precision}")
     cast = (lambda c: F.col(c).cast("float").cast("double")) if precision == "float32" else (lambda c: F.col(c).cast("double"))
-    out = df.select(F.col("id").cast("long").alias("id"), *(cast(c).alias(c) for c in SIDES))
+    out = df.select(F.col("id").cast("long").alias("id"), *(cast(c).alias(c) for c in SIDES), *keep)
     for c in SIDES:
         out = out.where(F.col(c).isNotNull() & ~F.isnan(c))
     if drop_zero_rows:

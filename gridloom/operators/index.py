@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.predicates import SIDES, side
+from ..functions.predicates import SIDES, predicate, side, valid
 from .partition import checkpointed, ranked
 
 BOX = [F.min, F.max, F.min, F.max]
@@ -33,17 +33,31 @@ def leaves(df: DataFrame, node_size: int = 16) -> DataFrame:
 
 
 def build(df: DataFrame, node_size: int = 16) -> Tree:
-    """The tree of valid rectangles; no levels if there are none."""
+    """The tree of valid rectangles; no levels if there are none.
+
+    Leaves are written once; every level above is an aggregation of the leaf level, not of the one below, so no level
+    waits for another.
+    """
     objects = checkpointed(leaves(df, node_size))
-    below, levels = objects.withColumn("node", F.col("leaf")), []
-    while not below.isEmpty():
-        box = below.groupBy("node").agg(F.count("*").alias("n"), *(f(c).alias(c) for f, c in zip(BOX, SIDES, strict=True)))
-        level = checkpointed(box.withColumn("parent", F.floor(F.col("node") / node_size).cast("long")))
-        levels.append(level)
-        if level.count() == 1:
-            break
-        below = level.select(F.col("parent").alias("node"), *SIDES)
-    return Tree(objects, levels)
+    box = [F.sum("n").alias("n") if i < 0 else BOX[i](SIDES[i]).alias(SIDES[i]) for i in (-1, 0, 1, 2, 3)]
+    lowest = checkpointed(objects.withColumn("n", F.lit(1).cast("long")).groupBy(F.col("leaf").alias("node")).agg(*box))
+    last = lowest.agg(F.max("node")).first()[0]
+    return Tree(objects, [] if last is None else _levels(lowest, last, node_size))
+
+
+def _levels(lowest: DataFrame, last: int, node_size: int) -> list[DataFrame]:
+    levels, k = [], 0
+    while True:
+        up = node_size**k
+        if k:
+            group = lowest.groupBy(F.floor(F.col("node") / up).cast("long").alias("node"))
+            t = group.agg(F.countDistinct(F.floor(F.col("node") / (up // node_size))).alias("n"), *(f(c).alias(c) for f, c in zip(BOX, SIDES, strict=True)))
+        else:
+            t = lowest.select("node", "n", *SIDES)
+        levels.append(t.withColumn("parent", F.floor(F.col("node") / node_size).cast("long")))
+        if last // up == 0:
+            return levels
+        k += 1
 
 
 def nodes(tree: Tree) -> DataFrame | None:
@@ -67,10 +81,22 @@ def save(tree: Tree, path: str) -> None:
         t.write.mode("overwrite").parquet(f"{path}/level={i}")
 
 
-def load(spark, path: str, depth: int) -> Tree:
+def load(spark, path: str) -> Tree:
+    """A saved tree; its depth is the number of its level folders."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    depth = sum(f.getPath().getName().startswith("level=") for f in found)
     return Tree(spark.read.parquet(f"{path}/objects"), [spark.read.parquet(f"{path}/level={i}") for i in range(depth)])
 
 
+def joined(a: DataFrame | Tree, b: Tree, *, predicate_name: str = "intersects", boundary: str = "closed", distance: float | None = None, node_size: int = 16) -> DataFrame:
+    """Rows (id_a, id_b) of rectangles a, or of a tree of them, against a tree that was built or loaded before."""
+    by = float(distance or 0.0) if predicate_name == "distance" else 0.0
+    test = predicate(predicate_name, boundary, distance)
+    left = a if isinstance(a, Tree) else valid(a)
+    return traversed(left, b, test, by=by, node_size=node_size, whole_a=not isinstance(a, Tree)).select("id_a", "id_b")
+
+
 def _meets(by: float) -> Column:
     a, b = ({c: F.col(f"{x}_{c}") for c in SIDES} for x in "ab")
     r = F.lit(by)
@@ -81,38 +107,57 @@ def _as(t: DataFrame, name: str, key: str, up: str) -> DataFrame:
     return t.select(F.col(key).alias(f"node_{name}"), F.col(up).alias(f"up_{name}"), *(F.col(c).alias(f"{name}_{c}") for c in SIDES))
 
 
-def traversed(a: DataFrame, b: DataFrame, test: Column, *, by: float = 0.0, node_size: int = 16, whole_a: bool = False) -> DataFrame:
+#: Nodes of a level that are broadcast in the descent, and pairs of a frontier beyond which it stops: the leaves below
+#: are then paired by the grid, whose work does not grow with the overlap of upper nodes.
+SMALL_LEVEL, FRONTIER = 100_000, 20_000_000
+
+
+def traversed(a: DataFrame | Tree, b: DataFrame | Tree, test: Column, *, by: float = 0.0, node_size: int = 16, whole_a: bool = False, frontier: int = FRONTIER) -> DataFrame:
     """Pairs for which test holds, by breadth-first descent of both trees; whole_a: each object of a descends the tree of b.
 
-    Levels of unequal depth: the deeper tree descends first. Every frontier is written to the checkpoint folder.
+    Levels of unequal depth: the deeper tree descends first. Children meet their parents by equality. Levels of bounded
+    size are broadcast and their steps chained in one plan; below, each frontier is written. A frontier of more than
+    `frontier` pairs ends the descent early.
     """
-    tb = build(b, node_size)
-    ta = Tree(a, []) if whole_a else build(a, node_size)
+    tb = b if isinstance(b, Tree) else build(b, node_size)
+    ta = a if isinstance(a, Tree) else Tree(a, []) if whole_a else build(a, node_size)
     if not tb.levels or not (whole_a or ta.levels):
-        return side(a, "a").join(side(b, "b"), F.lit(False))
+        return side(ta.objects, "a").join(side(tb.objects, "b"), F.lit(False))
     lb = len(tb.levels) - 1
     root_b = tb.levels[lb].select(F.col("node").alias("node_b"), *(F.col(c).alias(f"b_{c}") for c in SIDES))
     meets = _meets(by)
     box_a, box_b = ([f"{x}_{c}" for c in SIDES] for x in "ab")
     if whole_a:
-        la, front = -1, side(a, "a").join(F.broadcast(root_b), meets)  # the root is one row
+        la, front = -1, side(ta.objects, "a").join(F.broadcast(root_b), meets)  # the root is one row
     else:
         la = len(ta.levels) - 1
         root_a = ta.levels[la].select(F.col("node").alias("node_a"), *(F.col(c).alias(f"a_{c}") for c in SIDES))
         front = root_a.join(F.broadcast(root_b), meets)
     while la > 0 or lb > 0:
-        deepest = max(la, lb)
-        if la == deepest:
-            la -= 1
-            down = _as(ta.levels[la], "a", "node", "parent")
-            front = front.drop(*box_a).withColumnRenamed("node_a", "up_a").join(down, "up_a").drop("up_a").where(meets)
-        if lb == deepest:
-            lb -= 1
-            down = _as(tb.levels[lb], "b", "node", "parent")
-            front = front.drop(*box_b).withColumnRenamed("node_b", "up_b").join(down, "up_b").drop("up_b").where(meets)
-        front = checkpointed(front)
+        deepest, written = max(la, lb), False
+        for name, tree, level, box in (("a", ta, la, box_a), ("b", tb, lb, box_b)):
+            if level != deepest:
+                continue
+            down = _as(tree.levels[level - 1], name, "node", "parent")
+            small = tree.levels[level - 1].count() <= SMALL_LEVEL
+            written |= not small
+            front = front.drop(*box).withColumnRenamed(f"node_{name}", f"up_{name}").join(F.broadcast(down) if small else down, f"up_{name}").drop(f"up_{name}").where(meets)
+        la, lb = la - (la == deepest), lb - (lb == deepest)
+        if written and (la > 0 or lb > 0):
+            front = checkpointed(front)
+            if not whole_a and front.count() > frontier:
+                front = _leaf_pairs(ta, tb, meets, by)
+                break
     end_b = side(tb.objects.withColumnRenamed("leaf", "node_b"), "b", "node_b")
     if whole_a:
         return front.drop(*box_b).join(end_b, "node_b").where(test)
     end_a = side(ta.objects.withColumnRenamed("leaf", "node_a"), "a", "node_a")
     return front.select("node_a", "node_b").join(end_a, "node_a").join(end_b, "node_b").where(test)
+
+
+def _leaf_pairs(ta: Tree, tb: Tree, meets: Column, by: float) -> DataFrame:
+    """Pairs of leaves that meet, by the grid join."""
+    from .join import matched
+
+    boxes = [t.levels[0].select(F.col("node").alias("id"), *SIDES) for t in (ta, tb)]
+    return matched(*boxes, test=meets, by=by).select(F.col("id_a").alias("node_a"), F.col("id_b").alias("node_b"))

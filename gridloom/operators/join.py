@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.predicates import SIDES, predicate, side, valid
@@ -10,7 +12,11 @@ from .partition import Grid, assign, refined, sized_grid, sort_tile_cuts, binary
 
 #: Bytes of a row (id and four doubles, with Spark's own), and the largest side that is broadcast.
 ROW_BYTES, BROADCAST_BYTES = 64, 64 << 20
-ALGORITHMS = ("grid", "stripes_x", "stripes_y", "adaptive", "sort_tile", "binary_split", "rtree", "inlj", "broadcast", "nested")
+#: Rows of the smaller side that a nested loop takes when the larger side is no broadcast; beyond that the grid joins.
+NESTED_ROWS = 10_000
+#: Objects of a tile, and tiles a way, of the strategies by lists of tiles.
+PER_TILE, MOST_TILES = 2000, 16
+ALGORITHMS = ("grid", "stripes_x", "stripes_y", "sweep", "adaptive", "sort_tile", "binary_split", "rtree", "inlj", "broadcast", "nested")
 
 
 def _once(grid: Grid, by: float, level: Column | int = 0) -> Column:
@@ -22,11 +28,78 @@ def _once(grid: Grid, by: float, level: Column | int = 0) -> Column:
     return (grid.cell(0, corner[0], level) == F.col("cx")) & (grid.cell(1, corner[1], level) == F.col("cy"))
 
 
-def _cells(a: DataFrame, b: DataFrame, grid: Grid, test: Column, by: float) -> DataFrame:
-    left, right = side(assign(a, grid, by=by), "a", "cx", "cy"), side(assign(b, grid), "b", "cx", "cy")
+def _cells(a: DataFrame, b: DataFrame, grid: Grid, test: Column, by: float, more_a: tuple[str, ...], more_b: tuple[str, ...]) -> DataFrame:
+    left, right = side(assign(a, grid, by=by), "a", "cx", "cy", *more_a), side(assign(b, grid), "b", "cx", "cy", *more_b)
     return left.join(right, ["cx", "cy"]).where(test & _once(grid, by))
 
 
+def _levels(a: DataFrame, b: DataFrame, grid: Grid, test: Column, by: float, more_a: tuple[str, ...], more_b: tuple[str, ...]) -> DataFrame:
+    """Join of objects of very different extents: each lives on the level where it spans two cells a way at most.
+
+    A pair meets on the coarser of its two levels. Objects go to their own level and to the coarser ones that the other
+    side lives on, nine cells each at most, so a map-wide object is a few rows and not one for each cell.
+    """
+    own = {x: t.withColumn("_own", grid.level_of(wide)) for x, t, wide in (("a", a, by), ("b", b, 0.0))}
+    lives = {x: sorted(r["_own"] for r in t.select("_own").distinct().collect()) for x, t in own.items()}  # a level or so for each halving
+
+    def dealt(x: str, wide: float) -> DataFrame:
+        other = F.array(*(F.lit(k) for k in lives["b" if x == "a" else "a"])) if lives["b" if x == "a" else "a"] else F.array().cast("array<int>")
+        at = F.array_distinct(F.concat(F.array("_own"), F.filter(other, lambda k: k > F.col("_own"))))
+        return assign(own[x].withColumn("_at", F.explode(at)), grid, by=wide, level=-F.col("_at"))
+
+    left, right = side(dealt("a", by), "a", "cx", "cy", "_at", F.col("_own").alias("_own_a"), *more_a), side(dealt("b", 0.0), "b", "cx", "cy", "_at", F.col("_own").alias("_own_b"), *more_b)
+    both = left.join(right, ["_at", "cx", "cy"]).where(F.col("_at") == F.greatest("_own_a", "_own_b"))
+    return both.where(test & _once(grid, by, -F.col("_at")))
+
+
+#: Objects in a stripe of the sweep, both sides together.
+PER_STRIPE = 100_000
+
+
+def swept(a: DataFrame, b: DataFrame, grid: Grid, by: float) -> DataFrame:
+    """Pairs whose rectangles, a's widened by `by`, meet (closed): stripes of dimension 1, each swept along dimension 0.
+
+    In a stripe both sides are sorted by their lows. The objects that begin while one is open are a run of the other
+    side's order, found by binary search; each pair shows in the run of whichever begins first. Runs are compared in
+    blocks, so that memory follows the stripe and not its pairs.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    names = [f"{x}_{c}" for x in "ab" for c in SIDES]
+
+    def sweep(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, y = ({c: t.column(c).to_numpy() for c in ("id", *SIDES)} for t in (left, right))
+        x = {c: v - by if c.startswith("low") else v + by if c.startswith("high") else v for c, v in x.items()}
+        (x, left), (y, right) = ((({c: v[o] for c, v in s.items()}), t.take(pa.array(o))) for s, t in ((x, left), (y, right)) for o in (np.argsort(s["low0"], kind="stable"),))
+        found = []
+        for first, second, after in ((x, y, "left"), (y, x, "right")):
+            # of equal lows a's object counts as the first
+            begin = np.searchsorted(second["low0"], first["low0"], side=after)
+            count = np.maximum(np.searchsorted(second["low0"], first["high0"], side="right") - begin, 0)
+            block = np.cumsum(count) // 2_000_000
+            for rows in np.split(np.arange(len(count)), np.flatnonzero(np.diff(block)) + 1):
+                i = np.repeat(rows, count[rows])
+                ends = np.cumsum(count[rows])
+                j = np.arange(len(i)) - np.repeat(ends - count[rows] - begin[rows], count[rows])
+                meet = (first["low1"][i] <= second["high1"][j]) & (second["low1"][j] <= first["high1"][i])
+                found.append((i[meet], j[meet]) if after == "left" else (j[meet], i[meet]))
+        i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        one, two = left.take(pa.array(i)), right.take(pa.array(j))
+        return pa.table([one.column("id"), *(one.column(c) for c in SIDES), two.column("id"), *(two.column(c) for c in SIDES), one.column("cy")], names=["id_a", *names[:4], "id_b", *names[4:], "cy"])
+
+    stripe = lambda t, wide: assign(t, grid, by=wide).drop("cx")
+    ddl = "id_a long, " + ", ".join(f"{n} double" for n in names[:4]) + ", id_b long, " + ", ".join(f"{n} double" for n in names[4:]) + ", cy long"
+    both = stripe(a, by).groupBy("cy").cogroup(stripe(b, 0.0).groupBy("cy")).applyInArrow(sweep, ddl)
+    return both.withColumn("cx", F.lit(0).cast("long")).where(_once(grid, by)).drop("cx", "cy")
+
+
+def tile_join(a: DataFrame, b: DataFrame, *, boundary: str = "closed") -> DataFrame:
+    """Rows (tile, id_a, id_b) of rectangles (tile, id, SIDES) that meet inside equal tiles: pairs of every tile are compared."""
+    left, right = (side(valid(t, keep=("tile",)), x, "tile") for t, x in ((a, "a"), (b, "b")))
+    return left.join(right, "tile").where(predicate("intersects", boundary)).select("tile", "id_a", "id_b")
+
+
 def _tiles(a: DataFrame, b: DataFrame, tiles: list[tuple[float, float, float, float]], test: Column, by: float) -> DataFrame:
     """Join by a list of tiles of bounded length; a rectangle goes to every tile that it meets."""
 
@@ -39,31 +112,44 @@ def _tiles(a: DataFrame, b: DataFrame, tiles: list[tuple[float, float, float, fl
     return side(dealt(a, by), "a", "tile").join(side(dealt(b, 0.0), "b", "tile"), "tile").where(test & (owner == F.col("tile")))
 
 
-def matched(a: DataFrame, b: DataFrame, *, test: Column, by: float = 0.0, algorithm: str = "grid", n: int | None = None, extent: tuple[float, float, float, float] | None = None, max_comparisons: int = 1000, node_size: int = 16) -> DataFrame:
+def matched(a: DataFrame, b: DataFrame, *, test: Column, by: float = 0.0, algorithm: str = "grid", n: int | None = None,
+            extent: tuple[float, float, float, float] | None = None, max_comparisons: int = 1000, node_size: int = 16,
+            payload_a: str | None = None, payload_b: str | None = None) -> DataFrame:
     """Joined rows (id_a, a_low0, ..., id_b, b_low0, ...) of valid tables a and b for which test holds.
 
-    test may only hold where a, widened by `by`, and b intersect (closed).
+    test may only hold where a, widened by `by`, and b intersect (closed). A payload column comes back as a_ and b_ with
+    its name; the strategies by cells alone carry them.
     """
+    more_a, more_b = ((F.col(c).alias(f"{x}_{c}"),) if c else () for x, c in (("a", payload_a), ("b", payload_b)))
+    if algorithm == "nested" and max(a.count(), b.count()) * ROW_BYTES > BROADCAST_BYTES and min(a.count(), b.count()) > NESTED_ROWS:
+        algorithm = "grid"
     if algorithm == "nested":
-        return side(a, "a").join(side(b, "b"), test)
+        return side(a, "a", *more_a).join(side(b, "b", *more_b), test)
     if algorithm == "broadcast":
-        if b.count() * ROW_BYTES <= BROADCAST_BYTES:
-            return side(a, "a").join(F.broadcast(side(b, "b")), test)
+        if b.count() * ROW_BYTES <= BROADCAST_BYTES and not payload_b:
+            return side(a, "a", *more_a).join(F.broadcast(side(b, "b")), test)
         algorithm = "grid"
+    if (more_a or more_b) and algorithm not in ("grid", "stripes_x", "stripes_y"):
+        raise ValueError(f"algorithm {algorithm} carries no further columns")
     if algorithm in ("rtree", "inlj"):
         return index.traversed(a, b, test, by=by, node_size=node_size, whole_a=algorithm == "inlj")
     if algorithm in ("sort_tile", "binary_split"):
-        k = n or 8
+        k = n or tiles_for(b.count())
         return _tiles(a, b, sort_tile_cuts(b, k, k) if algorithm == "sort_tile" else binary_split_cuts(b, k * k), test, by)
     if algorithm not in ALGORITHMS:
         raise ValueError(f"algorithm: {algorithm}")
-    n0 = {"stripes_y": 1}.get(algorithm, n or (1000 if algorithm == "stripes_x" else None))
+    n0 = {"stripes_y": 1, "sweep": 1}.get(algorithm, n or (1000 if algorithm == "stripes_x" else None))
     n1 = {"stripes_x": 1}.get(algorithm, n or (1000 if algorithm == "stripes_y" else None))
+    if algorithm == "sweep" and not n:
+        n1 = max(1, (a.count() + b.count()) // PER_STRIPE)
     grid = sized_grid(a, b, n0=n0, n1=n1, extent=extent)
     if grid is None:
-        return side(a, "a").join(side(b, "b"), F.lit(False))
+        return side(a, "a", *more_a).join(side(b, "b", *more_b), F.lit(False))
+    if algorithm == "sweep":
+        return swept(a, b, grid, by).where(test)
     if algorithm != "adaptive":
-        return _cells(a, b, grid, test, by)
+        join = _levels if algorithm == "grid" and grid.spread > 2 else _cells
+        return join(a, b, grid, test, by, more_a, more_b)
     wide = a.select("id", *((F.col(c) + (-by if c.startswith("low") else by)).alias(c) for c in SIDES), *(F.col(c).alias(f"_{c}") for c in SIDES))
     left, right = refined(wide, b, grid, max_comparisons=max_comparisons)
     left = left.select("id", *(F.col(f"_{c}").alias(c) for c in SIDES), "level", "cx", "cy")
@@ -71,6 +157,11 @@ def matched(a: DataFrame, b: DataFrame, *, test: Column, by: float = 0.0, algori
     return both.where(test & _once(grid, by, F.col("level")))
 
 
+def tiles_for(count: int) -> int:
+    """Tiles a way for so many objects: PER_TILE in each, and a bound on the expression that finds them."""
+    return max(2, min(MOST_TILES, math.isqrt(max(1, count // PER_TILE))))
+
+
 def spatial_join(a: DataFrame, b: DataFrame, *, predicate_name: str = "intersects", algorithm: str = "grid", boundary: str = "closed", distance: float | None = None, n: int | None = None, max_comparisons: int = 1000, extent: tuple[float, float, float, float] | None = None, exclude_self: bool = False, precision: str = "double", node_size: int = 16, how: str = "inner") -> DataFrame:
     """Rows (id_a, id_b), one for each pair of rows of a and b (id, low0, high0, low1, high1) that fits; for how = semi or anti rows (id_a).
 
@@ -102,5 +193,3 @@ def nearest(a: DataFrame, b: DataFrame, distance: float, **options) -> DataFrame
 def as_rects(points: DataFrame) -> DataFrame:
     """Points (id, x, y) as rectangles without area."""
     return points.select("id", F.col("x").alias("low0"), F.col("x").alias("high0"), F.col("y").alias("low1"), F.col("y").alias("high1"))
-
-

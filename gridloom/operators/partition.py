@@ -6,12 +6,17 @@ One cell function serves assignment and the test that keeps each pair once: cell
 from __future__ import annotations
 
 import math
+import os
+import tempfile
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Objects that a cell should hold on average, and the largest number of cells of a grid in one dimension.
 PER_CELL, MOST_CELLS = 64, 1 << 20
+#: The largest number of times that cells are quartered.
+MOST_DEPTH = 20
 
 
 @dataclass(frozen=True)
@@ -24,25 +29,33 @@ class Grid:
     high1: float
     n0: int
     n1: int
+    spread: float = 1.0  #: cells that the largest object spans in a dimension, where known
+
+    def level_of(self, by: float = 0.0) -> Column:
+        """How often cells must double so that an object, widened by `by`, is at most one of them wide and high."""
+        sizes = [((high - low) / n, F.col(f"high{d}") - F.col(f"low{d}") + 2 * by) for d, (low, high, n) in enumerate(((self.low0, self.high0, self.n0), (self.low1, self.high1, self.n1)))]
+        spans = [F.greatest(F.lit(1.0), extent / F.lit(cell)) for cell, extent in sizes if cell > 0]
+        return F.ceil(F.log2(F.greatest(*spans) if len(spans) > 1 else spans[0])).cast("int") if spans else F.lit(0)
 
     def cell(self, dim: int, x: Column, level: Column | int = 0) -> Column:
-        """The cell number of coordinate x; each further level halves the cells."""
+        """The cell number of coordinate x; each further level halves the cells, a negative one doubles them."""
         low, high, n = (self.low0, self.high0, self.n0) if dim == 0 else (self.low1, self.high1, self.n1)
         if not high > low:
             return F.lit(0).cast("long")
         many = F.lit(n) * F.pow(F.lit(2.0), level) if isinstance(level, Column) else F.lit(float(n * 2**level))
         at = F.floor((x - F.lit(low)) / F.lit(high - low) * many)
-        return F.least(many.cast("long") - 1, F.greatest(F.lit(0).cast("long"), at))
+        return F.least(F.ceil(many) - 1, F.greatest(F.lit(0).cast("long"), at))
 
 
 def bounds(*tables: DataFrame) -> DataFrame:
-    """One row: the extent of all tables, the number of objects, their mean width, height and area."""
-    both = tables[0]
+    """One row: the extent of all tables, the number of objects, their mean width, height and area, the largest width and height."""
+    sides = ("low0", "high0", "low1", "high1")
+    both = tables[0].select(*sides)
     for t in tables[1:]:
-        both = both.unionByName(t)
+        both = both.unionByName(t.select(*sides))
     w, h = F.col("high0") - F.col("low0"), F.col("high1") - F.col("low1")
     return both.agg(F.min("low0").alias("low0"), F.max("high0").alias("high0"), F.min("low1").alias("low1"), F.max("high1").alias("high1"),
-                    F.count("*").alias("n"), F.avg(w).alias("w"), F.avg(h).alias("h"), F.avg(w * h).alias("area"))
+                    F.count("*").alias("n"), F.avg(w).alias("w"), F.avg(h).alias("h"), F.avg(w * h).alias("area"), F.max(w).alias("most_w"), F.max(h).alias("most_h"))
 
 
 def sized_grid(*tables: DataFrame, n0: int | None = None, n1: int | None = None, extent: tuple[float, float, float, float] | None = None) -> Grid | None:
@@ -65,13 +78,15 @@ def sized_grid(*tables: DataFrame, n0: int | None = None, n1: int | None = None,
         too = k0 * k1 * 4 * s["area"] / (across * up)
         if too > 1:
             k0, k1 = max(1, int(k0 / math.sqrt(too))), max(1, int(k1 / math.sqrt(too)))
-    return Grid(low0, high0, low1, high1, n0 or k0, n1 or k1)
+    k0, k1 = n0 or k0, n1 or k1
+    spread = max(s["most_w"] / across * k0 if across > 0 else 1.0, s["most_h"] / up * k1 if up > 0 else 1.0)
+    return Grid(low0, high0, low1, high1, k0, k1, spread)
 
 
-def assign(df: DataFrame, grid: Grid, *, by: float = 0.0) -> DataFrame:
-    """df once for each cell (cx, cy) that the rectangle, widened by `by`, meets."""
-    lo0, hi0 = grid.cell(0, F.col("low0") - by), grid.cell(0, F.col("high0") + by)
-    lo1, hi1 = grid.cell(1, F.col("low1") - by), grid.cell(1, F.col("high1") + by)
+def assign(df: DataFrame, grid: Grid, *, by: float = 0.0, level: Column | int = 0) -> DataFrame:
+    """df once for each cell (cx, cy) of a level that the rectangle, widened by `by`, meets."""
+    lo0, hi0 = grid.cell(0, F.col("low0") - by, level), grid.cell(0, F.col("high0") + by, level)
+    lo1, hi1 = grid.cell(1, F.col("low1") - by, level), grid.cell(1, F.col("high1") + by, level)
     return df.withColumn("cx", F.explode(F.sequence(lo0, hi0))).withColumn("cy", F.explode(F.sequence(lo1, hi1)))
 
 
@@ -94,9 +109,49 @@ def statistics(a: DataFrame, b: DataFrame, grid: Grid) -> DataFrame:
 
 
 def median_extent(df: DataFrame) -> DataFrame:
-    """One row: the upper median of widths and heights over all objects."""
-    exact = lambda lo, hi, name: F.percentile(F.col(hi) - F.col(lo), F.lit(0.5)).alias(name)
-    return df.agg(exact("low0", "high0", "width"), exact("low1", "high1", "height"))
+    """One row: the upper median (element n // 2 from 0) of widths and heights over all objects; none for an empty table.
+
+    Values are placed by a distributed sort, so no task holds more than a range of them.
+    """
+    n = df.count()
+    at = lambda d, name: ranked(df.select((F.col(f"high{d}") - F.col(f"low{d}")).alias(name)), name).where(F.col("rn") == n // 2).select(name)
+    return at(0, "width").crossJoin(at(1, "height"))  # one row each
+
+
+def sampled_extent(df: DataFrame, *, most: int = 1000, seed: int = 7) -> tuple[float, float]:
+    """The upper median of widths and heights of a seeded sample of about `most` objects; 0 for an empty table."""
+    n = df.count()
+    rows = df.sample(min(1.0, 2 * most / max(n, 1)), seed).limit(most).select((F.col("high0") - F.col("low0")).alias("w"), (F.col("high1") - F.col("low1")).alias("h")).collect()
+    middle = lambda v: sorted(v)[len(v) // 2] if v else 0.0
+    return middle([r["w"] for r in rows]), middle([r["h"] for r in rows])
+
+
+def depth_for(b: DataFrame, grid: Grid) -> int:
+    """How often cells can be quartered before they are smaller than twice b's sampled median object."""
+    w, h = sampled_extent(b)
+    fits = [math.log2((high - low) / n / (2 * size)) for low, high, n, size in ((grid.low0, grid.high0, grid.n0, w), (grid.low1, grid.high1, grid.n1, h)) if high > low and size > 0]
+    return max(0, min([MOST_DEPTH, *(math.floor(f) for f in fits)]))
+
+
+def quadtree(points: DataFrame, grid: Grid, *, most: int = 32, depth: int = 12) -> DataFrame:
+    """Rows (level, cx, cy, n): leaves of the quadtree over points (id, x, y) in the grid's extent.
+
+    A cell of more than `most` points is quartered, up to `depth` times. Points are counted once, at the deepest level;
+    the levels above are sums of those counts. Leaves are the cells that are not quartered and whose parent is.
+    """
+    cells = points.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    one = Grid(grid.low0, grid.high0, grid.low1, grid.high1, 1, 1)
+    fine = checkpointed(cells.groupBy(one.cell(0, F.col("x"), depth).alias("cx"), one.cell(1, F.col("y"), depth).alias("cy")).agg(F.count("*").alias("n")))
+    at = lambda k: fine.groupBy(F.floor(F.col("cx") / 2 ** (depth - k)).alias("cx"), F.floor(F.col("cy") / 2 ** (depth - k)).alias("cy")).agg(F.sum("n").alias("n"))
+    out = None
+    for k in range(depth + 1):
+        leaf = at(k) if k == depth else at(k).where(F.col("n") <= most)
+        if k:
+            heavy = at(k - 1).where(F.col("n") > most).select(F.col("cx").alias("px"), F.col("cy").alias("py"))
+            leaf = leaf.join(heavy, (F.floor(F.col("cx") / 2) == F.col("px")) & (F.floor(F.col("cy") / 2) == F.col("py"))).select("cx", "cy", "n")
+        leaf = leaf.select(F.lit(k).alias("level"), "cx", "cy", "n")
+        out = leaf if out is None else out.unionByName(leaf)
+    return out
 
 
 def _split(df: DataFrame, grid: Grid, level: int) -> DataFrame:
@@ -108,11 +163,13 @@ def _split(df: DataFrame, grid: Grid, level: int) -> DataFrame:
     return df
 
 
-def refined(a: DataFrame, b: DataFrame, grid: Grid, *, max_comparisons: int = 1000, most_b: int = 100, depth: int = 4) -> tuple[DataFrame, DataFrame]:
+def refined(a: DataFrame, b: DataFrame, grid: Grid, *, max_comparisons: int = 1000, most_b: int = 100, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Both sides with (level, cx, cy): cells with too many comparisons or objects of b are quartered, up to `depth` times.
 
+    Without depth, cells are quartered while they stay twice as wide and high as b's sampled median object.
     Cells that only one side reaches go. Each level is cut off by a checkpoint; only counts of cells move besides rows.
     """
+    depth = depth_for(b, grid) if depth is None else depth
     key = ["cx", "cy"]
     rows = {x: assign(t, grid).withColumn("level", F.lit(0)) for x, t in (("a", a), ("b", b))}
     done: dict[str, DataFrame] = {}
@@ -137,16 +194,19 @@ def refined_cells(a: DataFrame, b: DataFrame, grid: Grid, **limits: int) -> Data
     return n[0].join(n[1], ["level", "cx", "cy"])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder in that of spark.checkpoint.dir; where the setting is absent (local tests), one of our own."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    named = named or "file://" + os.path.join(tempfile.gettempdir(), f"gridloom-{spark.sparkContext.applicationId}")
+    return f"{named.rstrip('/')}/gridloom"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder of spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import os
-        import tempfile
-
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"gridloom-{context.applicationId}"))
-    return df.checkpoint()
+    """df written once as Parquet in the shared folder and read back: later plans start from the files."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/spatial-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def sort_tile_cuts(df: DataFrame, slices: int, tiles: int, *, accuracy: int = 10000) -> list[tuple[float, float, float, float]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import geometry
 from ..functions.predicates import register, valid
 from ..operators import index, partition
-from ..operators.join import as_rects, nearest, spatial_join
+from ..operators.join import as_rects, nearest, spatial_join, tile_join as tiles
+from ..sources.readers import wkt_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +24,8 @@ POINTS = """SELECT event_id AS id, CAST(event_id*2969%10000 AS DOUBLE) AS x, CAS
 #: A grid over the whole map for the statistics queries, whose rows depend on it.
 MAP = partition.Grid(0.0, 10064.0, 0.0, 10128.0, 16, 16)
 REACH = 25.0
+#: What keys are multiplied with for the centres of diamonds.
+BALLS = {"part": (7919, 6151), "orders": (3571, 4813)}
 
 
 def rects_a(spark: SparkSession, d: str) -> DataFrame:
@@ -86,11 +90,58 @@ def str_node_mbrs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def refine_cells(spark: SparkSession, d: str) -> DataFrame:
-    return partition.refined_cells(valid(rects_a(spark, d)), valid(rects_b(spark, d)), partition.Grid(0.0, 10064.0, 0.0, 10128.0, 8, 8), max_comparisons=1000)
+    return partition.refined_cells(valid(rects_a(spark, d)), valid(rects_b(spark, d)), partition.Grid(0.0, 10064.0, 0.0, 10128.0, 8, 8), max_comparisons=1000, depth=3)
+
+
+def balls(spark: SparkSession, d: str, table: str, key: str, half: str) -> DataFrame:
+    """Polygons: diamonds whose half diagonals are equal, parsed from text."""
+    at = spark.read.parquet(f"{d}/{table}.parquet").select(F.col(key).alias("id"), *(F.expr(f"{key} * {m} % 10000").alias(c) for m, c in zip(BALLS[table], "xy", strict=True)), F.expr(half).alias("h"))
+    wkt = F.format_string("POLYGON((%s %s, %s %s, %s %s, %s %s))", *(F.expr(e).cast("string") for e in ("x - h", "y", "x", "y - h", "x + h", "y", "x", "y + h")))
+    return at.select("id", geometry.rings(wkt).alias("rings"))
+
+
+def ball_join(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return geometry.polygon_join(balls(spark, d, "part", "p_partkey", "p_size"), balls(spark, d, "orders", "o_orderkey", "1 + o_orderkey % 40"), predicate_name=name)
+
+
+def polygon_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Rectangles as polygons of two kinds: rings and texts of several parts."""
+    some = lambda rects: wkt_of(rects(spark, d)).select("id", geometry.rings(F.regexp_replace("wkt", r"POLYGON\(\((.*)\)\)", "MULTIPOLYGON((($1)))")).alias("rings"))
+    return geometry.polygon_join(some(rects_a), some(rects_b), predicate_name="distance", distance=REACH)
+
+
+def pip_holes(spark: SparkSession, d: str) -> DataFrame:
+    """Points in squares with a square hole of half their side."""
+    a = rects_a(spark, d).withColumn("q", (F.col("high0") - F.col("low0")) / 4)
+    box = lambda q: [e for x, y in (("low0", "low1"), ("high0", "low1"), ("high0", "high1"), ("low0", "high1")) for e in (F.col(x) + (q if x == "low0" else -q), F.col(y) + (q if y == "low1" else -q))]
+    pair = ", ".join(["%s %s"] * 4)
+    wkt = F.format_string(f"POLYGON(({pair}), ({pair}))", *(c.cast("string") for c in [*box(F.lit(0.0)), *box(F.col("q"))]))
+    moved = points(spark, d).withColumn("x", F.col("x") + 0.3).withColumn("y", F.col("y") + 0.3)
+    return geometry.points_in_polygons(moved, a.select("id", geometry.rings(wkt).alias("rings")))
+
+
+def saved_tree(spark: SparkSession, d: str) -> DataFrame:
+    """A tree that is saved, loaded and joined with rectangles that have none."""
+    path = f"{partition.shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    index.save(index.build(valid(rects_b(spark, d))), path)
+    return index.joined(rects_a(spark, d), index.load(spark, path))
+
+
+def mixed_a(spark: SparkSession, d: str) -> DataFrame:
+    """Rectangles of very different extents."""
+    return rects_a(spark, d).unionByName(few(spark, d).withColumn("id", -F.col("id")).withColumn("high0", F.col("high0") + 5000))
+
+
+def quadtree(spark: SparkSession, d: str) -> DataFrame:
+    return partition.quadtree(points(spark, d), partition.Grid(0.0, 10240.0, 0.0, 10240.0, 1, 1), most=40, depth=6)
+
+
+def tile_join(spark: SparkSession, d: str) -> DataFrame:
+    return tiles(rects_a(spark, d).withColumn("tile", F.col("id") % 64), rects_b(spark, d).withColumn("tile", F.col("id") % 64))
 
 
 def queries() -> dict[str, Query]:
-    joins = {f"mbr_join_{n}": partial(_join, algorithm=n) for n in ("grid", "adaptive", "sort_tile", "binary_split", "rtree", "inlj")}
+    joins = {f"mbr_join_{n}": partial(_join, algorithm=n) for n in ("grid", "adaptive", "sort_tile", "binary_split", "rtree", "inlj", "sweep")}
     return joins | {
         "mbr_join_stripe_x": partial(_join, algorithm="stripes_x", n=128),
         "mbr_join_stripe_y": partial(_join, algorithm="stripes_y", n=128),
@@ -98,6 +149,15 @@ def queries() -> dict[str, Query]:
         "mbr_join_broadcast": partial(_join, left=rects_b, right=few, algorithm="broadcast"),
         "mbr_join_open": partial(_join, boundary="open"),
         "mbr_join_float32": partial(_join, precision="float32"),
+        "mbr_join_saved": saved_tree,
+        "mbr_join_mixed": partial(_join, left=mixed_a),
+        "tile_join": tile_join,
+        "quadtree": quadtree,
+        "polygon_intersects": partial(ball_join, name="intersects"),
+        "polygon_contains": partial(ball_join, name="contains"),
+        "polygon_within": partial(ball_join, name="within"),
+        "polygon_distance": polygon_distance,
+        "pip_holes": pip_holes,
         "pip_join": pip,
         "pip_join_open": partial(pip, boundary="open"),
         "pip_polygon_join": pip_polygon,
@@ -120,11 +180,38 @@ def queries() -> dict[str, Query]:
         "refine_cells": refine_cells,
         "str_leaves": str_leaves,
         "str_node_mbrs": str_node_mbrs,
-        "duplicate_ids": lambda s, d: index.duplicate_ids(rects_a(s, d).unionByName(rects_a(s, d).where("id <= 50"))),
         "duplicate_customers": lambda s, d: index.duplicate_ids(s.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("id"))),
     }
 
 
+def balls_sql(on: str) -> str:
+    """Diamonds are balls of the city-block distance d of their centres."""
+    ball = lambda key, table, half: f"SELECT {key} AS id, {key} * {BALLS[table][0]} % 10000 AS x, {key} * {BALLS[table][1]} % 10000 AS y, {half} AS h FROM {table}"
+    on = on.replace("d ", "abs(a.x - b.x) + abs(a.y - b.y) ", 1)
+    return f"WITH a AS ({ball('p_partkey', 'part', 'p_size')}), b AS ({ball('o_orderkey', 'orders', '1 + o_orderkey % 40')}) SELECT a.id::BIGINT AS id_a, b.id::BIGINT AS id_b FROM a JOIN b ON {on}"
+
+
+def quadtree_sql(p: str, most: int = 40, depth: int = 6) -> str:
+    """Counts of every level; a leaf has few points or is deepest, and its parent has many."""
+    cell = lambda c, k: f"least({2**k - 1}, greatest(0, floor({c} / 10240.0::DOUBLE * {2**k})))::BIGINT"
+    counts = ", ".join(f"n{k} AS (SELECT {cell('x', k)} AS cx, {cell('y', k)} AS cy, count(*) AS n FROM p GROUP BY ALL)" for k in range(depth + 1))
+    leaf = lambda k: f"SELECT {k}::INTEGER AS level, c.cx, c.cy, c.n FROM n{k} c" + (f" JOIN n{k - 1} u ON u.cx = c.cx // 2 AND u.cy = c.cy // 2 AND u.n > {most}" if k else "") + (f" WHERE c.n <= {most}" if k < depth else "")
+    return f"WITH p AS ({p}), {counts} " + " UNION ALL ".join(leaf(k) for k in range(depth + 1))
+
+
+def refine_sql(a: str, b: str, most: int = 1000, most_b: int = 100, depth: int = 3) -> str:
+    """Cells of both sides, level by level; those below heavy ones only."""
+    cell = lambda c, w, k: f"least({8 * 2**k - 1}, greatest(0, floor({c} / {w}::DOUBLE * {8 * 2**k})))::BIGINT"
+    at = lambda c, w, k: f"unnest(range({cell('low' + c, w, k)}, {cell('high' + c, w, k)} + 1))"
+    count = lambda t, k: f"SELECT cx, {at('1', '10128.0', k)} AS cy, 1 AS one FROM (SELECT *, {at('0', '10064.0', k)} AS cx FROM {t})"
+    ctes = [f"a AS ({a})", f"b AS ({b})"]
+    for k in range(depth + 1):
+        both = " JOIN ".join(f"(SELECT cx, cy, count(*) AS n_{t} FROM ({count(t, k)}) GROUP BY cx, cy)" for t in "ab")
+        up = f" JOIN (SELECT cx AS ux, cy AS uy FROM c{k - 1} WHERE heavy) ON ux = cx // 2 AND uy = cy // 2" if k else ""
+        ctes.append(f"c{k} AS (SELECT {k}::INTEGER AS level, cx, cy, n_a, n_b, {'(n_a * n_b > %d OR n_b > %d)' % (most, most_b) if k < depth else 'false'} AS heavy FROM {both} USING (cx, cy){up})")
+    return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(f"SELECT level, cx, cy, n_a, n_b FROM c{k} WHERE NOT heavy" for k in range(depth + 1))
+
+
 def oracle_sql() -> dict[str, str]:
     a, b, p = RECTS_A.format(part="part"), RECTS_B.format(orders="orders"), POINTS.format(events="events")
     closed = "a.low0 <= b.high0 AND a.high0 >= b.low0 AND a.low1 <= b.high1 AND a.high1 >= b.low1"
@@ -150,7 +237,18 @@ def oracle_sql() -> dict[str, str]:
         levels += f", l{k} AS (SELECT node, count(*) AS n, min(low0) AS low0, max(high0) AS high0, min(low1) AS low1, max(high1) AS high1 FROM {source} GROUP BY node)"
         parts.append(f"SELECT {k}::INTEGER AS level, node, n, low0, high0, low1, high1 FROM l{k}")
     diamond = "abs(p.x + 0.25 - (a.low0 + a.high0) / 2) / ((a.high0 - a.low0) / 2) + abs(p.y + 0.125 - (a.low1 + a.high1) / 2) / ((a.high1 - a.low1) / 2) < 1"
-    return {f"mbr_join_{n}": join(closed) for n in ("grid", "adaptive", "sort_tile", "binary_split", "rtree", "inlj", "stripe_x", "stripe_y", "float32")} | {
+    return {f"mbr_join_{n}": join(closed) for n in ("grid", "adaptive", "sort_tile", "binary_split", "rtree", "inlj", "sweep", "saved", "stripe_x", "stripe_y", "float32")} | {
+        "mbr_join_mixed": join(closed, left=f"{a} UNION ALL SELECT -id, low0, high0 + 5000, low1, high1 FROM ({FEW})"),
+        "tile_join": join(f"{closed} AND a.id % 64 = b.id % 64", what="(a.id % 64)::BIGINT AS tile, a.id::BIGINT AS id_a, b.id::BIGINT AS id_b"),
+        "quadtree": quadtree_sql(p),
+        "refine_cells": refine_sql(a, b),
+        "polygon_intersects": balls_sql("d <= a.h + b.h"),
+        "polygon_contains": balls_sql("d + b.h <= a.h"),
+        "polygon_within": balls_sql("d + a.h <= b.h"),
+        "polygon_distance": join(f"{d2} <= {REACH} * {REACH}"),
+        "pip_holes": f"""WITH p AS ({p}), a AS (SELECT *, (high0 - low0) / 4 AS q FROM ({a})) SELECT p.id::BIGINT AS id_a, a.id::BIGINT AS id_b
+            FROM p JOIN a ON p.x + 0.3 BETWEEN low0 AND high0 AND p.y + 0.3 BETWEEN low1 AND high1
+            WHERE NOT (p.x + 0.3 BETWEEN low0 + q AND high0 - q AND p.y + 0.3 BETWEEN low1 + q AND high1 - q)""",
         "mbr_join_nested": join(closed, left=FEW),
         "mbr_join_broadcast": join(closed, left=b, right=FEW),
         "mbr_join_open": join(opened),
@@ -172,9 +270,10 @@ def oracle_sql() -> dict[str, str]:
         "grid_histogram": hist(b),
         "partition_stats": f"SELECT count(*) AS n_partitions, sum(a.n + b.n)::BIGINT AS total, avg(a.n + b.n) AS average, max(a.n + b.n) AS most FROM ({hist(a)}) a JOIN ({hist(b)}) b USING (cx, cy)",
         "heatmap": f"SELECT {cx('(low0 + high0) / 2')} AS cx, {cy('(low1 + high1) / 2')} AS cy, count(*) AS n FROM ({b}) GROUP BY ALL",
-        "median_extent": f"SELECT median(high0 - low0) AS width, median(high1 - low1) AS height FROM ({b})",
+        "median_extent": f"""WITH b AS (SELECT high0 - low0 AS w, high1 - low1 AS h FROM ({b})),
+            r AS (SELECT w, h, row_number() OVER (ORDER BY w) - 1 AS i, row_number() OVER (ORDER BY h) - 1 AS j, count(*) OVER () AS n FROM b)
+            SELECT max(w) FILTER (i = n // 2) AS width, max(h) FILTER (j = n // 2) AS height FROM r""",
         "str_leaves": f"{leaf} SELECT id, leaf FROM leaves",
         "str_node_mbrs": f"{leaf}{levels} " + " UNION ALL ".join(parts),
-        "duplicate_ids": "SELECT p_partkey AS id, 2::BIGINT AS n FROM part WHERE p_partkey <= 50",
         "duplicate_customers": "SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1",
     }
