@@ -141,9 +141,17 @@ def polygon_distance(a: Column, b: Column) -> Column:
 
 
 def _boxed(polygons: DataFrame) -> DataFrame:
-    """Rows (id, SIDES, sides) of polygons (id, rings): envelopes with the edges as payload; null rings go."""
-    every = F.flatten("rings")
-    return polygons.where("rings IS NOT NULL").select("id", *envelope(every), edges(F.col("rings")).alias("sides"))
+    """Rows (id, SIDES, sides) of polygons (id, rings): envelopes with the edges as payload; null rings go.
+
+    The explodes of one element keep Spark from parsing the rings anew for every column that reads them; the rows are
+    written once, as the join reads them twice.
+    """
+    from ..operators.partition import checkpointed
+
+    once = polygons.select("id", F.explode(F.array("rings")).alias("rings")).where("rings IS NOT NULL")
+    flat = once.select("id", F.explode(F.array(edges(F.col("rings")))).alias("sides"))
+    low, high = (lambda c: F.array_min(F.concat(f"sides.{c}0", f"sides.{c}1"))), (lambda c: F.array_max(F.concat(f"sides.{c}0", f"sides.{c}1")))
+    return checkpointed(flat.select("id", low("x").alias("low0"), high("x").alias("high0"), low("y").alias("low1"), high("y").alias("high1"), "sides"))
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, **options) -> DataFrame:

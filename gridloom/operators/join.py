@@ -101,15 +101,20 @@ def tile_join(a: DataFrame, b: DataFrame, *, boundary: str = "closed") -> DataFr
 
 
 def _tiles(a: DataFrame, b: DataFrame, tiles: list[tuple[float, float, float, float]], test: Column, by: float) -> DataFrame:
-    """Join by a list of tiles of bounded length; a rectangle goes to every tile that it meets."""
+    """Join by a list of tiles, at most MOST_TILES a way and so broadcast; a rectangle goes to every tile that it meets.
+
+    The pair's corner of largest lows tells the one tile that keeps it: tiles fill the plane and are half-open.
+    """
+    bounds = ["x0", "x1", "y0", "y1"]
+    rows = F.broadcast(a.sparkSession.createDataFrame([(i, *t) for i, t in enumerate(tiles)], "tile int, x0 double, x1 double, y0 double, y1 double"))
 
     def dealt(t: DataFrame, wide: float) -> DataFrame:
-        meets = [F.when((F.col("low0") - wide < x1) & (F.col("high0") + wide >= x0) & (F.col("low1") - wide < y1) & (F.col("high1") + wide >= y0), i) for i, (x0, x1, y0, y1) in enumerate(tiles)]
-        return t.withColumn("tile", F.explode(F.array_compact(F.array(*meets))))
+        meets = (F.col("low0") - wide < F.col("x1")) & (F.col("high0") + wide >= F.col("x0")) & (F.col("low1") - wide < F.col("y1")) & (F.col("high1") + wide >= F.col("y0"))
+        return t.join(rows, meets)
 
     x, y = (F.greatest(F.col(f"a_low{d}") - F.lit(by), F.col(f"b_low{d}")) for d in (0, 1))
-    owner = F.coalesce(*(F.when((x >= x0) & (x < x1) & (y >= y0) & (y < y1), i) for i, (x0, x1, y0, y1) in enumerate(tiles)))
-    return side(dealt(a, by), "a", "tile").join(side(dealt(b, 0.0), "b", "tile"), "tile").where(test & (owner == F.col("tile")))
+    owner = (x >= F.col("x0")) & (x < F.col("x1")) & (y >= F.col("y0")) & (y < F.col("y1"))
+    return side(dealt(a, by), "a", "tile").join(side(dealt(b, 0.0), "b", "tile", *bounds), "tile").where(test & owner).drop("tile", *bounds)
 
 
 def matched(a: DataFrame, b: DataFrame, *, test: Column, by: float = 0.0, algorithm: str = "grid", n: int | None = None,
