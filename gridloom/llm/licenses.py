@@ -113,10 +113,13 @@ def keyed(band: Column):
 def prepared(spark: SparkSession, templates: Mapping[str, str | tuple[str, ...]]) -> list[dict]:
     """Of each template its name, distinct shingles, minima and the shingles that are minima."""
     each = [(n, t) for n, ts in templates.items() for t in ((ts,) if isinstance(ts, str) else ts)]
-    rows = spark.createDataFrame(each, "name string, text string").select("name", shingles_of(words_of(F.col("text"))).alias("all"))
-    rows = rows.select("name", F.size("all").alias("length"), F.array_distinct("all").alias("shingles"))
+    # explodes of one element: what they hold is computed once, not again wherever a later column reads it
+    once = lambda value, name: F.explode(F.array(value)).alias(name)
+    rows = spark.createDataFrame(each, "name string, text string").select("name", once(words_of(F.col("text")), "words")).select("name", once(shingles_of(F.col("words")), "all"))
+    rows = rows.select("name", F.size("all").alias("length"), once(F.array_distinct("all"), "shingles"))
     similar = 0.8 * F.size("shingles") / (F.col("length") + 0.45 * F.size("shingles"))
     rows = rows.withColumn("bands", F.when(F.size("shingles") > 0, F.ceil(F.lit(math.log(MISS)) / F.log(1 - similar))).otherwise(1).cast("int"))
+    rows = rows.select("name", "length", "shingles", once(F.col("bands"), "bands"))
     band = lambda value: F.transform(F.sequence(F.lit(0), F.col("bands") - 1), lambda p: value(p))
     rows = rows.select("*", band(lambda p: minimum(F.col("shingles"), p)).alias("minima"))
     rows = rows.select("*", F.array_distinct(band(lambda p: F.array_min(F.transform("shingles", keyed(p)))["h"])).alias("marks"))
