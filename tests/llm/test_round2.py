@@ -5,6 +5,7 @@ import math
 import random
 import time
 import zlib
+from types import SimpleNamespace
 
 import pytest
 
@@ -252,3 +253,12 @@ def test_hot_windows_are_one_documents_in_a_block(spark):
     held = sum(len(substring.summed(r["hashes"], "<u8", zstandard.ZstdDecompressor().decompress)) for r in blobs)
     assert held < 300 + 20
     assert [r["n_removed"] for r in substring.dedup(docs).orderBy("doc_id").collect()] == [0] + [20] * 299
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from gridloom.llm import shared
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://master:7077", getConf=lambda: conf))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.shared_dir(cluster)
