@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -195,8 +196,10 @@ def refined_cells(a: DataFrame, b: DataFrame, grid: Grid, **limits: int) -> Data
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder in that of spark.checkpoint.dir; where the setting is absent (local tests), one of our own."""
+    """A folder in that of spark.checkpoint.dir; one of our own where a local session lacks the setting (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     named = named or "file://" + os.path.join(tempfile.gettempdir(), f"gridloom-{spark.sparkContext.applicationId}")
     return f"{named.rstrip('/')}/gridloom"
 

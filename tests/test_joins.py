@@ -1,5 +1,6 @@
 import collections
 import random
+from types import SimpleNamespace
 
 import pytest
 from gridloom.functions import geometry
@@ -124,3 +125,10 @@ def test_duplicates_grow_with_the_table(spark):
         count = collections.Counter(r["o_custkey"] for r in spark.read.parquet(f"/root/testdata/{d}/orders.parquet").select("o_custkey").collect())
         assert rows == {(k, n) for k, n in count.items() if n > 1}
     assert len(got[1]) > 5 * len(got[0]) > 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    conf = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local-cluster[2,1,512]", getConf=lambda: conf))
+    with pytest.raises(ValueError, match="checkpoint"):
+        partition.shared_folder(cluster)
