@@ -188,7 +188,7 @@ def forest(group: np.ndarray, sig: np.ndarray, side: np.ndarray | None = None) -
 
 
 def candidates(reps: DataFrame, *, hot: int = HOT) -> DataFrame:
-    """Rows (a, b): for each bucket a spanning forest of the pairs whose estimate is LOOSE or more."""
+    """Rows (a, b), some more than once: for each bucket a spanning forest of the pairs whose estimate is LOOSE or more."""
     spark = reps.sparkSession
     keyed = reps.select(F.explode("bands").alias("key"), "rep", "sig")
     many = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot), "hot-buckets")
@@ -221,13 +221,13 @@ def candidates(reps: DataFrame, *, hot: int = HOT) -> DataFrame:
     found = stored(salted.repartition(deal(spark), "key", "salt").sortWithinPartitions("key", "salt", "rep").mapInArrow(run, ddl), "candidates")
     pairs = found.where("b IS NOT NULL").select("a", "b")
     if many.isEmpty():
-        return pairs.distinct()
+        return pairs
     # groups of hot buckets: the leaders of each two meet, numbered lower * width + higher
     leaders = found.where("b IS NULL").join(many, "key").withColumn("width", F.ceil(F.col("n") * 2 / hot).cast("int"))
     other = leaders.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("width") - 1))).where("other <> salt")
     both = other.select("key", (F.least("salt", "other") * F.col("width") + F.greatest("salt", "other")).alias("pair"), F.col("a").alias("rep"), "sig", F.col("salt").alias("side"))
     crossed = both.select("key", F.col("pair").cast("int").alias("salt"), "rep", "sig", "side").repartition(deal(spark), "key", "salt").sortWithinPartitions("key", "salt", "rep").mapInArrow(meet, ddl)
-    return pairs.unionByName(crossed.select("a", "b")).distinct()
+    return pairs.unionByName(crossed.select("a", "b"))
 
 
 FOUND = ["a", "b", "key", "salt", "sig"]
