@@ -262,3 +262,19 @@ def test_a_cluster_needs_a_shared_folder():
     cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://master:7077", getConf=lambda: conf))
     with pytest.raises(ValueError, match="checkpoint"):
         shared.shared_dir(cluster)
+
+
+def test_stars_keep_components():
+    import numpy as np
+
+    from gridloom.llm.graph import stars
+
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        n, m = rng.integers(1, 60), rng.integers(0, 80)
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        root = np.arange(n)
+        for x, y in zip(a, b, strict=True):
+            root[root == max(root[x], root[y])] = min(root[x], root[y])
+        u, v = stars(a, b)
+        assert dict(zip(u.tolist(), v.tolist(), strict=True)) == {i: r for i, r in enumerate(root.tolist()) if i != r}
