@@ -1,4 +1,4 @@
-"""Driver queries of the ten operators, with production parameters over whole tables, and their SQL where there is one."""
+"""Driver queries of the thirteen operators, with production parameters over whole tables, and their SQL where there is one."""
 
 from __future__ import annotations
 
@@ -141,9 +141,51 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import align
+
+    docs, _ = align.align(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"), digest=True)
+    return docs.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import topk
+
+    return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), queries=F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.w, c.w)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import fim
+
+    rows = fim.restore(fim.transform(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('7:' || doc_id) AS h FROM documents),
+r AS (SELECT doc_id, text, units, len(units)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high FROM r),
+p AS (SELECT doc_id, text, n, array_to_string(units[1:low], '') AS prefix, array_to_string(units[low + 1:high], '') AS middle, array_to_string(units[high + 1:], '') AS suffix,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_embeddings": op1_embeddings, "op2_urls": op2_urls, "op3_packing": op3_packing, "op4_quality": op4_quality, "op5_substring": op5_substring, "op6_language": op6_language, "op7_bpe": op7_bpe, "op8_licenses": op8_licenses, "op9_minhash": op9_minhash, "op10_secrets": op10_secrets}
+    return {"op1_embeddings": op1_embeddings, "op2_urls": op2_urls, "op3_packing": op3_packing, "op4_quality": op4_quality, "op5_substring": op5_substring, "op6_language": op6_language, "op7_bpe": op7_bpe, "op8_licenses": op8_licenses, "op9_minhash": op9_minhash, "op10_secrets": op10_secrets, "op11_align": op11_align, "op12_topk": op12_topk, "op13_fim": op13_fim}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embeddings": OP1_SQL, "op2_urls": OP2_SQL, "op5_substring": OP5_SQL, "op8_licenses": OP8_SQL, "op9_minhash": OP9_SQL}
+    return {"op1_embeddings": OP1_SQL, "op2_urls": OP2_SQL, "op5_substring": OP5_SQL, "op8_licenses": OP8_SQL, "op9_minhash": OP9_SQL, "op12_topk": OP12_SQL, "op13_fim": OP13_SQL}
