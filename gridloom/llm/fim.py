@@ -27,9 +27,9 @@ OUTPUTS = ("n", "form", "prefix_chars", "middle_chars", "output")
 
 def checked(marks: Sequence[str]) -> None:
     """Raises unless marks can be told from any text around them: no end of one begins another, none holds another."""
-    for s in marks:
-        for t in marks:
-            if not s or (s is not t and s in t) or any(t.startswith(s[i:]) for i in range(1, len(s))):
+    for i, s in enumerate(marks):
+        for j, t in enumerate(marks):
+            if not s or (i != j and s in t) or any(t.startswith(s[k:]) for k in range(1, len(s))):
                 raise ValueError(f"marks that overlap: {s!r} and {t!r}")
 
 
