@@ -58,6 +58,42 @@ def _corners(inner: Column) -> Column:
     return F.transform(F.split(inner, ","), corner)
 
 
+KINDS = ("POINT", "LINESTRING", "POLYGON")
+
+
+def shape(wkt: Column) -> Column:
+    """struct(kind, dim, parts) of a POINT, LINESTRING, POLYGON or MULTI kind of planar, finite coordinates; null for anything else.
+
+    dim is 0, 1 or 2; parts are arrays of struct(x, y): single points, paths, or rings with holes by the even-odd rule.
+    """
+    t = F.upper(F.trim(wkt))
+    kind = F.regexp_extract(t, r"^(MULTI)?(POINT|LINESTRING|POLYGON)", 0)
+    dim = F.coalesce(*(F.when(kind.endswith(k), i) for i, k in enumerate(KINDS)))
+    lists = F.transform(F.regexp_extract_all(t, F.lit(r"\(([^()]+)\)"), 1), _corners)
+    parts = F.when(dim == 0, F.transform(F.flatten(lists), lambda p: F.array(p))).otherwise(lists)
+    finite = ~F.exists(F.flatten(lists), lambda p: F.coalesce(F.abs(p["x"]) + F.abs(p["y"]) >= float("inf"), F.lit(True)))
+    return F.when((well_formed(wkt) | t.rlike(POINT)) & finite, F.struct(kind.alias("kind"), dim.alias("dim"), parts.alias("parts")))
+
+
+def of_rings(rings: Column) -> Column:
+    """The shape() of a polygon's rings; null for none."""
+    return F.when(F.size(rings) > 0, F.struct(F.lit("POLYGON").alias("kind"), F.lit(2).alias("dim"), rings.alias("parts")))
+
+
+def segments(of: Column) -> Column:
+    """array<struct(x0, y0, x1, y1, part)> of a shape(): sides of paths and closed rings; a part without length is one segment of none."""
+    field = lambda p, q, i: F.struct(p["x"].alias("x0"), p["y"].alias("y0"), q["x"].alias("x1"), q["y"].alias("y1"), i.alias("part"))
+
+    def one(part: Column, i: Column) -> Column:
+        closing = F.when(of["dim"] == 2, F.slice(part, 1, 1)).otherwise(F.slice(part, 1, 0))
+        after = F.concat(F.slice(part, 2, F.size(part)), closing)
+        sides = F.zip_with(F.slice(part, 1, F.size(after)), after, lambda p, q: field(p, q, i))
+        sides = F.filter(sides, lambda e: (e["x0"] != e["x1"]) | (e["y0"] != e["y1"]))
+        return F.when(F.size(sides) > 0, sides).otherwise(F.transform(F.slice(part, 1, 1), lambda p: field(p, p, i)))
+
+    return F.flatten(F.transform(of["parts"], one))
+
+
 def edges(parts: Column) -> Column:
     """The edges of all rings as array<struct(x0, y0, x1, y1)>; a ring that is not closed is closed, empty edges go."""
 
@@ -79,67 +115,6 @@ def inside(x: Column, y: Column, sides: Column) -> Column:
     return F.size(F.filter(sides, crosses)) % 2 == 1
 
 
-def _turn(e: Column, x: Column, y: Column) -> Column:
-    """Which side of an edge a point is on: the sign of the cross product."""
-    return F.signum((e["x1"] - e["x0"]) * (y - e["y0"]) - (e["y1"] - e["y0"]) * (x - e["x0"]))
-
-
-def _on(e: Column, x: Column, y: Column) -> Column:
-    """Is the point on the edge?"""
-    box = (x >= F.least(e["x0"], e["x1"])) & (x <= F.greatest(e["x0"], e["x1"])) & (y >= F.least(e["y0"], e["y1"])) & (y <= F.greatest(e["y0"], e["y1"]))
-    return box & (_turn(e, x, y) == 0)
-
-
-def _crossing(e: Column, f: Column) -> Column:
-    """Do the edges cross in a point inside both?"""
-    return (_turn(e, f["x0"], f["y0"]) * _turn(e, f["x1"], f["y1"]) < 0) & (_turn(f, e["x0"], e["y0"]) * _turn(f, e["x1"], e["y1"]) < 0)
-
-
-def _touching(e: Column, f: Column) -> Column:
-    ends = _on(e, f["x0"], f["y0"]) | _on(e, f["x1"], f["y1"]) | _on(f, e["x0"], e["y0"]) | _on(f, e["x1"], e["y1"])
-    return _crossing(e, f) | ends
-
-
-def _any_pair(a: Column, b: Column, test) -> Column:
-    return F.exists(a, lambda e: F.exists(b, lambda f: test(e, f)))
-
-
-def _corner_inside(a: Column, b: Column) -> Column:
-    """Is a corner of a inside b?"""
-    return F.exists(a, lambda e: inside(e["x0"], e["y0"], b))
-
-
-def polygons_intersect(a: Column, b: Column) -> Column:
-    """Do two polygons (edges) share a point, borders included? Edges meet, or one lies in the other."""
-    return _any_pair(a, b, _touching) | _corner_inside(a, b) | _corner_inside(b, a)
-
-
-def polygon_contains(a: Column, b: Column) -> Column:
-    """Is every point of b in a, borders included?
-
-    No edges cross; each corner and edge's middle of b is in a or on its border; no corner of a is inside b but on none of
-    its edges. An edge of b that leaves a through a corner of a and comes back before and after its middle is not seen.
-    """
-    covered = lambda x, y: inside(x, y, a) | F.exists(a, lambda e: _on(e, x, y))
-    corners = F.forall(b, lambda f: covered(f["x0"], f["y0"]) & covered((f["x0"] + f["x1"]) / 2, (f["y0"] + f["y1"]) / 2))
-    within = F.exists(a, lambda e: inside(e["x0"], e["y0"], b) & ~F.exists(b, lambda f: _on(f, e["x0"], e["y0"])))
-    return corners & ~within & ~_any_pair(a, b, _crossing)
-
-
-def _to_edge(e: Column, x: Column, y: Column) -> Column:
-    """Squared distance of a point from an edge."""
-    dx, dy = e["x1"] - e["x0"], e["y1"] - e["y0"]
-    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((x - e["x0"]) * dx + (y - e["y0"]) * dy) / (dx * dx + dy * dy)))
-    px, py = x - e["x0"] - t * dx, y - e["y0"] - t * dy
-    return px * px + py * py
-
-
-def polygon_distance(a: Column, b: Column) -> Column:
-    """The distance of two polygons: 0 if they intersect, else the least one of a corner from an edge."""
-    least = lambda p, q: F.array_min(F.flatten(F.transform(p, lambda e: F.transform(q, lambda f: _to_edge(f, e["x0"], e["y0"])))))
-    return F.when(polygons_intersect(a, b), F.lit(0.0)).otherwise(F.sqrt(F.least(least(a, b), least(b, a))))
-
-
 def _boxed(polygons: DataFrame) -> DataFrame:
     """Rows (id, SIDES, sides) of polygons (id, rings): envelopes with the edges as payload; null rings go.
 
@@ -169,19 +144,8 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, **options) -> Dat
     return pairs.where(inside(F.col("a_low0"), F.col("a_low1"), F.col("b_sides"))).select("id_a", "id_b")
 
 
-def polygon_join(a: DataFrame, b: DataFrame, *, predicate_name: str = "intersects", distance: float | None = None, **options) -> DataFrame:
-    """Rows (id_a, id_b) of polygons (id, rings) for which predicate_name holds exactly: intersects, contains, within, distance.
+def polygon_join(a: DataFrame, b: DataFrame, **options) -> DataFrame:
+    """operators.shapes.shape_join of polygons (id, rings), rings with holes by the even-odd rule; null rings match nothing."""
+    from ..operators.shapes import shape_join
 
-    The envelopes' join proposes pairs. Null rings match nothing; borders belong to polygons; rows that repeat give pairs
-    each; empty tables give none.
-    """
-    from ..operators.join import matched
-    from .predicates import predicate, valid
-
-    tests = {"intersects": polygons_intersect, "contains": polygon_contains, "within": lambda x, y: polygon_contains(y, x), "distance": lambda x, y: polygon_distance(x, y) <= F.lit(float(distance))}
-    if predicate_name not in tests:
-        raise ValueError(f"predicate: {predicate_name}")
-    by = float(distance or 0.0) if predicate_name == "distance" else 0.0
-    left, right = (valid(_boxed(t), keep=("sides",)) for t in (a, b))
-    pairs = matched(left, right, test=predicate(predicate_name, "closed", distance), by=by, payload_a="sides", payload_b="sides", **options)
-    return pairs.where(tests[predicate_name](F.col("a_sides"), F.col("b_sides"))).select("id_a", "id_b")
+    return shape_join(*(t.select("id", of_rings(F.col("rings")).alias("shape")) for t in (a, b)), **options)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import geometry
 from ..functions.predicates import register, valid
 from ..operators import index, partition
+from ..operators.shapes import nearest_shapes, shape_join
 from ..operators.join import as_rects, nearest, spatial_join, tile_join as tiles
 from ..sources.readers import wkt_of
 
@@ -97,17 +98,36 @@ def balls(spark: SparkSession, d: str, table: str, key: str, half: str) -> DataF
     """Polygons: diamonds whose half diagonals are equal, parsed from text."""
     at = spark.read.parquet(f"{d}/{table}.parquet").select(F.col(key).alias("id"), *(F.expr(f"{key} * {m} % 10000").alias(c) for m, c in zip(BALLS[table], "xy", strict=True)), F.expr(half).alias("h"))
     wkt = F.format_string("POLYGON((%s %s, %s %s, %s %s, %s %s))", *(F.expr(e).cast("string") for e in ("x - h", "y", "x", "y - h", "x + h", "y", "x", "y + h")))
-    return at.select("id", geometry.rings(wkt).alias("rings"))
+    return at.select("id", geometry.shape(wkt).alias("shape"))
 
 
 def ball_join(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return geometry.polygon_join(balls(spark, d, "part", "p_partkey", "p_size"), balls(spark, d, "orders", "o_orderkey", "1 + o_orderkey % 40"), predicate_name=name)
+    return shape_join(balls(spark, d, "part", "p_partkey", "p_size"), balls(spark, d, "orders", "o_orderkey", "1 + o_orderkey % 40"), predicate_name=name)
 
 
 def polygon_distance(spark: SparkSession, d: str) -> DataFrame:
     """Rectangles as polygons of two kinds: rings and texts of several parts."""
-    some = lambda rects: wkt_of(rects(spark, d)).select("id", geometry.rings(F.regexp_replace("wkt", r"POLYGON\(\((.*)\)\)", "MULTIPOLYGON((($1)))")).alias("rings"))
-    return geometry.polygon_join(some(rects_a), some(rects_b), predicate_name="distance", distance=REACH)
+    some = lambda rects: wkt_of(rects(spark, d)).select("id", geometry.shape(F.regexp_replace("wkt", r"POLYGON\(\((.*)\)\)", "MULTIPOLYGON((($1)))")).alias("shape"))
+    return shape_join(some(rects_a), some(rects_b), predicate_name="distance", distance=REACH)
+
+
+def lines(spark: SparkSession, d: str, rects: Callable, across: bool) -> DataFrame:
+    """The lower sides of rectangles (across) or their left sides, parsed from text: paths of two segments."""
+    ends = ("low0", "low1", "high0", "low1") if across else ("low0", "low1", "low0", "high1")
+    middle = ("(low0 + high0) / 2", "low1") if across else ("low0", "(low1 + high1) / 2")
+    wkt = F.format_string("LINESTRING(%s %s, %s %s, %s %s)", *(F.expr(e).cast("string") for e in (*ends[:2], *middle, *ends[2:])))
+    return rects(spark, d).select("id", geometry.shape(wkt).alias("shape"))
+
+
+def spots(spark: SparkSession, d: str) -> DataFrame:
+    wkt = F.format_string("POINT(%s %s)", F.col("x").cast("string"), F.col("y").cast("string"))
+    return points(spark, d).select("id", geometry.shape(wkt).alias("shape"))
+
+
+def mixed_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Points, lines and polygons in one table, told apart by their ids modulo 3."""
+    numbered = lambda t, k: t.withColumn("id", 3 * F.col("id") + k)
+    return numbered(spots(spark, d), 0).unionByName(numbered(lines(spark, d, rects_b, True), 1)).unionByName(numbered(balls(spark, d, "orders", "o_orderkey", "1 + o_orderkey % 40"), 2))
 
 
 def pip_holes(spark: SparkSession, d: str) -> DataFrame:
@@ -156,7 +176,14 @@ def queries() -> dict[str, Query]:
         "polygon_intersects": partial(ball_join, name="intersects"),
         "polygon_contains": partial(ball_join, name="contains"),
         "polygon_within": partial(ball_join, name="within"),
+        "polygon_overlaps": partial(ball_join, name="overlaps"),
         "polygon_distance": polygon_distance,
+        "line_line_join": lambda s, d: shape_join(lines(s, d, rects_a, False), lines(s, d, rects_b, True)),
+        "point_line_join": lambda s, d: shape_join(spots(s, d), lines(s, d, rects_b, True), predicate_name="within"),
+        "line_polygon_join": lambda s, d: shape_join(lines(s, d, rects_b, True), balls(s, d, "part", "p_partkey", "p_size")),
+        "polygon_contains_line": lambda s, d: shape_join(balls(s, d, "part", "p_partkey", "p_size"), lines(s, d, rects_b, True), predicate_name="contains"),
+        "mixed_shapes_join": lambda s, d: shape_join(balls(s, d, "part", "p_partkey", "p_size"), mixed_shapes(s, d)),
+        "nearest_line": lambda s, d: nearest_shapes(spots(s, d), lines(s, d, rects_b, True), REACH),
         "pip_holes": pip_holes,
         "pip_join": pip,
         "pip_join_open": partial(pip, boundary="open"),
@@ -184,11 +211,14 @@ def queries() -> dict[str, Query]:
     }
 
 
+def ball(table: str, key: str, half: str) -> str:
+    return f"SELECT {key}::BIGINT AS id, {key} * {BALLS[table][0]} % 10000 AS x, {key} * {BALLS[table][1]} % 10000 AS y, {half} AS h FROM {table}"
+
+
 def balls_sql(on: str) -> str:
     """Diamonds are balls of the city-block distance d of their centres."""
-    ball = lambda key, table, half: f"SELECT {key} AS id, {key} * {BALLS[table][0]} % 10000 AS x, {key} * {BALLS[table][1]} % 10000 AS y, {half} AS h FROM {table}"
     on = on.replace("d ", "abs(a.x - b.x) + abs(a.y - b.y) ", 1)
-    return f"WITH a AS ({ball('p_partkey', 'part', 'p_size')}), b AS ({ball('o_orderkey', 'orders', '1 + o_orderkey % 40')}) SELECT a.id::BIGINT AS id_a, b.id::BIGINT AS id_b FROM a JOIN b ON {on}"
+    return f"WITH a AS ({ball('part', 'p_partkey', 'p_size')}), b AS ({ball('orders', 'o_orderkey', '1 + o_orderkey % 40')}) SELECT a.id::BIGINT AS id_a, b.id::BIGINT AS id_b FROM a JOIN b ON {on}"
 
 
 def quadtree_sql(p: str, most: int = 40, depth: int = 6) -> str:
@@ -236,6 +266,13 @@ def oracle_sql() -> dict[str, str]:
         source = "(SELECT leaf AS node, low0, high0, low1, high1 FROM leaves)" if k == 0 else f"(SELECT node // 16 AS node, low0, high0, low1, high1 FROM l{k - 1} WHERE (SELECT count(*) FROM l{k - 1}) > 1)"
         levels += f", l{k} AS (SELECT node, count(*) AS n, min(low0) AS low0, max(high0) AS high0, min(low1) AS low1, max(high1) AS high1 FROM {source} GROUP BY node)"
         parts.append(f"SELECT {k}::INTEGER AS level, node, n, low0, high0, low1, high1 FROM l{k}")
+    on_line = "a.low1 = b.low1 AND a.low0 BETWEEN b.low0 AND b.high0"
+    to_line = "(pow(greatest(0.0::DOUBLE, b.low0 - a.low0, a.low0 - b.high0), 2) + pow(a.low1 - b.low1, 2))"
+
+    def line_ball(on: str, what: str) -> str:
+        """The lower sides of rects_b as a, the diamonds of parts as b."""
+        return f"WITH a AS ({b}), b AS ({ball('part', 'p_partkey', 'p_size')}) SELECT {what} FROM a JOIN b ON {on.format(dy='abs(a.low1 - b.y)')}"
+
     diamond = "abs(p.x + 0.25 - (a.low0 + a.high0) / 2) / ((a.high0 - a.low0) / 2) + abs(p.y + 0.125 - (a.low1 + a.high1) / 2) / ((a.high1 - a.low1) / 2) < 1"
     return {f"mbr_join_{n}": join(closed) for n in ("grid", "adaptive", "sort_tile", "binary_split", "rtree", "inlj", "sweep", "saved", "stripe_x", "stripe_y", "float32")} | {
         "mbr_join_mixed": join(closed, left=f"{a} UNION ALL SELECT -id, low0, high0 + 5000, low1, high1 FROM ({FEW})"),
@@ -245,6 +282,16 @@ def oracle_sql() -> dict[str, str]:
         "polygon_intersects": balls_sql("d <= a.h + b.h"),
         "polygon_contains": balls_sql("d + b.h <= a.h"),
         "polygon_within": balls_sql("d + a.h <= b.h"),
+        "polygon_overlaps": balls_sql("d < a.h + b.h AND abs(a.x - b.x) + abs(a.y - b.y) > abs(a.h - b.h)"),
+        "line_line_join": join("a.low0 BETWEEN b.low0 AND b.high0 AND b.low1 BETWEEN a.low1 AND a.high1"),
+        "point_line_join": join(f"{on_line} AND a.low0 > b.low0 AND a.low0 < b.high0", left=pts),
+        "line_polygon_join": line_ball("b.h >= {dy} AND a.low0 <= b.x + (b.h - {dy}) AND a.high0 >= b.x - (b.h - {dy})", "a.id AS id_a, b.id AS id_b"),
+        "polygon_contains_line": line_ball("b.h >= {dy} + abs(a.low0 - b.x) AND b.h >= {dy} + abs(a.high0 - b.x)", "b.id AS id_a, a.id AS id_b"),
+        "mixed_shapes_join": f"""SELECT id_a, 3 * id_b AS id_b FROM (WITH a AS ({ball("part", "p_partkey", "p_size")}), b AS ({p}) SELECT a.id::BIGINT AS id_a, b.id::BIGINT AS id_b FROM a JOIN b ON abs(a.x - b.x) + abs(a.y - b.y) <= a.h)
+            UNION ALL SELECT id_b, 3 * id_a + 1 FROM ({line_ball("b.h >= {dy} AND a.low0 <= b.x + (b.h - {dy}) AND a.high0 >= b.x - (b.h - {dy})", "a.id::BIGINT AS id_a, b.id::BIGINT AS id_b")})
+            UNION ALL SELECT id_a, 3 * id_b + 2 FROM ({balls_sql("d <= a.h + b.h")})""",
+        "nearest_line": f"""SELECT id_a, id_b, sqrt(d2) AS distance FROM ({join(f"{to_line} <= {REACH} * {REACH}", left=pts, what=f"a.id::BIGINT AS id_a, b.id::BIGINT AS id_b, {to_line} AS d2")})
+            QUALIFY row_number() OVER (PARTITION BY id_a ORDER BY d2, id_b) = 1""",
         "polygon_distance": join(f"{d2} <= {REACH} * {REACH}"),
         "pip_holes": f"""WITH p AS ({p}), a AS (SELECT *, (high0 - low0) / 4 AS q FROM ({a})) SELECT p.id::BIGINT AS id_a, a.id::BIGINT AS id_b
             FROM p JOIN a ON p.x + 0.3 BETWEEN low0 AND high0 AND p.y + 0.3 BETWEEN low1 AND high1

@@ -6,8 +6,9 @@ import random
 import numpy as np
 from gridloom.functions import geometry
 from gridloom.operators import index, partition
+from gridloom.operators.shapes import relations
 from gridloom.operators.join import matched, spatial_join, tile_join
-from gridloom.functions.predicates import intersects, valid
+from gridloom.functions.predicates import intersects, predicate, valid
 from gridloom.sources import generators, readers
 from pyspark.sql import functions as F
 from tests.test_joins import boxes, brute, closed, pairs, some
@@ -44,8 +45,9 @@ def test_distance_of_random_triangles(spark):
             for k in range(n):
                 yield x0 + (x1 - x0) * k / n, y0 + (y1 - y0) * k / n
 
-    got = {(r["i"], r["j"]): r["d"] for r in shapes(spark, [(i, text(t)) for i, t in enumerate(a)]).select(F.col("id").alias("i"), geometry.edges(F.col("rings")).alias("e")).crossJoin(
-        shapes(spark, [(i, text(t)) for i, t in enumerate(b)]).select(F.col("id").alias("j"), geometry.edges(F.col("rings")).alias("f"))).select("i", "j", geometry.polygon_distance(F.col("e"), F.col("f")).alias("d")).collect()}
+    named = lambda rows: spark.createDataFrame([(i, text(t)) for i, t in enumerate(rows)], "id long, wkt string").select("id", geometry.shape(F.col("wkt")).alias("shape"))
+    far = relations(named(a), named(b), test=predicate("distance", distance=200.0), by=200.0, deep=False, distance=True)
+    got = {(r["id_a"], r["id_b"]): r["distance"] for r in far.collect()}
     for i, s in enumerate(a):
         p = np.array(list(points_of(s)))
         for j, t in enumerate(b):
