@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import wkt
+
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 POINT = rf"(?i)^\s*POINT\s*\(\s*({NUMBER})\s+({NUMBER})\s*\)\s*$"
 POLYGON = r"(?i)^\s*POLYGON\s*\(\s*\(([^()]*)\)\s*\)\s*$"
@@ -58,40 +61,28 @@ def _corners(inner: Column) -> Column:
     return F.transform(F.split(inner, ","), corner)
 
 
-KINDS = ("POINT", "LINESTRING", "POLYGON")
+#: Segments of a shape; points are segments of no length.
+SEGMENTS = "array<struct<x0:double,y0:double,x1:double,y1:double,part:int>>"
 
 
-def shape(wkt: Column) -> Column:
-    """struct(kind, dim, parts) of a POINT, LINESTRING, POLYGON or MULTI kind of planar, finite coordinates; null for anything else.
+def shape(text: Column) -> Column:
+    """struct(dim, segs) of the well-known text of a POINT, LINESTRING, POLYGON or MULTI kind; null for anything else.
 
-    dim is 0, 1 or 2; parts are arrays of struct(x, y): single points, paths, or rings with holes by the even-odd rule.
+    dim is 0, 1 or 2; segs has the segments of all parts, SEGMENTS, with the number of the part: points, paths, or rings
+    with holes by the even-odd rule. Coordinates are planar and finite.
     """
-    t = F.upper(F.trim(wkt))
-    kind = F.regexp_extract(t, r"^(MULTI)?(POINT|LINESTRING|POLYGON)", 0)
-    dim = F.coalesce(*(F.when(kind.endswith(k), i) for i, k in enumerate(KINDS)))
-    lists = F.transform(F.regexp_extract_all(t, F.lit(r"\(([^()]+)\)"), 1), _corners)
-    parts = F.when(dim == 0, F.transform(F.flatten(lists), lambda p: F.array(p))).otherwise(lists)
-    finite = ~F.exists(F.flatten(lists), lambda p: F.coalesce(F.abs(p["x"]) + F.abs(p["y"]) >= float("inf"), F.lit(True)))
-    return F.when((well_formed(wkt) | t.rlike(POINT)) & finite, F.struct(kind.alias("kind"), dim.alias("dim"), parts.alias("parts")))
-
-
-def of_rings(rings: Column) -> Column:
-    """The shape() of a polygon's rings; null for none."""
-    return F.when(F.size(rings) > 0, F.struct(F.lit("POLYGON").alias("kind"), F.lit(2).alias("dim"), rings.alias("parts")))
 
+    @F.arrow_udf(f"dim int, segs {SEGMENTS}")
+    def of(texts: pa.Array) -> pa.Array:
+        return wkt.shapes_of(texts)
 
-def segments(of: Column) -> Column:
-    """array<struct(x0, y0, x1, y1, part)> of a shape(): sides of paths and closed rings; a part without length is one segment of none."""
-    field = lambda p, q, i: F.struct(p["x"].alias("x0"), p["y"].alias("y0"), q["x"].alias("x1"), q["y"].alias("y1"), i.alias("part"))
+    return of(text)
 
-    def one(part: Column, i: Column) -> Column:
-        closing = F.when(of["dim"] == 2, F.slice(part, 1, 1)).otherwise(F.slice(part, 1, 0))
-        after = F.concat(F.slice(part, 2, F.size(part)), closing)
-        sides = F.zip_with(F.slice(part, 1, F.size(after)), after, lambda p, q: field(p, q, i))
-        sides = F.filter(sides, lambda e: (e["x0"] != e["x1"]) | (e["y0"] != e["y1"]))
-        return F.when(F.size(sides) > 0, sides).otherwise(F.transform(F.slice(part, 1, 1), lambda p: field(p, p, i)))
 
-    return F.flatten(F.transform(of["parts"], one))
+def of_rings(rings: Column) -> Column:
+    """The shape() of a polygon's rings; null for none."""
+    sides = lambda ring, i: F.transform(edges(F.array(ring)), lambda e: F.struct(*(e[c].alias(c) for c in wkt.XY), i.alias("part")))
+    return F.when(F.size(rings) > 0, F.struct(F.lit(2).alias("dim"), F.flatten(F.transform(rings, sides)).alias("segs")))
 
 
 def edges(parts: Column) -> Column:

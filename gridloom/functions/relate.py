@@ -47,7 +47,10 @@ def signs(seg: np.ndarray, p: np.ndarray, q: np.ndarray | None = None) -> np.nda
         total, bound = total + (left - right), bound + ERROR * (np.abs(left) + np.abs(right))
     out = np.sign(total).astype(np.int8)
     # a determinant without products is 0 for certain: differences of doubles are 0 of equal ones only
-    for k in np.flatnonzero(~(np.abs(total) > bound) & (bound > 0)):
+    unsure = np.flatnonzero(~(np.abs(total) > bound) & (bound > 0))
+    # multiples of 2**-10 up to 2**14: no product or sum is rounded
+    fixed = 1024 * np.concatenate([x[:, unsure] for x in (seg, p, q) if x is not None])
+    for k in unsure[~((fixed == np.rint(fixed)) & (np.abs(fixed) <= 1 << 24)).all(axis=0)]:
         x0, y0, x1, y1 = map(Fraction, seg[:, k].tolist())
         det = sum((x1 - x0) * (Fraction(float(t[1, k])) - y0) - (y1 - y0) * (Fraction(float(t[0, k])) - x0) for t in ((p,) if q is None else (p, q)))
         out[k] = (det > 0) - (det < 0)

@@ -13,44 +13,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import geometry, relate
+from ..functions import geometry, relate, wkt
 from ..functions.predicates import SIDES, predicate, valid
 from .join import matched
 from .partition import checkpointed
 
 #: Segments, both sides together, that are compared in one call; one pair where it has more.
 AT_ONCE = 200_000
-XY = ("x0", "y0", "x1", "y1")
-SEGMENTS = "array<struct<x0:double,y0:double,x1:double,y1:double,part:int>>"
-
-
-def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of an array of lists of segments: x0, y0, x1, y1 as rows, the part, and the number of the list of each."""
-    of = lists.flatten()
-    seg = np.stack([of.field(c).to_numpy(zero_copy_only=False) for c in XY]) if len(of) else np.empty((4, 0))
-    size = lists.value_lengths().to_numpy(zero_copy_only=False)
-    return seg, of.field("part").to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), size)
-
-
 def _oriented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shapes of rows (id, shape) with their envelopes; rings are turned so that the inside is on the left; null shapes go."""
     for batch in batches:
-        lists = batch.column("segs")
-        seg, part, geom = _flat(lists)
-        ring = batch.column("dim").to_numpy(zero_copy_only=False)[geom] == 2
+        batch = batch.filter(batch.column("shape").is_valid())
+        dim, lists = (batch.column("shape").field(c) for c in ("dim", "segs"))
+        seg, geom, part = wkt.flattened(lists)
+        ring = dim.to_numpy(zero_copy_only=False)[geom] == 2
         seg[:, ring] = relate.oriented(seg[:, ring], geom[ring], part[ring])
-        fields = pa.StructArray.from_arrays([pa.array(c) for c in seg] + [pa.array(part)], [*XY, "part"])
-        offsets = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int32)
-        at = batch.schema.get_field_index("segs")
-        yield batch.set_column(at, "segs", pa.ListArray.from_arrays(pa.array(offsets), fields))
+        full = np.unique(geom)
+        start = np.searchsorted(geom, full)
+        sides = [f.reduceat(np.stack([seg[k], seg[k + 2]]).T.ravel(), 2 * start) if len(start) else np.empty(0) for k in (0, 1) for f in (np.minimum, np.maximum)]
+        keep = pa.array(full)
+        columns = [batch.column("id").take(keep), dim.take(keep), wkt.listed(seg, geom, part, len(dim)).take(keep), *map(pa.array, sides)]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "dim", "segs", *SIDES])
 
 
 def prepared(table: DataFrame) -> DataFrame:
     """Rows (row, id, dim, segs, SIDES) of shapes (id, shape), written once; null shapes go. row is a number of the row's own."""
-    once = table.select(F.col("id").cast("long").alias("id"), F.explode(F.array("shape")).alias("shape")).where("shape IS NOT NULL")
-    flat = once.select("id", F.col("shape.dim").alias("dim"), F.explode(F.array(geometry.segments(F.col("shape")))).alias("segs"))
-    flat = flat.where(F.size("segs") > 0).mapInArrow(_oriented, f"id long, dim int, segs {SEGMENTS}")
-    low, high = (lambda c: F.array_min(F.concat(f"segs.{c}0", f"segs.{c}1"))), (lambda c: F.array_max(F.concat(f"segs.{c}0", f"segs.{c}1")))
-    return checkpointed(flat.select(F.monotonically_increasing_id().alias("row"), "id", "dim", "segs", low("x").alias("low0"), high("x").alias("high0"), low("y").alias("low1"), high("y").alias("high1")))
+    once = table.select(F.col("id").cast("long").alias("id"), "shape")
+    flat = once.mapInArrow(_oriented, f"id long, dim int, segs {geometry.SEGMENTS}, " + ", ".join(f"{c} double" for c in SIDES))
+    return checkpointed(flat.withColumn("row", F.monotonically_increasing_id()))
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -70,13 +60,15 @@ def relations(a: DataFrame, b: DataFrame, *, test: Column, by: float = 0.0, deep
     left, right = prepared(a), prepared(b)
     boxes = [valid(t.select(F.col("row").alias("id"), *SIDES)) for t in (left, right)]
     pairs = matched(*boxes, test=test, by=by, **options).select(F.col("id_a").alias("row_a"), F.col("id_b").alias("row_b"))
+    # dealt evenly: few numbers, but each stands for much to compare
+    pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row_a", "row_b")
     for t, x in ((left, "a"), (right, "b")):
         pairs = pairs.join(t.select(F.col("row").alias(f"row_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("id", "dim", "segs"))), f"row_{x}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch):
-                one, two = (relate.Side(seg, pair, ring, part.column(f"dim_{x}").to_numpy(zero_copy_only=False)) for x in "ab" for seg, ring, pair in (_flat(part.column(f"segs_{x}")),))
+                one, two = (relate.Side(seg, pair, ring, part.column(f"dim_{x}").to_numpy(zero_copy_only=False)) for x in "ab" for seg, pair, ring in (wkt.flattened(part.column(f"segs_{x}")),))
                 found = relate.related(one, two, deep=deep)
                 columns = [part.column(c) for c in ("id_a", "id_b", "dim_a", "dim_b")] + [pa.array(found[f]) for f in relate.FLAGS]
                 names = ["id_a", "id_b", "dim_a", "dim_b", *relate.FLAGS]
