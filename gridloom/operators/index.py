@@ -6,6 +6,7 @@ A node is (level, node); the objects of leaf k and the children of node k are th
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -146,6 +147,7 @@ def traversed(a: DataFrame | Tree, b: DataFrame | Tree, test: Column, *, by: flo
         if written and (la > 0 or lb > 0):
             front = checkpointed(front)
             if not whole_a and front.count() > frontier:
+                warnings.warn(f"rtree: more than {frontier} pairs of nodes on a level; leaves are paired by the grid", stacklevel=2)
                 front = _leaf_pairs(ta, tb, meets, by)
                 break
     end_b = side(tb.objects.withColumnRenamed("leaf", "node_b"), "b", "node_b")

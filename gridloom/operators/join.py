@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.predicates import SIDES, predicate, side, valid
 from . import index
-from .partition import Grid, assign, refined, sized_grid, sort_tile_cuts, binary_split_cuts
+from .partition import Directory, Grid, assign, checkpointed, directory, refined, sized_grid
 
 #: Bytes of a row (id and four doubles, with Spark's own), and the largest side that is broadcast.
 ROW_BYTES, BROADCAST_BYTES = 64, 64 << 20
 #: Rows of the smaller side that a nested loop takes when the larger side is no broadcast; beyond that the grid joins.
 NESTED_ROWS = 10_000
-#: Objects of a tile, and tiles a way, of the strategies by lists of tiles.
-PER_TILE, MOST_TILES = 2000, 16
+#: Objects of a tile of the strategies by a directory of tiles, and of one of the sweep, both sides together.
+PER_TILE, PER_RANGE = 2000, 100_000
 ALGORITHMS = ("grid", "stripes_x", "stripes_y", "sweep", "adaptive", "sort_tile", "binary_split", "rtree", "inlj", "broadcast", "nested")
 
 
@@ -52,26 +53,39 @@ def _levels(a: DataFrame, b: DataFrame, grid: Grid, test: Column, by: float, mor
     return both.where(test & _once(grid, by, -F.col("_at")))
 
 
-#: Objects in a stripe of the sweep, both sides together.
-PER_STRIPE = 100_000
+def swept(a: DataFrame, b: DataFrame, tiles: Directory, by: float, *, most: int = PER_RANGE) -> DataFrame:
+    """Pairs whose rectangles, a's widened by `by`, meet (closed): stripes of dimension 1, cut along dimension 0 and swept.
 
-
-def swept(a: DataFrame, b: DataFrame, grid: Grid, by: float) -> DataFrame:
-    """Pairs whose rectangles, a's widened by `by`, meet (closed): stripes of dimension 1, each swept along dimension 0.
-
-    In a stripe both sides are sorted by their lows. The objects that begin while one is open are a run of the other
-    side's order, found by binary search; each pair shows in the run of whichever begins first. Runs are compared in
-    blocks, so that memory follows the stripe and not its pairs.
+    The directory cuts the swept axis where a stripe is full; objects that are open at a cut go on into the next range. A
+    range that still has more than `most` objects, which can't be cut where they lie on each other, is dealt in blocks of
+    both sides, so no group is larger than two blocks. In a range both sides are sorted by their lows. The objects that
+    begin while one is open are a run of the other side's order, found by binary search; each pair shows in the run of
+    whichever begins first. Runs are compared in blocks, so that memory follows the range and its pairs that meet.
     """
     import numpy as np
     import pyarrow as pa
 
     names = [f"{x}_{c}" for x in "ab" for c in SIDES]
+    key, bounds = ["depth", "at"], ["x0", "x1", "y0", "y1"]
+    # written with a number, by which a full range is dealt: the same if a task runs again
+    rows = {x: checkpointed(t.withColumn("number", F.monotonically_increasing_id())) for x, t in (("a", tiles.deal(a, by=by)), ("b", tiles.deal(b)))}
+    half = max(1, most // 2)
+    held = [t.groupBy(*key).agg(F.count("*").alias(f"n_{x}")) for x, t in rows.items()]
+    parts = [F.ceil(F.col(f"n_{x}") / half).cast("int").alias(f"parts_{x}") for x in "ab"]
+    # ranges of one side alone go; full ones are few, a row for each `half` objects at most
+    full = held[0].join(held[1], key).select(*key, *parts).where("parts_a > 1 OR parts_b > 1")
+
+    def blocks(x: str) -> DataFrame:
+        other = "b" if x == "a" else "a"
+        own = F.pmod(F.xxhash64("number"), F.coalesce(f"parts_{x}", F.lit(1))).cast("int").alias(f"block_{x}")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(f"parts_{other}", F.lit(1)) - 1)).alias(f"block_{other}")
+        return rows[x].join(full, key, "left").select(*key, own, every, "id", *SIDES, *(bounds if x == "a" else []))
 
     def sweep(left: pa.Table, right: pa.Table) -> pa.Table:
         x, y = ({c: t.column(c).to_numpy() for c in ("id", *SIDES)} for t in (left, right))
         x = {c: v - by if c.startswith("low") else v + by if c.startswith("high") else v for c, v in x.items()}
         (x, left), (y, right) = ((({c: v[o] for c, v in s.items()}), t.take(pa.array(o))) for s, t in ((x, left), (y, right)) for o in (np.argsort(s["low0"], kind="stable"),))
+        x0, x1, y0, y1 = (left.column(c)[0].as_py() if len(left) else 0.0 for c in bounds)
         found = []
         for first, second, after in ((x, y, "left"), (y, x, "right")):
             # of equal lows a's object counts as the first
@@ -83,15 +97,19 @@ def swept(a: DataFrame, b: DataFrame, grid: Grid, by: float) -> DataFrame:
                 ends = np.cumsum(count[rows])
                 j = np.arange(len(i)) - np.repeat(ends - count[rows] - begin[rows], count[rows])
                 meet = (first["low1"][i] <= second["high1"][j]) & (second["low1"][j] <= first["high1"][i])
-                found.append((i[meet], j[meet]) if after == "left" else (j[meet], i[meet]))
+                i, j = (i[meet], j[meet]) if after == "left" else (j[meet], i[meet])
+                # the corner of largest lows lies in one range alone
+                low0, low1 = (np.maximum(x[c][i], y[c][j]) for c in ("low0", "low1"))
+                own = (low0 >= x0) & (low0 < x1) & (low1 >= y0) & (low1 < y1)
+                found.append((i[own], j[own]))
         i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         one, two = left.take(pa.array(i)), right.take(pa.array(j))
-        return pa.table([one.column("id"), *(one.column(c) for c in SIDES), two.column("id"), *(two.column(c) for c in SIDES), one.column("cy")], names=["id_a", *names[:4], "id_b", *names[4:], "cy"])
+        return pa.table([one.column("id"), *(one.column(c) for c in SIDES), two.column("id"), *(two.column(c) for c in SIDES)], names=["id_a", *names[:4], "id_b", *names[4:]])
 
-    stripe = lambda t, wide: assign(t, grid, by=wide).drop("cx")
-    ddl = "id_a long, " + ", ".join(f"{n} double" for n in names[:4]) + ", id_b long, " + ", ".join(f"{n} double" for n in names[4:]) + ", cy long"
-    both = stripe(a, by).groupBy("cy").cogroup(stripe(b, 0.0).groupBy("cy")).applyInArrow(sweep, ddl)
-    return both.withColumn("cx", F.lit(0).cast("long")).where(_once(grid, by)).drop("cx", "cy")
+    ddl = "id_a long, " + ", ".join(f"{n} double" for n in names[:4]) + ", id_b long, " + ", ".join(f"{n} double" for n in names[4:])
+    left, right = (blocks(x).select(*(F.col(c).alias(f"{c}_{x}") for c in (*key, "block_a", "block_b")), "id", *SIDES, *(bounds if x == "a" else [])) for x in "ab")
+    by_key = [[f"{c}_{x}" for c in (*key, "block_a", "block_b")] for x in "ab"]
+    return left.groupBy(*by_key[0]).cogroup(right.groupBy(*by_key[1])).applyInArrow(sweep, ddl)
 
 
 def tile_join(a: DataFrame, b: DataFrame, *, boundary: str = "closed") -> DataFrame:
@@ -100,21 +118,15 @@ def tile_join(a: DataFrame, b: DataFrame, *, boundary: str = "closed") -> DataFr
     return left.join(right, "tile").where(predicate("intersects", boundary)).select("tile", "id_a", "id_b")
 
 
-def _tiles(a: DataFrame, b: DataFrame, tiles: list[tuple[float, float, float, float]], test: Column, by: float) -> DataFrame:
-    """Join by a list of tiles, at most MOST_TILES a way and so broadcast; a rectangle goes to every tile that it meets.
+def tiled(a: DataFrame, b: DataFrame, tiles: Directory, test: Column, by: float = 0.0) -> DataFrame:
+    """Join of valid tables by the tiles of a directory; a rectangle goes to every tile that it meets.
 
     The pair's corner of largest lows tells the one tile that keeps it: tiles fill the plane and are half-open.
     """
-    bounds = ["x0", "x1", "y0", "y1"]
-    rows = F.broadcast(a.sparkSession.createDataFrame([(i, *t) for i, t in enumerate(tiles)], "tile int, x0 double, x1 double, y0 double, y1 double"))
-
-    def dealt(t: DataFrame, wide: float) -> DataFrame:
-        meets = (F.col("low0") - wide < F.col("x1")) & (F.col("high0") + wide >= F.col("x0")) & (F.col("low1") - wide < F.col("y1")) & (F.col("high1") + wide >= F.col("y0"))
-        return t.join(rows, meets)
-
+    key, bounds = ["depth", "at"], ["x0", "x1", "y0", "y1"]
     x, y = (F.greatest(F.col(f"a_low{d}") - F.lit(by), F.col(f"b_low{d}")) for d in (0, 1))
     owner = (x >= F.col("x0")) & (x < F.col("x1")) & (y >= F.col("y0")) & (y < F.col("y1"))
-    return side(dealt(a, by), "a", "tile").join(side(dealt(b, 0.0), "b", "tile", *bounds), "tile").where(test & owner).drop("tile", *bounds)
+    return side(tiles.deal(a, by=by), "a", *key).join(side(tiles.deal(b), "b", *key, *bounds), key).where(test & owner).drop(*key, *bounds)
 
 
 def matched(a: DataFrame, b: DataFrame, *, test: Column, by: float = 0.0, algorithm: str = "grid", n: int | None = None,
@@ -127,31 +139,34 @@ def matched(a: DataFrame, b: DataFrame, *, test: Column, by: float = 0.0, algori
     """
     more_a, more_b = ((F.col(c).alias(f"{x}_{c}"),) if c else () for x, c in (("a", payload_a), ("b", payload_b)))
     if algorithm == "nested" and max(a.count(), b.count()) * ROW_BYTES > BROADCAST_BYTES and min(a.count(), b.count()) > NESTED_ROWS:
+        warnings.warn("nested: too many rows to compare all pairs; joined by the grid", stacklevel=2)
         algorithm = "grid"
     if algorithm == "nested":
         return side(a, "a", *more_a).join(side(b, "b", *more_b), test)
     if algorithm == "broadcast":
         if b.count() * ROW_BYTES <= BROADCAST_BYTES and not payload_b:
             return side(a, "a", *more_a).join(F.broadcast(side(b, "b")), test)
+        warnings.warn("broadcast: b is too large or carries further columns; joined by the grid", stacklevel=2)
         algorithm = "grid"
-    if (more_a or more_b) and algorithm not in ("grid", "stripes_x", "stripes_y"):
+    if (more_a or more_b) and algorithm != "grid" and not (n and algorithm in ("stripes_x", "stripes_y")):
         raise ValueError(f"algorithm {algorithm} carries no further columns")
     if algorithm in ("rtree", "inlj"):
         return index.traversed(a, b, test, by=by, node_size=node_size, whole_a=algorithm == "inlj")
     if algorithm in ("sort_tile", "binary_split"):
-        k = n or tiles_for(b.count())
-        return _tiles(a, b, sort_tile_cuts(b, k, k) if algorithm == "sort_tile" else binary_split_cuts(b, k * k), test, by)
+        capacity = max(1, math.ceil(b.count() / n**2)) if n else PER_TILE
+        return tiled(a, b, directory(b, method=algorithm, capacity=capacity), test, by)
     if algorithm not in ALGORITHMS:
         raise ValueError(f"algorithm: {algorithm}")
-    n0 = {"stripes_y": 1, "sweep": 1}.get(algorithm, n or (1000 if algorithm == "stripes_x" else None))
-    n1 = {"stripes_x": 1}.get(algorithm, n or (1000 if algorithm == "stripes_y" else None))
-    if algorithm == "sweep" and not n:
-        n1 = max(1, (a.count() + b.count()) // PER_STRIPE)
+    if algorithm == "sweep":
+        capacity = max(1, math.ceil(b.count() / n**2)) if n else PER_RANGE // 2
+        return swept(a, b, directory(b, capacity=capacity, first=1), by).where(test)
+    if algorithm.startswith("stripes") and not n:
+        # by counts, and cut along the other axis where a stripe is full
+        return tiled(a, b, directory(b, capacity=PER_TILE, first=int(algorithm == "stripes_y")), test, by)
+    n0, n1 = (1 if algorithm == other else n for other in ("stripes_y", "stripes_x"))
     grid = sized_grid(a, b, n0=n0, n1=n1, extent=extent)
     if grid is None:
         return side(a, "a", *more_a).join(side(b, "b", *more_b), F.lit(False))
-    if algorithm == "sweep":
-        return swept(a, b, grid, by).where(test)
     if algorithm != "adaptive":
         join = _levels if algorithm == "grid" and grid.spread > 2 else _cells
         return join(a, b, grid, test, by, more_a, more_b)
@@ -162,11 +177,6 @@ def matched(a: DataFrame, b: DataFrame, *, test: Column, by: float = 0.0, algori
     return both.where(test & _once(grid, by, F.col("level")))
 
 
-def tiles_for(count: int) -> int:
-    """Tiles a way for so many objects: PER_TILE in each, and a bound on the expression that finds them."""
-    return max(2, min(MOST_TILES, math.isqrt(max(1, count // PER_TILE))))
-
-
 def spatial_join(a: DataFrame, b: DataFrame, *, predicate_name: str = "intersects", algorithm: str = "grid", boundary: str = "closed", distance: float | None = None, n: int | None = None, max_comparisons: int = 1000, extent: tuple[float, float, float, float] | None = None, exclude_self: bool = False, precision: str = "double", node_size: int = 16, how: str = "inner") -> DataFrame:
     """Rows (id_a, id_b), one for each pair of rows of a and b (id, low0, high0, low1, high1) that fits; for how = semi or anti rows (id_a).
 

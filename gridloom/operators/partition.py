@@ -112,13 +112,24 @@ def statistics(a: DataFrame, b: DataFrame, grid: Grid) -> DataFrame:
 def median_extent(df: DataFrame) -> DataFrame:
     """One row: the upper median (element n // 2 from 0) of widths and heights over all objects; none for an empty table.
 
-    Values are placed by a distributed sort, so no task holds more than a range of them.
+    Objects are counted by value first, so that no task holds more than a range of distinct values, and ties are one row.
     """
     n = df.count()
-    at = lambda d, name: ranked(df.select((F.col(f"high{d}") - F.col(f"low{d}")).alias(name)), name).where(F.col("rn") == n // 2).select(name)
+    at = lambda d, name: _of_rank(df.groupBy((F.col(f"high{d}") - F.col(f"low{d}")).alias(name)).agg(F.count("*").alias("n")), name, n // 2)
     return at(0, "width").crossJoin(at(1, "height"))  # one row each
 
 
+def _of_rank(counts: DataFrame, value: str, rank: int) -> DataFrame:
+    """The value at a 0-based rank of counted values (value, n): running sums of ranges say which one holds it, and are taken within that one."""
+    dealt = checkpointed(counts.repartitionByRange(value).withColumn("_p", F.spark_partition_id()))
+    sizes = dealt.groupBy("_p").agg(F.sum("n").alias("_n"))  # one row for each range
+    sizes = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n"))
+    one = sizes.where((F.col("_before") <= rank) & (F.col("_before") + F.col("_n") > rank)).select("_p", "_before")
+    upto = F.col("_before") + F.sum("n").over(Window.partitionBy("_p").orderBy(value))
+    held = dealt.join(F.broadcast(one), "_p").withColumn("_upto", upto)
+    return held.where((F.col("_upto") > rank) & (F.col("_upto") - F.col("n") <= rank)).select(value)
+
+
 def sampled_extent(df: DataFrame, *, most: int = 1000, seed: int = 7) -> tuple[float, float]:
     """The upper median of widths and heights of a seeded sample of about `most` objects; 0 for an empty table."""
     n = df.count()
@@ -212,39 +223,122 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sort_tile_cuts(df: DataFrame, slices: int, tiles: int, *, accuracy: int = 10000) -> list[tuple[float, float, float, float]]:
-    """slices x tiles tiles of about equal numbers of centres: quantiles of x, then of y in each slice. Tiles fill the plane."""
-    mid = df.select(((F.col("low0") + F.col("high0")) / 2).alias("x"), ((F.col("low1") + F.col("high1")) / 2).alias("y"))
-    cuts = lambda n: [i / n for i in range(1, n)]
-    xs = mid.agg(F.percentile_approx("x", cuts(slices), accuracy).alias("q")).first()["q"] if slices > 1 else []
-    xs = sorted(set(xs or []))
-    number = sum((F.when(F.col("x") >= F.lit(x), 1).otherwise(0) for x in xs), F.lit(0))
-    ys = {r["s"]: sorted(set(r["q"] or [])) for r in mid.groupBy(number.alias("s")).agg(F.percentile_approx("y", cuts(tiles), accuracy).alias("q")).collect()} if tiles > 1 else {}
-    out, inf = [], math.inf
-    for i, (x0, x1) in enumerate(zip([-inf, *xs], [*xs, inf], strict=True)):
-        y = ys.get(i, [])
-        out += [(x0, x1, y0, y1) for y0, y1 in zip([-inf, *y], [*y, inf], strict=True)]
-    return out
+#: Sampled centres of a tile while a directory is learned, and nodes of a level that are broadcast.
+SAMPLED, SMALL_LEVEL = 64, 50_000
 
 
-def binary_split_cuts(df: DataFrame, leaves: int, *, accuracy: int = 10000) -> list[tuple[float, float, float, float]]:
-    """Up to `leaves` tiles by halving at medians, x and y in turn; each round is one aggregation over all tiles."""
-    mid = df.select(((F.col("low0") + F.col("high0")) / 2).alias("v0"), ((F.col("low1") + F.col("high1")) / 2).alias("v1"))
-    tiles = [(-math.inf, math.inf, -math.inf, math.inf)]
-    dim, stuck = 0, 0
-    while 2 * len(tiles) <= leaves and stuck < 2:
-        number = F.coalesce(*(F.when((F.col("v0") >= a) & (F.col("v0") < b) & (F.col("v1") >= c) & (F.col("v1") < d), i) for i, (a, b, c, d) in enumerate(tiles)))
-        half = {r["t"]: r["m"] for r in mid.groupBy(number.alias("t")).agg(F.percentile_approx(f"v{dim}", 0.5, accuracy).alias("m")).collect()}
-        after = []
-        for i, t in enumerate(tiles):
-            m, lo, hi = half.get(i), t[2 * dim], t[2 * dim + 1]
-            if m is None or not lo < m < hi:
-                after.append(t)
-                continue
-            after += [(lo, m, *t[2:]), (m, hi, *t[2:])] if dim == 0 else [(*t[:2], lo, m), (*t[:2], m, hi)]
-        stuck = stuck + 1 if len(after) == len(tiles) else 0
-        tiles, dim = after, 1 - dim
-    return tiles
+@dataclass(frozen=True)
+class Level:
+    """The nodes of one depth that are split: (at, dim, cuts), children numbered at * fan + 0, 1, ..."""
+
+    nodes: DataFrame
+    fan: int
+    count: int
+
+
+@dataclass(frozen=True)
+class Directory:
+    """Tiles of bounded counts over the whole plane: a k-d tree of many children, as one table for each depth.
+
+    Any table can be dealt to its tiles. A tile is (depth, at): the number of splits above it and its number at that depth.
+    """
+
+    levels: list[Level]
+
+    def deal(self, df: DataFrame, *, by: float = 0.0) -> DataFrame:
+        """df once for each tile that its rectangle, widened by `by`, meets, with (depth, at) and the tile's half-open bounds x0, x1, y0, y1."""
+        inf = F.lit(math.inf)
+        out = df.select("*", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("at"), (-inf).alias("x0"), inf.alias("x1"), (-inf).alias("y0"), inf.alias("y1"))
+        for k, level in enumerate(self.levels):
+            nodes = level.nodes.withColumn("depth", F.lit(k))
+            out = out.join(F.broadcast(nodes) if level.count <= SMALL_LEVEL else nodes, ["depth", "at"], "left")
+            low, high = (F.when(F.col("dim") == 0, F.col(f"{s}0")).otherwise(F.col(f"{s}1")) for s in ("low", "high"))
+            out = bisected(bisected(out, "_from", low - by, level.fan), "_to", high + by, level.fan)
+            none = F.col("cuts").isNull()
+            out = out.withColumn("_k", F.explode(F.sequence(F.when(none, -1).otherwise(F.col("_from")), F.when(none, -1).otherwise(F.col("_to")))))
+            split, cut = F.col("_k") >= 0, lambda i: F.get("cuts", i)
+            side = lambda c, d, i: F.when(split & (F.col("dim") == d), F.coalesce(cut(i), F.col(c))).otherwise(F.col(c)).alias(c)
+            kept = [c for c in out.columns if c not in ("depth", "at", "x0", "x1", "y0", "y1", "dim", "cuts", "_k", "_from", "_to")]
+            deeper = F.when(split, F.col("at") * level.fan + F.col("_k")).otherwise(F.col("at")).alias("at")
+            before, here = F.when(F.col("_k") > 0, F.col("_k") - 1).otherwise(F.lit(None).cast("int")), F.col("_k")
+            out = out.select(*kept, F.when(split, k + 1).otherwise(F.col("depth")).alias("depth"), deeper, side("x0", 0, before), side("x1", 0, here), side("y0", 1, before), side("y1", 1, here))
+        return out
+
+
+def bisected(df: DataFrame, name: str, x: Column, fan: int) -> DataFrame:
+    """df with `name`: how many of the sorted `cuts`, fan - 1 at most, are not above x. Halving steps, each a column of generated code."""
+    df = df.withColumn(name, F.lit(0))
+    for k in reversed(range(max(1, (fan - 1).bit_length()))):
+        df = df.withColumn(name, F.col(name) + F.when(F.get("cuts", F.col(name) + F.lit((1 << k) - 1)) <= x, 1 << k).otherwise(0))
+    return df
+
+
+def directory(df: DataFrame, *, method: str = "sort_tile", capacity: int = 2000, first: int = 0, seed: int = 7) -> Directory:
+    """A directory of tiles of about `capacity` centres of rectangles df, and twice that at most but for equal centres.
+
+    sort_tile: slices of dimension `first` by counts, tiles of the other one in each; binary_split: halves at medians, in
+    turn. It is learned from a sample of SAMPLED rows for each tile; then all rows are counted, and tiles that hold more
+    than twice `capacity` are split by their own quantiles until none does. Tiles grow with the table: nothing of it is
+    held by the driver. A tile whose centres are all equal stays whole.
+    """
+    if method not in ("sort_tile", "binary_split"):
+        raise ValueError(f"method: {method}")
+    middle = [(F.col(f"low{d}") + F.col(f"high{d}")) / 2 for d in (0, 1)]
+    share = min(1.0, SAMPLED / capacity)
+    centres = df.select(*(m.alias(f"v{d}") for d, m in enumerate(middle)), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("at"))
+    sample = checkpointed(centres if share == 1.0 else centres.sample(share, seed))
+    leaves = max(2, math.ceil(sample.count() / (capacity * share)))
+    slices = math.ceil(math.sqrt(leaves))
+    fans, later = ([slices, slices], 16) if method == "sort_tile" else ([2] * math.ceil(math.log2(leaves)), 2)
+    levels = _divided([], sample, capacity * share, fans, later, first, rounds=len(fans))
+    points = df.select(*(m.alias(f"{s}{d}") for d, m in enumerate(middle) for s in ("low", "high")))
+    dealt = Directory(levels).deal(points).select(F.col("low0").alias("v0"), F.col("low1").alias("v1"), "depth", "at")
+    full = checkpointed(dealt.groupBy("depth", "at").agg(F.count("*").alias("n")).where(F.col("n") > 2 * capacity).drop("n"))
+    if full.isEmpty():
+        return Directory(levels)
+    return Directory(_divided(levels, checkpointed(dealt.join(full, ["depth", "at"])), 2 * capacity, fans, later, first))
+
+
+def _divided(levels: list[Level], points: DataFrame, most: float, fans: list[int], later: int, first: int, rounds: int = 62) -> list[Level]:
+    """levels with the tiles of points (v0, v1, depth, at) split while they hold more than `most`; numbers of tiles fit 62 bits."""
+    levels, k, bits = list(levels), 0, 0.0
+    while k < rounds:
+        fan = levels[k].fan if k < len(levels) else fans[k] if k < len(fans) else later
+        bits += math.log2(fan)
+        if bits >= 62:
+            return levels
+        here = points.where(F.col("depth") == k)
+        nodes = checkpointed(_cuts(here, most, fan, (k + first) % 2))
+        count = nodes.count()
+        if count:
+            value = F.when(F.col("dim") == 0, F.col("v0")).otherwise(F.col("v1"))
+            moved = bisected(here.join(F.broadcast(nodes) if count <= SMALL_LEVEL else nodes, "at"), "_k", value, fan)
+            moved = moved.select("v0", "v1", F.lit(k + 1).alias("depth"), (F.col("at") * fan + F.col("_k")).alias("at"))
+            points = moved.unionByName(points.where(F.col("depth") > k))
+            # a few joins are done again rather than written; more would grow with the square of the depth
+            points = checkpointed(points) if k % 4 == 3 else points
+            if k < len(levels):
+                levels[k] = Level(levels[k].nodes.unionByName(nodes), fan, levels[k].count + count)
+            else:
+                levels.append(Level(nodes, fan, count))
+        elif k >= len(levels):
+            break
+        k += 1
+    return levels
+
+
+def _cuts(points: DataFrame, most: float, fan: int, dim: int) -> DataFrame:
+    """Rows (at, dim, cuts) of tiles with more than `most` points: quantiles of one dimension, of the other where it has no extent."""
+    quantiles, accuracy = [i / fan for i in range(1, fan)], max(1000, 20 * fan)  # ranks within a twentieth of a child
+    sums = [f(f"v{d}").alias(f"{name}{d}") for d in (0, 1) for f, name in ((F.min, "least"), (F.max, "last"))]
+    of = points.groupBy("at").agg(F.count("*").alias("n"), *sums, *(F.percentile_approx(f"v{d}", quantiles, accuracy).alias(f"q{d}") for d in (0, 1)))
+    wide = [F.col(f"least{d}") < F.col(f"last{d}") for d in (0, 1)]
+    of = of.where((F.col("n") > most) & (wide[0] | wide[1])).withColumn("dim", F.when(wide[dim], dim).otherwise(1 - dim))
+    least, last, found = (F.when(F.col("dim") == 0, F.col(f"{c}0")).otherwise(F.col(f"{c}1")) for c in ("least", "last", "q"))
+    cuts = F.filter(F.array_distinct(found), lambda c: c > least)
+    # where most centres tie with the least: half of the width, or the greatest where that is no number between
+    half = least / 2 + last / 2
+    return of.select("at", "dim", F.when(F.size(cuts) > 0, cuts).otherwise(F.array(F.when(half > least, half).otherwise(last))).alias("cuts"))
 
 
 def ranked(df: DataFrame, *order: str, name: str = "rn") -> DataFrame:
