@@ -60,6 +60,11 @@ def relations(a: DataFrame, b: DataFrame, *, test: Column, by: float = 0.0, deep
     left, right = prepared(a), prepared(b)
     boxes = [valid(t.select(F.col("row").alias("id"), *SIDES)) for t in (left, right)]
     pairs = matched(*boxes, test=test, by=by, **options).select(F.col("id_a").alias("row_a"), F.col("id_b").alias("row_b"))
+    return compared(left, right, pairs, by=by, deep=deep, distance=distance)
+
+
+def compared(left: DataFrame, right: DataFrame, pairs: DataFrame, *, by: float = 0.0, deep: bool = True, distance: bool = False) -> DataFrame:
+    """relations() of the given pairs (row_a, row_b) of prepared() tables."""
     # dealt evenly: few numbers, but each stands for much to compare
     pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row_a", "row_b")
     for t, x in ((left, "a"), (right, "b")):

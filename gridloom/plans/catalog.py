@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import geometry
 from ..functions.predicates import register, valid
 from ..operators import index, partition
+from ..operators.cover import points_in_shapes
 from ..operators.shapes import nearest_shapes, shape_join
 from ..operators.join import as_rects, nearest, spatial_join, tile_join as tiles
 from ..sources.readers import wkt_of
@@ -183,6 +184,8 @@ def queries() -> dict[str, Query]:
         "line_polygon_join": lambda s, d: shape_join(lines(s, d, rects_b, True), balls(s, d, "part", "p_partkey", "p_size")),
         "polygon_contains_line": lambda s, d: shape_join(balls(s, d, "part", "p_partkey", "p_size"), lines(s, d, rects_b, True), predicate_name="contains"),
         "mixed_shapes_join": lambda s, d: shape_join(balls(s, d, "part", "p_partkey", "p_size"), mixed_shapes(s, d)),
+        "pip_quadtree": lambda s, d: points_in_shapes(points(s, d), balls(s, d, "part", "p_partkey", "p_size")),
+        "pip_quadtree_open": lambda s, d: points_in_shapes(points(s, d), balls(s, d, "part", "p_partkey", "p_size"), boundary="open"),
         "nearest_line": lambda s, d: nearest_shapes(spots(s, d), lines(s, d, rects_b, True), REACH),
         "pip_holes": pip_holes,
         "pip_join": pip,
@@ -269,6 +272,9 @@ def oracle_sql() -> dict[str, str]:
     on_line = "a.low1 = b.low1 AND a.low0 BETWEEN b.low0 AND b.high0"
     to_line = "(pow(greatest(0.0::DOUBLE, b.low0 - a.low0, a.low0 - b.high0), 2) + pow(a.low1 - b.low1, 2))"
 
+    def in_ball(less: str) -> str:
+        return f"WITH a AS ({ball('part', 'p_partkey', 'p_size')}), b AS ({p}) SELECT b.id::BIGINT AS id_a, a.id AS id_b FROM a JOIN b ON abs(a.x - b.x) + abs(a.y - b.y) {less} a.h"
+
     def line_ball(on: str, what: str) -> str:
         """The lower sides of rects_b as a, the diamonds of parts as b."""
         return f"WITH a AS ({b}), b AS ({ball('part', 'p_partkey', 'p_size')}) SELECT {what} FROM a JOIN b ON {on.format(dy='abs(a.low1 - b.y)')}"
@@ -290,6 +296,8 @@ def oracle_sql() -> dict[str, str]:
         "mixed_shapes_join": f"""SELECT id_a, 3 * id_b AS id_b FROM (WITH a AS ({ball("part", "p_partkey", "p_size")}), b AS ({p}) SELECT a.id::BIGINT AS id_a, b.id::BIGINT AS id_b FROM a JOIN b ON abs(a.x - b.x) + abs(a.y - b.y) <= a.h)
             UNION ALL SELECT id_b, 3 * id_a + 1 FROM ({line_ball("b.h >= {dy} AND a.low0 <= b.x + (b.h - {dy}) AND a.high0 >= b.x - (b.h - {dy})", "a.id::BIGINT AS id_a, b.id::BIGINT AS id_b")})
             UNION ALL SELECT id_a, 3 * id_b + 2 FROM ({balls_sql("d <= a.h + b.h")})""",
+        "pip_quadtree": in_ball("<="),
+        "pip_quadtree_open": in_ball("<"),
         "nearest_line": f"""SELECT id_a, id_b, sqrt(d2) AS distance FROM ({join(f"{to_line} <= {REACH} * {REACH}", left=pts, what=f"a.id::BIGINT AS id_a, b.id::BIGINT AS id_b, {to_line} AS d2")})
             QUALIFY row_number() OVER (PARTITION BY id_a ORDER BY d2, id_b) = 1""",
         "polygon_distance": join(f"{d2} <= {REACH} * {REACH}"),
