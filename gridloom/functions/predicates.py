@@ -78,3 +78,27 @@ def register(spark: SparkSession) -> None:
         ("mbr_distance", "DOUBLE", "sqrt(pow(greatest(0D, a_low0 - b_high0, b_low0 - a_high0), 2) + pow(greatest(0D, a_low1 - b_high1, b_low1 - a_high1), 2))"),
     ):
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body}")
+
+
+def register_cells(spark: SparkSession, grid) -> None:
+    """SQL functions of a grid, by which a spatial join in SQL text is an equi-join on cells (also register()ed: the predicates).
+
+    mbr_cells(low0, high0, low1, high1) is a table function, rows (cx, cy) of each cell that a rectangle meets, for
+    LATERAL; none for null or NaN coordinates and for low > high. mbr_owns(cx, cy, a_low0, a_low1, b_low0, b_low1): is it the
+    one cell that keeps the pair? The functions hold for the session and this grid.
+    """
+    register(spark)
+
+    def cell(d: int, x: str) -> str:
+        low, high, n = (grid.low0, grid.high0, grid.n0) if d == 0 else (grid.low1, grid.high1, grid.n1)
+        return f"CAST(least({n - 1}, greatest(0, floor(({x} - ({low!r}D)) / ({high - low!r}D) * {n}))) AS BIGINT)" if high > low else "0L"
+
+    across, up = (f"sequence({cell(d, f'low{d}')}, {cell(d, f'high{d}')})" for d in (0, 1))
+    cells = f"explode(flatten(transform({across}, i -> transform({up}, j -> struct(i AS cx, j AS cy)))))"
+    sides = ", ".join(f"{c} DOUBLE" for c in SIDES)
+    # NaN is above all numbers here, so that high < NaN tells it
+    numbers = "low0 <= high0 AND low1 <= high1 AND high0 < double('NaN') AND high1 < double('NaN')"
+    array = cells.replace("explode(", f"explode(CASE WHEN {numbers} THEN ", 1)[:-1] + " END)"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION mbr_cells({sides}) RETURNS TABLE (cx BIGINT, cy BIGINT) RETURN SELECT t.cx, t.cy FROM (SELECT {array} AS t)")
+    corner = [cell(d, f"greatest(a_low{d}, b_low{d})") for d in (0, 1)]
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION mbr_owns(cx BIGINT, cy BIGINT, a_low0 DOUBLE, a_low1 DOUBLE, b_low0 DOUBLE, b_low1 DOUBLE) RETURNS BOOLEAN RETURN cx = {corner[0]} AND cy = {corner[1]}")

@@ -82,6 +82,46 @@ def save(tree: Tree, path: str) -> None:
         t.write.mode("overwrite").parquet(f"{path}/level={i}")
 
 
+#: Nodes of a level, at most, whose leaves a selection pushes into the scan as ranges.
+RANGES = 64
+
+
+def selected(tree: Tree, window: tuple[float, float, float, float], *, boundary: str = "closed") -> DataFrame:
+    """Objects (id, SIDES) of a tree that meet the window (low0, high0, low1, high1): upper levels choose leaves, and only row groups with those are read.
+
+    The levels are descended from the root while RANGES nodes at most meet the window; the leaves below them are ranges of
+    numbers, a filter of bounded size that is pushed down to the objects, which save() sorted by leaf. What is read is then
+    tested against the window itself. A window with low > high or NaN selects nothing.
+    """
+    low0, high0, low1, high1 = map(float, window)
+    inside = (lambda x, y: x <= y) if boundary == "closed" else (lambda x, y: x < y)
+    meets = inside(F.col("low0"), F.lit(high0)) & inside(F.lit(low0), F.col("high0")) & inside(F.col("low1"), F.lit(high1)) & inside(F.lit(low1), F.col("high1"))
+    out = tree.objects.where(meets).select("id", *SIDES)
+    if not (low0 <= high0 and low1 <= high1) or not tree.levels:
+        return out.where(F.lit(False))
+    at, chosen = len(tree.levels) - 1, [0]
+    while at > 0:
+        below = tree.levels[at - 1].where(F.col("parent").isin(chosen)).where(meets).select("node").limit(RANGES + 1).collect()
+        if len(below) > RANGES:
+            break
+        at, chosen = at - 1, [r["node"] for r in below]
+    # the first leaf of the second node above leaves tells how many leaves a node has; without one the root has all
+    wide = tree.levels[0].where("parent = 1").agg(F.min("node")).first()[0] if len(tree.levels) > 1 else None
+    if wide is None and at > 0:
+        return out
+    ranges: list[list[int]] = []
+    for node in sorted(chosen):
+        first, end = node * (wide or 1) ** at, (node + 1) * (wide or 1) ** at - 1
+        if ranges and ranges[-1][1] + 1 == first:
+            ranges[-1][1] = end
+        else:
+            ranges.append([first, end])
+    among = F.lit(False)
+    for first, end in ranges:
+        among = among | F.col("leaf").between(first, end)
+    return tree.objects.where(among).where(meets).select("id", *SIDES)
+
+
 def load(spark, path: str) -> Tree:
     """A saved tree; its depth is the number of its level folders."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

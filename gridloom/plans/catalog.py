@@ -9,7 +9,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geometry
-from ..functions.predicates import register, valid
+from ..functions.predicates import register, register_cells, valid
 from ..operators import index, partition
 from ..operators.cover import points_in_shapes
 from ..operators.shapes import nearest_shapes, shape_join
@@ -79,6 +79,21 @@ def sql_join(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(f"SELECT count(*) AS n FROM {{a}} a JOIN {{b}} b ON mbr_intersects({box('a')}, {box('b')})", a=few(spark, d), b=rects_b(spark, d))
 
 
+#: A spatial join of two large tables in SQL text: the cells make it an equi-join.
+LATERAL_JOIN = """
+SELECT a.id AS id_a, b.id AS id_b
+FROM (SELECT * FROM {a} r, LATERAL mbr_cells(r.low0, r.high0, r.low1, r.high1)) a
+JOIN (SELECT * FROM {b} r, LATERAL mbr_cells(r.low0, r.high0, r.low1, r.high1)) b
+  ON a.cx = b.cx AND a.cy = b.cy AND mbr_owns(a.cx, a.cy, a.low0, a.low1, b.low0, b.low1)
+  AND mbr_intersects(a.low0, a.high0, a.low1, a.high1, b.low0, b.high0, b.low1, b.high1)
+"""
+
+
+def lateral_join(a: DataFrame, b: DataFrame) -> DataFrame:
+    register_cells(a.sparkSession, partition.sized_grid(valid(a), valid(b)) or MAP)
+    return a.sparkSession.sql(LATERAL_JOIN, a=a, b=b)
+
+
 def map_bounds(spark: SparkSession, d: str) -> DataFrame:
     return partition.bounds(valid(rects_a(spark, d)), valid(rects_b(spark, d))).select("low0", "high0", "low1", "high1", "n")
 
@@ -148,6 +163,16 @@ def saved_tree(spark: SparkSession, d: str) -> DataFrame:
     return index.joined(rects_a(spark, d), index.load(spark, path))
 
 
+WINDOW = (1000.0, 3000.0, 2500.0, 4000.0)
+
+
+def window_select(spark: SparkSession, d: str) -> DataFrame:
+    """A window over a saved tree."""
+    path = f"{partition.shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    index.save(index.build(valid(rects_b(spark, d))), path)
+    return index.selected(index.load(spark, path), WINDOW)
+
+
 def mixed_a(spark: SparkSession, d: str) -> DataFrame:
     """Rectangles of very different extents."""
     return rects_a(spark, d).unionByName(few(spark, d).withColumn("id", -F.col("id")).withColumn("high0", F.col("high0") + 5000))
@@ -171,6 +196,7 @@ def queries() -> dict[str, Query]:
         "mbr_join_open": partial(_join, boundary="open"),
         "mbr_join_float32": partial(_join, precision="float32"),
         "mbr_join_saved": saved_tree,
+        "window_select": window_select,
         "mbr_join_mixed": partial(_join, left=mixed_a),
         "tile_join": tile_join,
         "quadtree": quadtree,
@@ -202,6 +228,7 @@ def queries() -> dict[str, Query]:
         "anti_join": partial(_join, how="anti"),
         "join_count": lambda s, d: _join(s, d).agg(F.count("*").alias("n")),
         "sql_join_count": sql_join,
+        "sql_lateral_join": lambda s, d: lateral_join(*(t(s, d).withColumn("id", F.col("id").cast("long")) for t in (rects_a, rects_b))),
         "map_bounds": map_bounds,
         "grid_histogram": lambda s, d: partition.histogram(valid(rects_b(s, d)), MAP),
         "partition_stats": lambda s, d: partition.statistics(valid(rects_a(s, d)), valid(rects_b(s, d)), MAP),
@@ -321,6 +348,8 @@ def oracle_sql() -> dict[str, str]:
         "anti_join": f"WITH a AS ({a}), b AS ({b}) SELECT id::BIGINT AS id_a FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE {closed})",
         "join_count": join(closed, what="count(*) AS n"),
         "sql_join_count": join(closed, left=FEW, what="count(*) AS n"),
+        "sql_lateral_join": join(closed),
+        "window_select": f"SELECT id::BIGINT AS id, low0, high0, low1, high1 FROM ({b}) WHERE low0 <= {WINDOW[1]} AND high0 >= {WINDOW[0]} AND low1 <= {WINDOW[3]} AND high1 >= {WINDOW[2]}",
         "map_bounds": f"SELECT min(low0) AS low0, max(high0) AS high0, min(low1) AS low1, max(high1) AS high1, count(*) AS n FROM ({a} UNION ALL {b})",
         "grid_histogram": hist(b),
         "partition_stats": f"SELECT count(*) AS n_partitions, sum(a.n + b.n)::BIGINT AS total, avg(a.n + b.n) AS average, max(a.n + b.n) AS most FROM ({hist(a)}) a JOIN ({hist(b)}) b USING (cx, cy)",
