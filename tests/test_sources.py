@@ -66,3 +66,28 @@ def test_stream_join(spark, tmp_path):
     from gridloom.operators.join import spatial_join
 
     assert sorted(map(tuple, spark.table("joined").collect())) == sorted(map(tuple, spatial_join(a, a).collect()))
+
+
+def test_paged_files_are_read_in_ranges_and_written_by_tasks(spark, tmp_path):
+    import os
+
+    import pytest
+    from gridloom.sources import readers
+
+    rect = "id long, low0 double, high0 double, low1 double, high1 double"
+    rows = [(i, float(i), float(i + 1), 2.0 * i, 2.0 * i + 3) for i in range(1000)]
+    for where in (f"file://{tmp_path}/one", f"{tmp_path}/two"):
+        readers.write_binary(spark.createDataFrame(rows, rect).repartition(7), where, per_file=400)
+        folder = where.removeprefix("file://")
+        assert sorted(os.listdir(folder)) == ["part-00000.bin", "part-00001.bin", "part-00002.bin"]
+        for pages in (1 << 20, 50, 1):
+            got = readers.rects_binary(spark, where, pages_per_task=pages)
+            assert sorted(map(tuple, got.collect())) == rows
+            assert got.rdd.getNumPartitions() >= {1 << 20: 3, 50: 8, 1: 334}[pages]
+        assert readers.rects_binary(spark, f"{where}/part-00002.bin").count() == 200 and readers.rects_binary(spark, f"{where}/*1.bin").count() == 400
+    readers.write_binary(spark.createDataFrame([], rect), f"{tmp_path}/none")
+    assert readers.rects_binary(spark, f"{tmp_path}/one").where("id < 0").count() == 0
+    with pytest.raises(Exception, match="32 bits"):
+        readers.write_binary(spark.createDataFrame([(1 << 40, 0.0, 1.0, 0.0, 1.0)], rect), f"{tmp_path}/large")
+    with pytest.raises(Exception, match="nowhere"):
+        readers.rects_binary(spark, f"{tmp_path}/nowhere").count()
