@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -100,24 +101,24 @@ def compared(members: DataFrame, threshold: float) -> DataFrame:
             keys = keys.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             cuts = np.concatenate(([0], np.flatnonzero((col["key"][1:] != col["key"][:-1]) | (col["pair"][1:] != col["pair"][:-1])) + 1, [batch.num_rows]))
             a, b, count_of, count = [], [], [], []
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                if y - x < 2:
+            # vectors of different lengths can share a bucket by chance: each length is compared by itself
+            size = pc.binary_length(vec).to_numpy(zero_copy_only=False)
+            groups = [x + np.flatnonzero(size[x:y] == k) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if y - x > 1 for k in np.unique(size[x:y])]
+            for at in groups:
+                if len(at) < 2:
                     continue
-                raw = [v.as_buffer() for v in vec[x:y]]
-                if len({r.size for r in raw}) > 1:  # vectors of different lengths whose keys agree by chance
-                    continue
-                unit = normal(np.frombuffer(b"".join(raw), np.float64).reshape(y - x, -1))
-                linked = (unit @ unit.T >= threshold) & (col["label"][x:y, None] == col["label"][None, x:y])
+                unit = normal(np.frombuffer(b"".join([vec[i].as_buffer() for i in at.tolist()]), np.float64).reshape(len(at), -1))
+                linked = (unit @ unit.T >= threshold) & (col["label"][at, None] == col["label"][None, at])
                 np.fill_diagonal(linked, False)
-                side = col["side"][x:y]
+                side = col["side"][at]
                 if side[0] >= 0:
                     linked &= side[:, None] != side[None, :]
                 if not linked.any():
                     continue
-                for t in range(col["tab"][x]):
-                    linked &= keys[x:y, t][:, None] != keys[x:y, t][None, :]
-                rep = col["rep"][x:y]
-                links = linked @ col["n"][x:y]
+                for t in range(col["tab"][at[0]]):
+                    linked &= keys[at, t][:, None] != keys[at, t][None, :]
+                rep = col["rep"][at]
+                links = linked @ col["n"][at]
                 some = np.flatnonzero(links)
                 root = part_of(linked)
                 moved = np.flatnonzero(root != np.arange(len(root)))

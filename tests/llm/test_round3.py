@@ -168,3 +168,64 @@ def test_fill_in_middle_rates_units_and_marks(spark, docs):
     for marks in (("<P>", "<S>", "<S>x"), ("aba", "<S>", "<M>"), ("<P>", "", "<M>"), ("ab", "bc", "x"), ("<P>", "<P>", "<M>")):
         with pytest.raises(ValueError, match="marks"):
             fim.transform(texts, marks=marks)
+
+
+def closure(n, links):
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_embedding_buckets_in_blocks_lose_no_link(spark):
+    from gridloom.llm import embeddings
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for f in range(6):
+        centre = rng.standard_normal(24)
+        rows += [(centre + 0.06 * rng.standard_normal(24) * (i % 4)).astype(np.float32) for i in range(12)]
+    labels = ["a", "b", "b"]
+    df = spark.createDataFrame([(i, v.tolist(), labels[i % 3]) for i, v in enumerate(rows)], "vec_id long, embedding array<float>, label string")
+    x = np.array(rows, np.float64)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    cosine = unit @ unit.T
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if labels[i % 3] == labels[j % 3] and cosine[i, j] >= 0.98]
+    count = collections.Counter(i for pair in links for i in pair)
+    for block in (3, 1024):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df, block=block).collect()}
+        assert got == {i: (count[i], root) for i, root in enumerate(closure(len(rows), links))} and len(links) > 50
+
+
+def test_vectors_of_two_lengths_in_one_bucket(spark):
+    from gridloom.llm import embeddings
+
+    vec = lambda *x: np.array(x, np.float64).tobytes()
+    rows = [(7, 0, -1, 0, i, 1, 1, v, [0] * embeddings.TABLES) for i, v in enumerate([vec(1, 0), vec(1, 0, 0), vec(1, 0.01), vec(1, 0.01, 0), vec(1)])]
+    members = spark.createDataFrame(rows, "key long, pair long, side int, tab int, rep long, label long, n long, vec binary, keys array<long>").repartition(1)
+    found = embeddings.compared(members, 0.98).collect()
+    assert sorted((r["a"], r["b"]) for r in found if r["b"] is not None) == [(2, 0), (3, 1)]
+    assert sorted((r["a"], r["links"]) for r in found if r["b"] is None) == [(0, 1), (1, 1), (2, 1), (3, 1)]
+
+
+def test_minhash_hot_buckets_and_families_in_blocks(spark, monkeypatch):
+    from gridloom.llm import minhash
+
+    r = random.Random(8)
+    texts = []
+    for f in range(5):
+        words = [f"f{f}w{k}" for k in range(80)]
+        for i in range(14):
+            own = list(words)
+            for _ in range(i % 5):
+                own[r.randrange(80)] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(own))
+    sets = [{tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    monkeypatch.setattr(minhash, "FAMILY", 3)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = dict(enumerate(closure(len(texts), links)))
+    for hot in (6, 20_000):
+        assert {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(df, n=4, hot=hot).collect()} == want
+    assert 5 < len(set(want.values())) < len(texts)
