@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.predicates import SIDES, predicate, side, valid
 from . import index
+from .packed import CELL, leveled, owned, packed_join
 from .partition import Directory, Grid, assign, checkpointed, directory, refined, sized_grid
 
 #: Bytes of a row (id and four doubles, with Spark's own), and the largest side that is broadcast.
@@ -17,7 +18,7 @@ ROW_BYTES, BROADCAST_BYTES = 64, 64 << 20
 NESTED_ROWS = 10_000
 #: Objects of a tile of the strategies by a directory of tiles, and of one of the sweep, both sides together.
 PER_TILE, PER_RANGE = 2000, 100_000
-ALGORITHMS = ("grid", "stripes_x", "stripes_y", "sweep", "adaptive", "sort_tile", "binary_split", "rtree", "inlj", "broadcast", "nested")
+ALGORITHMS = ("grid", "stripes_x", "stripes_y", "sweep", "adaptive", "sort_tile", "binary_split", "packed", "rtree", "inlj", "broadcast", "nested")
 
 
 def _once(grid: Grid, by: float, level: Column | int = 0) -> Column:
@@ -40,17 +41,9 @@ def _levels(a: DataFrame, b: DataFrame, grid: Grid, test: Column, by: float, mor
     A pair meets on the coarser of its two levels. Objects go to their own level and to the coarser ones that the other
     side lives on, nine cells each at most, so a map-wide object is a few rows and not one for each cell.
     """
-    own = {x: t.withColumn("_own", grid.level_of(wide)) for x, t, wide in (("a", a, by), ("b", b, 0.0))}
-    lives = {x: sorted(r["_own"] for r in t.select("_own").distinct().collect()) for x, t in own.items()}  # a level or so for each halving
-
-    def dealt(x: str, wide: float) -> DataFrame:
-        other = F.array(*(F.lit(k) for k in lives["b" if x == "a" else "a"])) if lives["b" if x == "a" else "a"] else F.array().cast("array<int>")
-        at = F.array_distinct(F.concat(F.array("_own"), F.filter(other, lambda k: k > F.col("_own"))))
-        return assign(own[x].withColumn("_at", F.explode(at)), grid, by=wide, level=-F.col("_at"))
-
-    left, right = side(dealt("a", by), "a", "cx", "cy", "_at", F.col("_own").alias("_own_a"), *more_a), side(dealt("b", 0.0), "b", "cx", "cy", "_at", F.col("_own").alias("_own_b"), *more_b)
-    both = left.join(right, ["_at", "cx", "cy"]).where(F.col("_at") == F.greatest("_own_a", "_own_b"))
-    return both.where(test & _once(grid, by, -F.col("_at")))
+    rows = leveled(a, b, grid, by)
+    left, right = (side(t, x, *CELL, F.col("_own").alias(f"_own_{x}"), *more) for x, t, more in zip("ab", rows, (more_a, more_b), strict=True))
+    return left.join(right, CELL).where(test & owned(grid, by))
 
 
 def swept(a: DataFrame, b: DataFrame, tiles: Directory, by: float, *, most: int = PER_RANGE) -> DataFrame:
@@ -167,6 +160,8 @@ def matched(a: DataFrame, b: DataFrame, *, test: Column, by: float = 0.0, algori
     grid = sized_grid(a, b, n0=n0, n1=n1, extent=extent)
     if grid is None:
         return side(a, "a", *more_a).join(side(b, "b", *more_b), F.lit(False))
+    if algorithm == "packed":
+        return packed_join(a, b, grid, test, by)
     if algorithm != "adaptive":
         join = _levels if algorithm == "grid" and grid.spread > 2 else _cells
         return join(a, b, grid, test, by, more_a, more_b)

@@ -26,6 +26,10 @@ POINTS = """SELECT event_id AS id, CAST(event_id*2969%10000 AS DOUBLE) AS x, CAS
 #: A grid over the whole map for the statistics queries, whose rows depend on it.
 MAP = partition.Grid(0.0, 10064.0, 0.0, 10128.0, 16, 16)
 REACH = 25.0
+#: Small squares at cubes of even places, so that they crowd in a corner of the map.
+CROWDED = """SELECT id, x*x*x/1e8 AS low0, x*x*x/1e8 + w AS high0, y*y*y/1e8 AS low1, y*y*y/1e8 + w AS high1 FROM
+ (SELECT {id} AS id, CAST({id}*{m0}%10000 AS DOUBLE) AS x, CAST({of}*{m1}%10000 AS DOUBLE) AS y, CAST(1 + {of}%4 AS DOUBLE) AS w FROM {table}) AS places"""
+CROWDS = {"part": {"id": "p_partkey", "of": "p_partkey", "m0": 7919, "m1": 6151}, "orders": {"id": "o_orderkey", "of": "o_custkey", "m0": 3571, "m1": 4813}}
 #: What keys are multiplied with for the centres of diamonds.
 BALLS = {"part": (7919, 6151), "orders": (3571, 4813)}
 
@@ -53,6 +57,10 @@ FEW = """SELECT s_suppkey AS id, CAST(s_suppkey*7919%10000 AS DOUBLE) AS low0, C
  CAST(s_suppkey*6151%10000 AS DOUBLE) AS low1, CAST(s_suppkey*6151%10000 + 300 AS DOUBLE) AS high1 FROM supplier"""
 
 
+def crowded(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return spark.sql(CROWDED.format(table="{t}", **CROWDS[table]), t=spark.read.parquet(f"{d}/{table}.parquet"))
+
+
 def _join(spark: SparkSession, d: str, right: Callable = rects_b, left: Callable = rects_a, **options) -> DataFrame:
     return spatial_join(left(spark, d), right(spark, d), **options)
 
@@ -193,6 +201,7 @@ def queries() -> dict[str, Query]:
         "mbr_join_stripe_y": partial(_join, algorithm="stripes_y", n=128),
         "mbr_join_nested": partial(_join, left=few, algorithm="nested"),
         "mbr_join_broadcast": partial(_join, left=rects_b, right=few, algorithm="broadcast"),
+        "mbr_join_packed": lambda s, d: spatial_join(crowded(s, d, "part"), crowded(s, d, "orders"), algorithm="packed"),
         "mbr_join_open": partial(_join, boundary="open"),
         "mbr_join_float32": partial(_join, precision="float32"),
         "mbr_join_saved": saved_tree,
@@ -333,6 +342,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE NOT (p.x + 0.3 BETWEEN low0 + q AND high0 - q AND p.y + 0.3 BETWEEN low1 + q AND high1 - q)""",
         "mbr_join_nested": join(closed, left=FEW),
         "mbr_join_broadcast": join(closed, left=b, right=FEW),
+        "mbr_join_packed": join(closed, *(CROWDED.format(table=t, **c) for t, c in CROWDS.items())),
         "mbr_join_open": join(opened),
         "pip_join": join(closed, left=pts, right=a),
         "pip_join_open": join(opened, left=pts, right=a),
