@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import math
 import warnings
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.predicates import SIDES, predicate, side, valid
@@ -21,16 +23,27 @@ BOX = [F.min, F.max, F.min, F.max]
 class Tree:
     objects: DataFrame  #: (id, SIDES, leaf)
     levels: list[DataFrame]  #: from the leaves, level 0, to the root: (node, parent, n, SIDES)
+    sizes: list[int] | None = None  #: nodes of each level, where known
+
+    def size(self, level: int) -> int:
+        return self.sizes[level] if self.sizes else self.levels[level].count()
 
 
 def leaves(df: DataFrame, node_size: int = 16) -> DataFrame:
     """df with `leaf`: by low0 into slices of S * node_size objects, in each by low1 into leaves of node_size; ties by id."""
-    count = df.count()
+    return _placed(df, node_size)[0]
+
+
+def _placed(df: DataFrame, node_size: int) -> tuple[DataFrame, int | None]:
+    """df with `leaf`, and the number of the last leaf; None if there are no rows."""
+    rows, count = ranked(df, "low0", "id", "low1", "high0", "high1")
     across = max(1, math.isqrt(math.ceil(count / node_size)))
     per_slice = across * node_size
-    placed = ranked(df, "low0", "id", "low1", "high0", "high1").withColumn("_slice", F.floor(F.col("rn") / per_slice))
     pos = F.row_number().over(Window.partitionBy("_slice").orderBy("low1", "id", "rn")) - 1
-    return placed.withColumn("leaf", (F.col("_slice") * across + F.floor(pos / node_size)).cast("long")).drop("rn", "_slice")
+    placed = rows.withColumn("_slice", F.floor(F.col("rn") / per_slice))
+    placed = placed.withColumn("leaf", (F.col("_slice") * across + F.floor(pos / node_size)).cast("long")).drop("rn", "_slice")
+    full, rest = divmod(count - 1, per_slice)
+    return placed, full * across + rest // node_size if count else None
 
 
 def build(df: DataFrame, node_size: int = 16) -> Tree:
@@ -39,11 +52,14 @@ def build(df: DataFrame, node_size: int = 16) -> Tree:
     Leaves are written once; every level above is an aggregation of the leaf level, not of the one below, so no level
     waits for another.
     """
-    objects = checkpointed(leaves(df, node_size))
+    placed, last = _placed(df, node_size)
+    objects = checkpointed(placed)
     box = [F.sum("n").alias("n") if i < 0 else BOX[i](SIDES[i]).alias(SIDES[i]) for i in (-1, 0, 1, 2, 3)]
     lowest = checkpointed(objects.withColumn("n", F.lit(1).cast("long")).groupBy(F.col("leaf").alias("node")).agg(*box))
-    last = lowest.agg(F.max("node")).first()[0]
-    return Tree(objects, [] if last is None else _levels(lowest, last, node_size))
+    if last is None:
+        return Tree(objects, [])
+    levels = _levels(lowest, last, node_size)
+    return Tree(objects, levels, [last // node_size**k + 1 for k in range(len(levels))])
 
 
 def _levels(lowest: DataFrame, last: int, node_size: int) -> list[DataFrame]:
@@ -151,27 +167,40 @@ def _as(t: DataFrame, name: str, key: str, up: str) -> DataFrame:
 #: Nodes of a level that are broadcast in the descent, and pairs of a frontier beyond which it stops: the leaves below
 #: are then paired by the grid, whose work does not grow with the overlap of upper nodes.
 SMALL_LEVEL, FRONTIER = 100_000, 20_000_000
+#: Nodes of the level that a descent of two trees begins with, at most, and of one by objects: levels above would be
+#: steps of a few rows.
+TOP, TOP_OBJECTS = 256, 32
+
+
+def _top(tree: Tree, most: int) -> int:
+    """The lowest level of at most `most` nodes, or the root's."""
+    level = len(tree.levels) - 1
+    while level > 0 and tree.size(level - 1) <= most:
+        level -= 1
+    return level
 
 
 def traversed(a: DataFrame | Tree, b: DataFrame | Tree, test: Column, *, by: float = 0.0, node_size: int = 16, whole_a: bool = False, frontier: int = FRONTIER) -> DataFrame:
     """Pairs for which test holds, by breadth-first descent of both trees; whole_a: each object of a descends the tree of b.
 
-    Levels of unequal depth: the deeper tree descends first. Children meet their parents by equality. Levels of bounded
-    size are broadcast and their steps chained in one plan; below, each frontier is written. A frontier of more than
-    `frontier` pairs ends the descent early.
+    The descent begins at the lowest level of few nodes. Levels of unequal depth: the deeper tree descends first. Children
+    meet their parents by equality. Levels of bounded size are broadcast and their steps chained in one plan; below, each
+    frontier is written. A frontier of more than `frontier` pairs ends the descent early.
     """
-    tb = b if isinstance(b, Tree) else build(b, node_size)
-    ta = a if isinstance(a, Tree) else Tree(a, []) if whole_a else build(a, node_size)
+    spark = (b.objects if isinstance(b, Tree) else b).sparkSession
+    made = inheritable_thread_target(spark)(lambda t, whole: t if isinstance(t, Tree) else Tree(t, []) if whole else build(t, node_size))
+    with ThreadPoolExecutor(2) as pool:  # the jobs of both trees run side by side
+        ta, tb = pool.map(made, (a, b), (whole_a, False))
     if not tb.levels or not (whole_a or ta.levels):
         return side(ta.objects, "a").join(side(tb.objects, "b"), F.lit(False))
-    lb = len(tb.levels) - 1
+    lb = _top(tb, TOP_OBJECTS if whole_a else TOP)
     root_b = tb.levels[lb].select(F.col("node").alias("node_b"), *(F.col(c).alias(f"b_{c}") for c in SIDES))
     meets = _meets(by)
     box_a, box_b = ([f"{x}_{c}" for c in SIDES] for x in "ab")
     if whole_a:
-        la, front = -1, side(ta.objects, "a").join(F.broadcast(root_b), meets)  # the root is one row
+        la, front = -1, side(ta.objects, "a").join(F.broadcast(root_b), meets)  # a few rows
     else:
-        la = len(ta.levels) - 1
+        la = _top(ta, TOP)
         root_a = ta.levels[la].select(F.col("node").alias("node_a"), *(F.col(c).alias(f"a_{c}") for c in SIDES))
         front = root_a.join(F.broadcast(root_b), meets)
     while la > 0 or lb > 0:
@@ -180,7 +209,7 @@ def traversed(a: DataFrame | Tree, b: DataFrame | Tree, test: Column, *, by: flo
             if level != deepest:
                 continue
             down = _as(tree.levels[level - 1], name, "node", "parent")
-            small = tree.levels[level - 1].count() <= SMALL_LEVEL
+            small = tree.size(level - 1) <= SMALL_LEVEL
             written |= not small
             front = front.drop(*box).withColumnRenamed(f"node_{name}", f"up_{name}").join(F.broadcast(down) if small else down, f"up_{name}").drop(f"up_{name}").where(meets)
         la, lb = la - (la == deepest), lb - (lb == deepest)

@@ -5,6 +5,7 @@ One cell function serves assignment and the test that keeps each pair once: cell
 
 from __future__ import annotations
 
+import itertools
 import math
 import os
 import re
@@ -341,10 +342,12 @@ def _cuts(points: DataFrame, most: float, fan: int, dim: int) -> DataFrame:
     return of.select("at", "dim", F.when(F.size(cuts) > 0, cuts).otherwise(F.array(F.when(half > least, half).otherwise(last))).alias("cuts"))
 
 
-def ranked(df: DataFrame, *order: str, name: str = "rn") -> DataFrame:
-    """df with its 0-based place in a total order, dealt by ranges: no task sees more than its range."""
+def ranked(df: DataFrame, *order: str, name: str = "rn") -> tuple[DataFrame, int]:
+    """df with its 0-based place in a total order, dealt by ranges, and how many rows it has: no task sees more than its range."""
     dealt = checkpointed(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
-    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))  # one row for each partition
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")
+    sizes = {r["_p"]: r["n"] for r in dealt.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # one row for each partition
+    *before, count = itertools.accumulate((sizes.get(p, 0) for p in range(max(sizes, default=-1) + 1)), initial=0)
+    # one literal, read by the partition's number
+    starts = F.split(F.lit(",".join(map(str, before)) or "0"), ",").cast("array<bigint>")
     within = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return dealt.withColumn("_i", within).join(F.broadcast(before), "_p").withColumn(name, (F.col("_i") + F.col("_before")).cast("long")).drop("_p", "_i", "_before")
+    return dealt.withColumn(name, (within + F.get(starts, F.col("_p"))).cast("long")).drop("_p"), count
