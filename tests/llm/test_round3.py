@@ -198,11 +198,59 @@ def test_embedding_buckets_in_blocks_lose_no_link(spark):
         assert got == {i: (count[i], root) for i, root in enumerate(closure(len(rows), links))} and len(links) > 50
 
 
+def test_more_directions_and_tables_for_large_labels_lose_no_link(spark, monkeypatch):
+    """With PAIR made large, a label of a few hundred vectors is hashed as one of millions is."""
+    from gridloom.llm import embeddings
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for _ in range(40):
+        centre = rng.standard_normal(32)
+        rows += [(centre + 0.05 * rng.standard_normal(32) * (i % 5)).tolist() for i in range(10)]
+    x = np.array(rows)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    cosine = unit @ unit.T
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if cosine[i, j] >= 0.98]
+    count = collections.Counter(i for pair in links for i in pair)
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(embeddings, "PAIR", 1e4)
+    monkeypatch.setattr(embeddings, "CELLS", 3_000)
+    assert embeddings.sizes(len(rows), 0.98)[1] > 11
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect()}
+    assert got == {i: (count[i], root) for i, root in enumerate(closure(len(rows), links))} and len(links) > 500
+    with pytest.raises(ValueError):
+        embeddings.near_duplicates(df, threshold=0.3)
+
+
+def test_candidates_level_off_and_recall_stays(monkeypatch):
+    from gridloom.llm import embeddings
+
+    assert embeddings.sizes(1_000, 0.98) == (28, 8)
+    for n in (10**5, 10**7, 10**9, 10**11):
+        tables, directions = embeddings.sizes(n, 0.98)
+        near, far = embeddings.same_cell(0.2), embeddings.same_cell(2**0.5)
+        assert n * far**directions < 0.4 and (1 - near**directions) ** tables <= embeddings.MISS
+        assert tables < 28 * (n / 10_000) ** 0.155 / near  # one direction of rounding
+    monkeypatch.setattr(embeddings, "PAIR", 20.0)
+    rng = np.random.default_rng(2)
+    met, recall = [], []
+    for n in (4_000, 16_000):
+        shape = embeddings.sizes(n, 0.98)
+        unit = embeddings.normal(rng.standard_normal((n, 64)))
+        keys = embeddings.bucket_keys(unit, np.zeros(n, np.uint64), *shape)
+        met.append(1 / shape[0] * sum(int((np.unique(keys[:, t], return_counts=True)[1] ** 2).sum()) - n for t in range(shape[0])) / n)
+        side = rng.standard_normal((n, 64))
+        side = embeddings.normal(side - (side * unit).sum(1, keepdims=True) * unit)
+        other = 0.98 * unit + (1 - 0.98**2) ** 0.5 * side
+        recall.append((keys == embeddings.bucket_keys(other, np.zeros(n, np.uint64), *shape)).any(1).mean())
+    assert max(met) < 0.05 and min(recall) > 0.995, (met, recall)  # of each table
+
+
 def test_vectors_of_two_lengths_in_one_bucket(spark):
     from gridloom.llm import embeddings
 
     vec = lambda *x: np.array(x, np.float64).tobytes()
-    rows = [(7, 0, -1, 0, i, 1, 1, v, [0] * embeddings.TABLES) for i, v in enumerate([vec(1, 0), vec(1, 0, 0), vec(1, 0.01), vec(1, 0.01, 0), vec(1)])]
+    rows = [(7, 0, -1, 0, i, 1, 1, v, [0] * 28) for i, v in enumerate([vec(1, 0), vec(1, 0, 0), vec(1, 0.01), vec(1, 0.01, 0), vec(1)])]
     members = spark.createDataFrame(rows, "key long, pair long, side int, tab int, rep long, label long, n long, vec binary, keys array<long>").repartition(1)
     found = embeddings.compared(members, 0.98).collect()
     assert sorted((r["a"], r["b"]) for r in found if r["b"] is not None) == [(2, 0), (3, 1)]
