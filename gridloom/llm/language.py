@@ -1,23 +1,24 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
-P(token | history) = P(class | history) * P(sub | class, history) * P(token | class, sub). Classes are bands of training
-frequency; the end of text is one of its own, and so are the tokens seen once, with the unknown token. Subs are hashes of
-a word's last two bytes. Both softmaxes add the weights of three hashed features of the history to the log share of the
-class or sub: the word before, the two words before, and the word before that one (skip). Rare words of a history count
-by their sub. Inside a sub a token has its share of the counts. Of the last class's mass the unknown token gets what
-Good and Turing's estimate gives it, so that all tokens and the unknown one sum to 1 after every history.
+P(token | history) = P(class | history) * P(sub | class, history) * P(part | class, sub, history) * P(token | part). Classes
+are bands of training frequency; the end of text is one of its own, and so are the tokens seen once, with the unknown
+token. Subs are hashes of a word's last two bytes, parts are hashes of the word: 4096 parts in all, so that most frequent
+words have one of their own. Each softmax adds the weights of three hashed features of the history to the log share of
+the class, sub or part: the word before, the two words before, and the word before that one (skip). Rare words of a
+history count by their sub. Inside a part a token has its share of the counts. Of the last class's mass the unknown token
+gets what Good and Turing's estimate gives it, so that all tokens and the unknown one sum to 1 after every history.
 
 1. Texts become chunks of codes into their distinct tokens, written once. Packed blobs of token hashes and counts, one for
    each chunk and shuffle partition, are summed there and answered: a token that fills a third of all texts is one entry
    a chunk. Tokens are told apart by 60 bits of a hash.
-2. Each round sums, over all training tokens, how often each class (or sub) followed each feature, and how often the
+2. Each round sums, over all training tokens, how often each class (sub, part) followed each feature, and how often the
    model expects it: O and E. The sums are integers (probabilities in units of 1 / UNIT), so they are the same for any
    layout of the input, order of tasks or lost executor. Tasks send packed sums for ranges of rows, merged in Spark.
    The step along the gradient O - E is scaled as in iterative scaling: STEP * log((O + DAMP q) / (E + DAMP q)), q the
-   expected share, mixed with even ones. The first round's E follows from counts alone, as its weights are 0.
+   expected share, mixed with even ones. The first round's E of classes and subs follows from counts, as weights are 0.
 3. All documents are scored in batches of sparse rows.
 
-The weights' rows grow with the vocabulary, up to MOST_ROWS: workers hold them all, at most 64 MB.
+The weights' rows grow with the vocabulary, up to MOST_ROWS: workers hold them all, at most 96 MB.
 """
 
 from __future__ import annotations
@@ -36,8 +37,9 @@ from .text import coded, from_planes, hashed, mixed, planes, ragged, slices, wor
 
 #: The token that ends a text: no word has white space.
 END = "\n"
-CLASSES, SUBS, RARE = 16, 16, 15
-WIDTHS = (CLASSES, SUBS)
+CLASSES, SUBS, PARTS, RARE = 16, 16, 16, 15
+WIDTHS = (CLASSES, SUBS, PARTS)
+LEAVES = CLASSES * SUBS * PARTS
 #: Rows of weights for each softmax: a power of two near the vocabulary over WORDS_PER_ROW.
 LEAST_ROWS, MOST_ROWS, WORDS_PER_ROW = 1 << 12, 1 << 19, 32
 ROUNDS, STEP, DAMP, UNIT = 2, 0.5, 60.0, 4096
@@ -128,8 +130,18 @@ def class_of_keys(keys: np.ndarray, count: np.ndarray, total: int) -> np.ndarray
 
 ANSWER = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("cells", pa.list_(pa.int64())), ("mass", pa.list_(pa.int64()))])
 ANSWER_DDL = "chunk bigint, part int, keys binary, counts binary, cells array<bigint>, mass array<bigint>"
-#: Cells beside the CLASSES * SUBS masses: the vocabulary, tokens seen once, tokens seen twice.
-VOCABULARY, ONCE, TWICE = (CLASSES * SUBS + i for i in range(3))
+#: Cells beside the LEAVES masses: the vocabulary, tokens seen once, tokens seen twice.
+VOCABULARY, ONCE, TWICE = (LEAVES + i for i in range(3))
+
+
+def short_of(keys: np.ndarray) -> np.ndarray:
+    """32 bits of each key; the lowest ones are its sub, the next its part."""
+    low = np.uint64(SUBS - 1)
+    return ((keys >> np.uint64(32)) & ~low) | (keys & low)
+
+
+def part_of(short: np.ndarray) -> np.ndarray:
+    return (short // SUBS & (PARTS - 1)).astype(np.uint8)
 
 
 def answered(blobs: DataFrame, total: int) -> DataFrame:
@@ -145,9 +157,11 @@ def answered(blobs: DataFrame, total: int) -> DataFrame:
         at = np.cumsum([len(k) for k in keys])
         for r, own in zip(rows, np.split(count[place], at[:-1]), strict=True):
             yield pa.RecordBatch.from_pylist([{"chunk": r["chunk"], "part": r["part"], "keys": r["keys"], "counts": packed(own)}], ANSWER)
-        cell = class_of_keys(flat, count, total) * SUBS + (flat & np.uint64(SUBS - 1)).astype(np.int64)
-        mass = np.bincount(cell, count, minlength=VOCABULARY).astype(np.int64).tolist()
-        yield pa.RecordBatch.from_pylist([{"chunk": -1, "cells": list(range(TWICE + 1)), "mass": [*mass, int((count > 0).sum()), int((count == 1).sum()), int((count == 2).sum())]}], ANSWER)
+        cell = (class_of_keys(flat, count, total) * SUBS + (flat & np.uint64(SUBS - 1)).astype(np.int64)) * PARTS + part_of(short_of(flat))
+        mass = np.bincount(cell, count, minlength=TWICE + 1).astype(np.int64)
+        mass[[VOCABULARY, ONCE, TWICE]] = (count > 0).sum(), (count == 1).sum(), (count == 2).sum()
+        some = np.flatnonzero(mass)
+        yield pa.RecordBatch.from_pylist([{"chunk": -1, "cells": some.tolist(), "mass": mass[some].tolist()}], ANSWER)
 
     return blobs.mapInArrow(run, ANSWER_DDL)
 
@@ -175,7 +189,7 @@ def known_chunks(docs: DataFrame) -> tuple[DataFrame, Counts]:
             for r in batch.to_pylist():
                 own = sorted(r["own"], key=lambda b: b["part"])
                 keys = np.concatenate([undelta(b["keys"]) for b in own])
-                short = ((keys >> np.uint64(32)) & ~np.uint64(SUBS - 1)) | (keys & np.uint64(SUBS - 1))
+                short = short_of(keys)
                 counts = np.concatenate([unpacked(b["counts"], "<i8") for b in own])
                 end = keys == np.uint64(END_KEY)
                 counts[end] = -1 - counts[end]  # marks the end, which has a class of its own
@@ -194,28 +208,30 @@ class Counts:
     def __init__(self, total: int, cells: np.ndarray):
         self.total, self.vocabulary = total, int(cells[VOCABULARY])
         once, twice = int(cells[ONCE]), int(cells[TWICE])
-        leaf = cells[:VOCABULARY].reshape(CLASSES, SUBS).astype(np.float64)
+        parts = cells[:LEAVES].reshape(CLASSES, SUBS, PARTS).astype(np.float64)
+        leaf = parts.sum(2)
         leaf[0, END_KEY % SUBS] = max(leaf[0].sum(), 1)
         mass = leaf.sum(1)
         mass[RARE] = max(mass[RARE], 1)
-        self.leaf = leaf
+        self.parts = parts
         # empty classes and subs have no token: their share is so small that it is lost in any sum
         share = lambda x: np.log(np.maximum(x, 1e-26)).astype(np.float32)
-        self.prior = (share(mass / mass.sum())[None, :], share(leaf / np.maximum(leaf.sum(1, keepdims=True), 1)))
+        inner = parts.reshape(-1, PARTS)
+        self.prior = (share(mass / mass.sum())[None, :], share(leaf / np.maximum(leaf.sum(1, keepdims=True), 1)), share(inner / np.maximum(inner.sum(1, keepdims=True), 1)))
         self.unknown = (once + 1) / (once + 2 * twice + 2) if once else 1.0
         self.single = (1 - self.unknown) / max(once, 1)
 
     def rows(self) -> int:
         return int(min(MOST_ROWS, max(LEAST_ROWS, 1 << max(0, self.vocabulary // WORDS_PER_ROW).bit_length())))
 
-    def inside(self, kind: np.ndarray, sub: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """log10 P(token | class, sub)."""
-        p = np.where(kind == RARE, np.where(count > 0, self.single, self.unknown), count / np.maximum(self.leaf[kind, sub], 1))
+    def inside(self, kind: np.ndarray, sub: np.ndarray, part: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """log10 P(token | class, sub, part)."""
+        p = np.where(kind == RARE, np.where(count > 0, self.single, self.unknown), count / np.maximum(self.parts[kind, sub, part], 1))
         return np.log10(np.where(kind == 0, 1.0, p))
 
 
 class Chunk:
-    """Positions of one chunk: class, sub and count of each token, and hashes of the features of its history."""
+    """Positions of one chunk: class, sub, part and count of each token, and hashes of the features of its history."""
 
     def __init__(self, batch: pa.RecordBatch, i: int, total: int, *, train_only: bool = False):
         row = {name: batch.column(name)[i] for name in KNOWN.names}
@@ -236,25 +252,35 @@ class Chunk:
         if train_only:
             keep = ~self.held[self.doc]
             code, near, far = code[keep], near[keep], far[keep]
-        self.kind, self.sub, self.count = kind[code], sub[code], counts[code]
+        self.kind, self.sub, self.part, self.count = kind[code], sub[code], part_of(keys)[code], counts[code]
         self.features = [mixed(near + np.uint64(GOLD)), mixed(near * np.uint64(GOLD) + far), mixed(far ^ np.uint64(0x51ED270B1F))]
 
+    def target(self, level: int) -> np.ndarray:
+        return (self.kind, self.sub, self.part)[level]
+
+    def places(self, level: int) -> np.ndarray:
+        """Positions that the softmax of this level tells: subs and parts are of the classes between the end and the rare one."""
+        return np.flatnonzero((self.kind > 0) & (self.kind < RARE)) if level else np.arange(len(self.kind))
+
     def nodes(self, level: int, some: slice | np.ndarray) -> np.ndarray:
+        """What is known of a position before this level: nothing, its class, its class and sub."""
+        if level == 2:
+            return self.kind[some].astype(np.uint16) * SUBS + self.sub[some]
         return self.kind[some] if level else np.zeros(len(self.kind[some]), np.uint8)
 
     def rows(self, level: int, some: slice | np.ndarray, mask: int) -> list[np.ndarray]:
-        """Rows of the weights of each feature; those of subs depend on the class as well."""
+        """Rows of the weights of each feature; those of subs and parts depend on the node as well."""
         out = [f[some] for f in self.features]
         if level:
-            kind = self.kind[some].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            out = [mixed(f ^ kind) for f in out]
+            node = self.nodes(level, some).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            out = [mixed(f ^ node) for f in out]
         return [(f & np.uint64(mask)).astype(np.int64) for f in out]
 
 
-def chances(w: np.ndarray, prior: np.ndarray, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Probabilities for each position: of classes (prior of one row, node 0) or of the subs of the classes in node."""
+def chances(w: np.ndarray | None, prior: np.ndarray, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Probabilities for each position: of classes (prior of one row, node 0), or of the subs or parts of node."""
     z = prior.take(node, axis=0)
-    for r in rows:
+    for r in rows if w is not None else ():
         z += w.take(r, axis=0)
     np.exp(z, out=z)
     part = z
@@ -272,8 +298,8 @@ SUMS_DDL = "shard int, level int, what string, data binary"
 def sums(known: DataFrame, counts: Counts, weights, size: int) -> DataFrame:
     """Packed sums over the training tokens of each task, by ranges of rows.
 
-    Without weights: `o` (how often each class or sub followed) and, for subs, `n` (how often a row was met in each
-    class), from which the expectation follows. With weights: `e`, the expectation.
+    Without weights: `o` (how often each class, sub or part followed), for subs `n` (how often a row was met in each
+    class), from which the expectation follows, and for parts `e`. With weights: `e`, the expectation, alone.
     """
     total, prior = counts.total, counts.prior
     mask, per = size - 1, size // SHARDS
@@ -281,49 +307,53 @@ def sums(known: DataFrame, counts: Counts, weights, size: int) -> DataFrame:
     def rows_of(level: int, what: str, table: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist([{"shard": s, "level": level, "what": what, "data": packed(table[s * per : (s + 1) * per].ravel())} for s in range(SHARDS)], SUMS)
 
+    def expected(c: Chunk, level: int, w: np.ndarray | None, acc: np.ndarray) -> None:
+        places = c.places(level)
+        for a in range(0, len(places), GROUP):
+            some = places[a : a + GROUP]
+            rows, node = c.rows(level, some, mask), c.nodes(level, some)
+            p = np.empty((WIDTHS[level], len(some)))
+            for b in range(0, len(some), BATCH):
+                cut = slice(b, b + BATCH)
+                own = chances(w, prior[level], node[cut], [r[cut] for r in rows])
+                own *= np.float32(UNIT)
+                p[:, cut] = np.rint(own, out=own).T
+            for k in range(WIDTHS[level]):
+                for r in rows:
+                    acc[k] += np.bincount(r, p[k], minlength=size)
+
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {(0, "o"): CLASSES, (1, "o"): SUBS, (1, "n"): CLASSES}
-        acc = {k: np.zeros(size * w, np.int64) for k, w in tables.items()}
+        seen = [np.zeros(size * w, np.int64) for w in WIDTHS]
+        met, inner = np.zeros(size * CLASSES, np.int64), np.zeros((PARTS, size))
         for batch in batches:
             for i in range(batch.num_rows):
                 c = Chunk(batch, i, total, train_only=True)
-                inner = np.flatnonzero((c.kind > 0) & (c.kind < RARE))
-                for level, some in ((0, slice(None)), (1, inner)):
+                for level, width in enumerate(WIDTHS):
+                    some = c.places(level)
                     rows = c.rows(level, some, mask)
-                    for what, target in (("o", c.sub if level else c.kind), ("n", c.kind)):
-                        if (level, what) in acc:
-                            width = tables[level, what]
-                            acc[level, what] += np.bincount(np.concatenate([r * width + target[some] for r in rows]), minlength=size * width)
-        for (level, what), table in acc.items():
-            yield rows_of(level, what, table.reshape(size, -1))
+                    for table, own, target in ((seen[level], width, c.target(level)), *([(met, CLASSES, c.kind)] if level == 1 else [])):
+                        for r in rows:
+                            table += np.bincount(r * own + target[some], minlength=len(table))
+                expected(c, 2, None, inner)
+        for level, table in enumerate(seen):
+            yield rows_of(level, "o", table.reshape(size, -1))
+        yield rows_of(1, "n", met.reshape(size, -1))
+        yield rows_of(2, "e", inner.T.astype(np.int64))
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights.value
         acc = [np.zeros((width, size)) for width in WIDTHS]
         for batch in batches:
             for i in range(batch.num_rows):
                 c = Chunk(batch, i, total, train_only=True)
-                inner = np.flatnonzero((c.kind > 0) & (c.kind < RARE))
-                for level, places in ((0, np.arange(len(c.kind))), (1, inner)):
-                    for a in range(0, len(places), GROUP):
-                        some = places[a : a + GROUP]
-                        rows, node = c.rows(level, some, mask), c.nodes(level, some)
-                        p = np.empty((WIDTHS[level], len(some)))
-                        for b in range(0, len(some), BATCH):
-                            cut = slice(b, b + BATCH)
-                            own = chances(w[level], prior[level], node[cut], [r[cut] for r in rows])
-                            own *= np.float32(UNIT)
-                            p[:, cut] = np.rint(own, out=own).T
-                        for k in range(WIDTHS[level]):
-                            for r in rows:
-                                acc[level][k] += np.bincount(r, p[k], minlength=size)
+                for level, table in enumerate(acc):
+                    expected(c, level, weights.value[level], table)
         for level, table in enumerate(acc):
             yield rows_of(level, "e", table.T.astype(np.int64))
 
     return known.coalesce(max(1, round(total / TASK))).mapInArrow(first if weights is None else later, SUMS_DDL)
 
 
-def merged(parts: DataFrame, prior: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def merged(parts: DataFrame, prior: tuple[np.ndarray, ...]) -> DataFrame:
     """The sums of all tasks and the step `d` of each range of rows. One array for each is held, whatever the number of tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +363,7 @@ def merged(parts: DataFrame, prior: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                 x = unpacked(r["data"], "<i8")
                 key = (r["shard"], r["level"], r["what"])
                 acc[key] = acc[key] + x if key in acc else x
-        share = [np.exp(p.astype(np.float64)) for p in prior]
+        share = [np.exp(p.astype(np.float64)) for p in prior[:2]]
         for shard, level in sorted({k[:2] for k in acc}):
             seen = acc[shard, level, "o"].reshape(-1, WIDTHS[level])
             if (shard, level, "e") in acc:
@@ -351,7 +381,7 @@ def merged(parts: DataFrame, prior: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 
 
 def trained(known: DataFrame, counts: Counts, rounds: int = ROUNDS) -> list[np.ndarray]:
-    """The weights, rows x CLASSES and rows x SUBS."""
+    """The weights, rows x CLASSES, rows x SUBS and rows x PARTS."""
     spark, size = known.sparkSession, counts.rows()
     w = [np.zeros((size, width), np.float32) for width in WIDTHS]
     before = shared = None
@@ -360,7 +390,7 @@ def trained(known: DataFrame, counts: Counts, rounds: int = ROUNDS) -> list[np.n
         if before is not None:
             parts = parts.unionByName(before.where("what = 'o'"))
         after = stored(merged(parts, counts.prior), "model")
-        for r in after.where("what = 'd'").toLocalIterator():  # 2 * SHARDS rows, one model
+        for r in after.where("what = 'd'").toLocalIterator():  # 3 * SHARDS rows, one model
             step = np.frombuffer(r["data"], "<f4").reshape(-1, WIDTHS[r["level"]])
             w[r["level"]][r["shard"] * len(step) : (r["shard"] + 1) * len(step)] += step
         if before is not None:
@@ -392,14 +422,14 @@ def score(docs: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
                 n = len(c.sizes)
                 p = np.empty(len(c.kind))
                 for a in range(0, len(p), BATCH):
-                    some = np.arange(a, min(a + BATCH, len(p)))
-                    kind = c.kind[some]
-                    own = chances(weights.value[0], counts.prior[0], c.nodes(0, some), c.rows(0, some, mask))
-                    p[some] = np.log10(np.maximum(own[np.arange(len(some)), kind], 1e-30))
-                    some = some[(kind > 0) & (kind < RARE)]
-                    own = chances(weights.value[1], counts.prior[1], c.nodes(1, some), c.rows(1, some, mask))
-                    p[some] += np.log10(np.maximum(own[np.arange(len(some)), c.sub[some]], 1e-30))
-                p += counts.inside(c.kind, c.sub, c.count)
+                    cut = np.arange(a, min(a + BATCH, len(p)))
+                    inner = cut[(c.kind[cut] > 0) & (c.kind[cut] < RARE)]
+                    for level, w in enumerate(weights.value):
+                        some = inner if level else cut
+                        own = chances(w, counts.prior[level], c.nodes(level, some), c.rows(level, some, mask))
+                        told = np.log10(np.maximum(own[np.arange(len(some)), c.target(level)[some]], 1e-30))
+                        p[some] = p[some] + told if level else told
+                p += counts.inside(c.kind, c.sub, c.part, c.count)
                 base = np.log10((c.count + 1) / (total + vocabulary + 1))
                 by_doc = lambda v: np.bincount(c.doc, v, minlength=n)
                 yield pa.RecordBatch.from_arrays(

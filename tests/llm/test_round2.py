@@ -143,18 +143,22 @@ def test_probabilities_sum_to_one(corpus):
     count = np.array([total[x] for x in words])
     kind = language.class_of_keys(keys, count, counts.total)
     sub = (keys & np.uint64(language.SUBS - 1)).astype(int)
+    part = language.part_of(language.short_of(keys)).astype(int)
     for seed in range(5):
         feature = [np.array([h], np.uint64) for h in np.random.default_rng(seed).integers(0, 1 << 62, 3)]
 
         class One(language.Chunk):
-            def __init__(self, k):
-                self.kind, self.features = np.array([k], np.uint8), feature
+            def __init__(self, k, s=0):
+                self.kind, self.sub, self.features = np.array([k], np.uint8), np.array([s], np.uint8), feature
 
-        first = language.chances(w[0], counts.prior[0], One(0).nodes(0, slice(None)), One(0).rows(0, slice(None), mask))[0]
+            def chances(self, level):
+                return language.chances(w[level], counts.prior[level], self.nodes(level, slice(None)), self.rows(level, slice(None), mask))[0]
+
+        first = One(0).chances(0)
         p = 0.0
-        for k, s, c in zip(kind, sub, count, strict=True):
-            second = language.chances(w[1], counts.prior[1], One(k).nodes(1, slice(None)), One(k).rows(1, slice(None), mask))[0][s] if 0 < k < language.RARE else 1.0
-            p += first[k] * second * 10 ** counts.inside(np.array([k]), np.array([s]), np.array([c]))[0]
+        for k, s, q, c in zip(kind, sub, part, count, strict=True):
+            inner = One(k).chances(1)[s] * One(k, s).chances(2)[q] if 0 < k < language.RARE else 1.0
+            p += first[k] * inner * 10 ** counts.inside(*(np.array([x]) for x in (k, s, q, c)))[0]
         assert math.isclose(p, 1, rel_tol=1e-4)
 
 

@@ -277,3 +277,27 @@ def test_minhash_hot_buckets_and_families_in_blocks(spark, monkeypatch):
     for hot in (6, 20_000):
         assert {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(df, n=4, hot=hot).collect()} == want
     assert 5 < len(set(want.values())) < len(texts)
+
+
+def test_history_tells_words_of_one_class_and_ending_apart(spark):
+    """Words of equal counts and endings follow one another in a fixed order: only parts can learn it."""
+    from gridloom.llm import language
+
+    words = [f"{x}{y}ing" for x in "bdfgklmn" for y in "aeio"]
+    r = random.Random(3)
+    after = dict(zip(words, words[1:] + words[:1], strict=True))
+    rows = []
+    for i in range(400):
+        w = r.choice(words)
+        text = [w]
+        for _ in range(39):
+            w = after[w]
+            text.append(w)
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = language.score(df).where("held_out AND n_known = n_tokens").collect()
+    n = sum(x["n_tokens"] for x in got)
+    assert n > 1_000
+    mean, base = (sum(x[c] for x in got) / n for c in ("score", "base_score"))
+    flat = {x["doc_id"]: x["score"] for x in language.score(df, rounds=0).collect()}
+    assert mean > base + 0.4 and mean > sum(flat[x["doc_id"]] for x in got) / n + 0.4, (mean, base)
