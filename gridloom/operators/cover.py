@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import geometry, relate, wkt
 from ..functions.predicates import SIDES
 from . import shapes
-from .partition import checkpointed
+from .partition import checkpointed, dealt, met
 
 #: Times that a border cell is quartered, from cells about as large as the polygon; segments of polygons compared in one call.
 DEPTH, AT_ONCE = 4, 200_000
@@ -80,7 +80,7 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cover(polygons: DataFrame) -> DataFrame:
     """Rows (row, depth, cx, cy, inner): disjoint cells of side 2 ** -depth that cover each of prepared() polygons."""
-    return polygons.where("dim = 2").select("row", "segs", *SIDES).mapInArrow(_covered, "row long, depth long, cx long, cy long, inner boolean")
+    return dealt(polygons.where("dim = 2").select("row", "segs", *SIDES)).mapInArrow(_covered, "row long, depth long, cx long, cy long, inner boolean")
 
 
 def points_in_shapes(points: DataFrame, polygons: DataFrame, *, boundary: str = "closed") -> DataFrame:
@@ -99,10 +99,10 @@ def points_in_shapes(points: DataFrame, polygons: DataFrame, *, boundary: str =
     spots = checkpointed(spots.withColumn("row", F.monotonically_increasing_id()))
     at = lambda c: F.floor(F.col(c) * F.pow(F.lit(2.0), F.col("depth"))).alias(f"c{c}")
     prefixes = spots.withColumn("depth", F.explode(F.array(*(F.lit(d) for d in depths)) if depths else F.array().cast("array<bigint>"))).select("id", F.col("row").alias("row_a"), "depth", at("x"), at("y"))
-    met = prefixes.join(cells.withColumnRenamed("row", "row_b"), ["depth", "cx", "cy"])
-    sure = met.where("inner").join(held.select(F.col("row").alias("row_b"), F.col("id").alias("id_b")), "row_b").select(F.col("id").alias("id_a"), "id_b")
+    found = met(prefixes, cells.withColumnRenamed("row", "row_b"), ["depth", "cx", "cy"])
+    sure = found.where("inner").join(held.select(F.col("row").alias("row_b"), F.col("id").alias("id_b")), "row_b").select(F.col("id").alias("id_a"), "id_b")
     corner = F.struct(*(F.col(c).alias(n) for n, c in zip(wkt.XY, "xyxy", strict=True)), F.lit(0).alias("part"))
     left = spots.select("row", "id", F.lit(0).alias("dim"), F.array(corner).cast(geometry.SEGMENTS).alias("segs"))
-    found = shapes.compared(left, held, met.where("NOT inner").select("row_a", "row_b"), deep=boundary == "open")
+    near = shapes.compared(left, held, found.where("NOT inner").select("row_a", "row_b"), deep=boundary == "open")
     test = shapes.intersects() if boundary == "closed" else F.col("a_inside")
-    return sure.unionByName(found.where(test).select("id_a", "id_b"))
+    return sure.unionByName(near.where(test).select("id_a", "id_b"))
