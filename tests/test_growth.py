@@ -9,6 +9,7 @@ from gridloom.operators import grouped, join, partition
 from gridloom.operators.cover import points_in_shapes
 from gridloom.operators.join import matched, nearest, spatial_join, tile_join
 from gridloom.operators.shapes import nearest_shapes, shape_join
+from gridloom.plans import catalog
 from pyspark.sql import functions as F
 
 from .test_joins import boxes, brute, closed, near, pairs, some
@@ -113,3 +114,26 @@ def test_semi_and_anti_stop_at_the_first_match(spark):
     assert pairs(semi) == sorted((i,) for i in hit)
     assert pairs(spatial_join(x, y, how="anti")) == sorted((r[0],) for r in a if r[0] not in hit)
     assert "SortMergeJoin" in plan(semi) and "Inner" not in "".join(line for line in plan(semi).splitlines() if "low0" in line and "Join" in line)
+
+
+def test_counts_in_sql_compare_equal_rectangles_once(spark):
+    a, b = some(11, 40) * 3, some(12, 50) * 2
+    counted = catalog.count_join(boxes(spark, [*a, (1, None, 1.0, 0.0, 1.0)]), boxes(spark, b))
+    assert counted.collect()[0]["n"] == len(brute(a, b, closed))
+    assert "NestedLoop" not in plan(counted) and "Cartesian" not in plan(counted)
+    assert catalog.count_join(boxes(spark, []), boxes(spark, b)).collect()[0]["n"] == 0
+
+
+def test_swept_ranges_give_their_pairs_in_parts(spark):
+    a, b = some(13, 60), some(14, 60)
+    found = spatial_join(boxes(spark, a), boxes(spark, b), algorithm="sweep")
+    assert pairs(found) == brute(a, b, closed)
+    # a cogroup would have to give one table for a range
+    assert "CoGroups" not in plan(found)
+
+
+def test_objects_that_descend_a_tree_are_dealt_to_all_tasks(spark):
+    a, b = some(15, 60), some(16, 400)
+    found = spatial_join(boxes(spark, a).coalesce(1), boxes(spark, b), algorithm="inlj", node_size=4)
+    assert pairs(found) == brute(a, b, closed)
+    assert "RoundRobinPartitioning(4)" in plan(found)
