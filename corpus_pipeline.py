@@ -20,9 +20,9 @@ def _measured(texts: DataFrame, like: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that neither the base test nor a learned rule rejects."""
-    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    judged, _ = quality.judge(whole, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=("doc_id", "row"))
-    return judged.where("kept").select("row.*")
+    whole = docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("row"))
+    judged, _ = quality.judge(whole, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=("doc_id", "row", "text"))
+    return judged.where("kept").select("row.*", "text").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

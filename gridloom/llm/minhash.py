@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .graph import components
 from .shared import bounded_batches, deal, stored
-from .text import coded, hashed, mixed, ragged, slices, windows, words_of
+from .text import PART, coded, hashed, mixed, ragged, slices, windows, words_of
 
 PERMUTATIONS, BANDS, ROWS, BITS = 128, 24, 5, 2
 LOOSE, COVER, TESTED = 0.4, 0.92, 0.55
@@ -99,7 +99,7 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", PART):
                 shingles, ends = shingle_sets(part.column(1), n)
                 size = np.diff(ends)
                 own = np.flatnonzero(size)
@@ -227,7 +227,7 @@ def candidates(reps: DataFrame, *, hot: int = HOT) -> DataFrame:
     other = leaders.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("width") - 1))).where("other <> salt")
     both = other.select("key", (F.least("salt", "other") * F.col("width") + F.greatest("salt", "other")).alias("pair"), F.col("a").alias("rep"), "sig", F.col("salt").alias("side"))
     crossed = both.select("key", F.col("pair").cast("int").alias("salt"), "rep", "sig", "side").repartition(deal(spark), "key", "salt").sortWithinPartitions("key", "salt", "rep").mapInArrow(meet, ddl)
-    return pairs.unionByName(crossed.select("a", "b"))
+    return pairs.unionByName(stored(crossed.select("a", "b"), "crossed"))
 
 
 FOUND = ["a", "b", "key", "salt", "sig"]
@@ -327,7 +327,8 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: int = 80, hot: in
     families = components(candidates(reps, hot=hot))
     roots = families.select(F.col("root").alias("node"), "root").distinct().unionByName(families)
     members = reps.select("rep", "fp1", "sig").join(roots, reps["rep"] == roots["node"]).select("rep", "fp1", "sig", "root")
-    joined = components(links(docs.select("doc_id", "text"), members, n, threshold))
+    # written, so that no task runs the verification's worker and that of the contraction side by side: idle workers keep their memory
+    joined = components(stored(links(docs.select("doc_id", "text"), members, n, threshold), "verified"))
     classes = reps.select(*same, "rep").join(joined, reps["rep"] == joined["node"], "left").select(*same, F.coalesce("root", "rep").alias("component"))
     out = marks.select("doc_id", *same).join(classes, same, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", F.col("doc_id").cast("long")))

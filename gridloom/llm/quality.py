@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .shared import bounded_batches, dropped, own_names, stored
-from .text import coded, covered, hashed, slices, windows, words_of
+from .text import PART, coded, covered, hashed, slices, windows, words_of
 
 MAX_LABELLED = 50_000
 WINDOW = 8
@@ -82,19 +82,19 @@ def statistics_of(text: pa.Array) -> dict[str, np.ndarray]:
 
 
 def statistics(docs: DataFrame, *, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """Rows of `keep` columns and STATS (bigint), one for each row of docs."""
+    """Rows of `keep` columns and STATS (bigint), one for each row of docs. A text that is kept travels once."""
     bounded_batches(docs.sparkSession)
-    kept = [f"_k{i}" for i in range(len(keep))]
+    kept = ["_text" if c == text_col else f"_k{i}" for i, c in enumerate(keep)]
     names = own_names(keep, [*STATS, "base_failed", "rule", "kept"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", PART):
                 stats = statistics_of(part.column("_text"))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *(pa.array(stats[s], pa.int64()) for s in STATS)], [*names, *STATS])
 
     schema = ", ".join([*(f"`{n}` {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True)), *(f"{s} bigint" for s in STATS)])
-    return docs.select(*(docs[c].alias(k) for c, k in zip(keep, kept, strict=True)), docs[text_col].alias("_text")).mapInArrow(run, schema)
+    return docs.select(*(docs[c].alias(k) for c, k in zip(keep, kept, strict=True) if c != text_col), docs[text_col].alias("_text")).mapInArrow(run, schema)
 
 
 #: What rules may ask for: ratios of the statistics, each over a divisor that is 1 at least, and plain counts.

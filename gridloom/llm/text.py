@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 import xxhash
 
 WORD_RE = r"[^\x20\x09-\x0D]+"
+#: Bytes of text that a step with many arrays for each word takes at once: they hold some 30 times that, and workers keep what they held.
+PART = 1 << 20
 #: Odd multiplier of the Rabin-Karp polynomial modulo 2**64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)

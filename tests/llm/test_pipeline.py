@@ -199,3 +199,55 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
             out = stage(spark, some, str(tmp_path))
             assert out.columns == docs.columns and out.dtypes == docs.dtypes
             out.collect()
+
+
+def test_judged_texts_travel_once(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from gridloom.llm import quality
+
+    docs = spark.createDataFrame([(1, "a b " * 20, 7), (2, None, 8)], "doc_id long, text string, more long")
+    found = quality.statistics(docs, keep=("more", "text"))
+    assert found._jdf.queryExecution().analyzed().children().head().output().size() == 2
+    assert sorted((r["more"], r["text"], r["n_words"]) for r in found.collect()) == [(7, "a b " * 20, 40), (8, None, 0)]
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen, plain = [], quality.statistics
+    monkeypatch.setattr(quality, "statistics", lambda t, **options: seen.append(t.schema) or plain(t, **options))
+    assert corpus_pipeline.quality_rules(spark, docs.select("more", "text", "doc_id"), str(tmp_path)).columns == ["more", "text", "doc_id"]
+    assert seen[0].simpleString().count("text:") == 1
+
+
+def test_parts_of_text_bound_what_a_worker_holds():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    from gridloom.llm import minhash, quality
+    from gridloom.llm.text import PART, slices
+
+    r = random.Random(1)
+    texts = [" ".join(str(r.randrange(20_000)) for _ in range(400)) for _ in range(2500)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "_text"])
+    assert sum(map(len, texts)) > 5 * PART
+
+    def signed(text):
+        shingles, ends = minhash.shingle_sets(text, 5)
+        minhash.signatures(shingles, ends[:-1][np.diff(ends) > 0])
+
+    for step in (quality.statistics_of, signed):
+        tracemalloc.start()
+        for part in slices(batch, "_text", PART):
+            step(part.column("_text"))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 48 * PART
+
+
+def test_verification_and_contraction_are_written_apart(spark, monkeypatch):
+    from gridloom.llm import minhash
+
+    seen, plain = [], minhash.components
+    monkeypatch.setattr(minhash, "components", lambda t: seen.append(t._jdf.queryExecution().optimizedPlan().toString()) or plain(t))
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " x"), (3, "other words")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(docs).collect()) == [(1, 1), (2, 1), (3, 3)]
+    assert len(seen) == 2 and not any("MapInArrow" in p for p in seen)
