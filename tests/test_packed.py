@@ -75,3 +75,15 @@ def test_light_tables_need_no_tree(spark):
     plan = spatial_join(boxes(spark, a), boxes(spark, b), algorithm="packed")
     assert pairs(plan) == brute(a, b, closed)
     assert "Arrow" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_boxes_are_one_row_of_a_tree(spark):
+    flat = np.array([[1, 0, 1, 1], [2, 5, 2, 2], [0, 0, 0, 0], [1, 1, 1, 2]], float)
+    order, starts = packed._equal(flat)
+    assert sorted(np.diff(starts).tolist()) == [1, 1, 2] and packed._lists(np.array([7, 8, 9, 10])[order], starts, np.array([2, 0])).flatten().to_pylist() != []
+    assert {frozenset(x) for x in packed._lists(np.array([7, 8, 9, 10])[order], starts, np.arange(3)).to_pylist()} == {frozenset({7, 9}), frozenset({8}), frozenset({10})}
+    a, b = ([(20 * i + k, float(i), i + 1.5, 0.0, 1.0) for i in range(4) for k in range(n)] for n in (12, 15))
+    x, y = valid(boxes(spark, a)), valid(boxes(spark, b))
+    found = packed.packed_join(x, y, partition.sized_grid(x, y, n0=1, n1=1), intersects() & (F.col("id_a") != F.col("id_b")), compared=10)
+    assert pairs(found.select("id_a", "id_b")) == [p for p in brute(a, b, closed) if p[0] != p[1]]
+    assert "Generate explode(id_a" in found._jdf.queryExecution().optimizedPlan().toString()
