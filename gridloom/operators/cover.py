@@ -3,7 +3,8 @@
 A polygon is covered by cells of a quadtree over the whole plane: inner ones, which lie wholly inside it, and ones that
 its border meets. Cells are sides of powers of two from the origin, so that a point's cell is exact at every depth and
 the cells above it are its prefixes. Points meet the cells of their prefixes by equality: in an inner cell they are in
-the polygon, and only those in a border cell are compared with its rings.
+the polygon, and only those in a border cell are compared with its rings. Equal points and equal polygons are one each
+until their ids are put in for the numbers of the pairs found.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import geometry, relate, wkt
 from ..functions.predicates import SIDES
 from . import shapes
+from .equal import merged, taken_apart
 from .partition import checkpointed, dealt, met
 
 #: Times that a border cell is quartered, from cells about as large as the polygon; segments of polygons compared in one call.
@@ -84,25 +86,27 @@ def cover(polygons: DataFrame) -> DataFrame:
 
 
 def points_in_shapes(points: DataFrame, polygons: DataFrame, *, boundary: str = "closed") -> DataFrame:
-    """Rows (id_a, id_b): points (id, x, y) in polygons (id, shape), borders included if closed; holes by the even-odd rule.
+    """Rows (id_a, id_b): points (id, x, y) in polygons (id, shape), or texts (id, wkt), borders included if closed; holes by the even-odd rule.
 
     Null, NaN and infinite coordinates match nothing, nor do null shapes, points or lines among them. Rows that repeat give
     pairs each; empty tables give none; further columns are not read.
     """
     if boundary not in ("closed", "open"):
         raise ValueError(f"boundary: {boundary}")
-    held = shapes.prepared(polygons)
+    held = shapes.merged(polygons).withColumnRenamed("id", "row")
     cells = checkpointed(cover(held))
     depths = [r["depth"] for r in cells.select("depth").distinct().collect()]  # one for each doubling of size at most
     finite = "abs(x) < double('infinity') AND abs(y) < double('infinity')"
-    spots = points.select(F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(finite)
-    spots = checkpointed(spots.withColumn("row", F.monotonically_increasing_id()))
+    spots = merged(points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(finite), "x", "y").withColumnRenamed("id", "row")
     at = lambda c: F.floor(F.col(c) * F.pow(F.lit(2.0), F.col("depth"))).alias(f"c{c}")
-    prefixes = spots.withColumn("depth", F.explode(F.array(*(F.lit(d) for d in depths)) if depths else F.array().cast("array<bigint>"))).select("id", F.col("row").alias("row_a"), "depth", at("x"), at("y"))
+    prefixes = spots.withColumn("depth", F.explode(F.array(*(F.lit(d) for d in depths)) if depths else F.array().cast("array<bigint>"))).select(F.col("row").alias("row_a"), "depth", at("x"), at("y"))
     found = met(prefixes, cells.withColumnRenamed("row", "row_b"), ["depth", "cx", "cy"])
-    sure = found.where("inner").join(held.select(F.col("row").alias("row_b"), F.col("id").alias("id_b")), "row_b").select(F.col("id").alias("id_a"), "id_b")
     corner = F.struct(*(F.col(c).alias(n) for n, c in zip(wkt.XY, "xyxy", strict=True)), F.lit(0).alias("part"))
-    left = spots.select("row", "id", F.lit(0).alias("dim"), F.array(corner).cast(geometry.SEGMENTS).alias("segs"))
-    near = shapes.compared(left, held, found.where("NOT inner").select("row_a", "row_b"), deep=boundary == "open")
+    # distinct points and polygons are compared by their numbers; their ids come last
+    left = spots.select("row", F.col("row").alias("id"), F.lit(0).alias("dim"), F.array(corner).cast(geometry.SEGMENTS).alias("segs"))
+    near = shapes.compared(left, held.withColumn("id", F.col("row")), found.where("NOT inner").select("row_a", "row_b"), deep=boundary == "open")
     test = shapes.intersects() if boundary == "closed" else F.col("a_inside")
-    return sure.unionByName(near.where(test).select("id_a", "id_b"))
+    pairs = found.where("inner").select("row_a", "row_b").unionByName(near.where(test).select(F.col("id_a").alias("row_a"), F.col("id_b").alias("row_b")))
+    for t, x in ((spots, "a"), (held, "b")):
+        pairs = met(pairs, t.select(F.col("row").alias(f"row_{x}"), F.col("ids").alias(f"ids_{x}")), [f"row_{x}"])
+    return taken_apart(pairs.select("ids_a", "ids_b"))

@@ -3,6 +3,7 @@
 import pyarrow as pa
 import pytest
 from gridloom.operators import equal, grouped, shapes
+from gridloom.operators.cover import points_in_shapes
 from gridloom.operators.shapes import nearest_shapes, shape_join
 from pyspark.sql import functions as F
 
@@ -70,3 +71,20 @@ def test_long_lists_of_ids_meet_in_pieces(monkeypatch):
     assert all(max(b.column(c).value_lengths().to_pylist()) <= 3 for b in batches for c in ("ids_a", "ids_b"))
     got = sorted((x, y) for b in batches for r in b.to_pylist() for x in r["ids_a"] for y in r["ids_b"])
     assert got == sorted((x, y) for m, o in zip(i, j, strict=True) for x in range(40) if x % 2 == m for y in range(25) if y % 3 == o)
+
+
+@pytest.mark.parametrize("boundary", ["closed", "open"])
+def test_equal_points_and_polygons_are_compared_once(spark, monkeypatch, boundary):
+    asked, whole = [], shapes.compared
+
+    def compared(left, right, near, **options):
+        asked.append(near.count())
+        return whole(left, right, near, **options)
+
+    monkeypatch.setattr(shapes, "compared", compared)
+    spots = [(i, float(i % 4), 1.0) for i in range(40)] + [(None, 1.0, 1.0)]
+    ring = squares(spark, [(i, 0.0, 2.0, 0.0, 2.0) for i in range(30)])
+    inside = lambda x: 0 <= x <= 2 if boundary == "closed" else 0 < x < 2
+    found = pairs(points_in_shapes(spark.createDataFrame(spots, "id long, x double, y double"), ring, boundary=boundary).na.fill(-1))
+    assert found == sorted((-1 if i is None else i, j) for i, x, _ in spots if inside(x) for j in range(30))
+    assert asked[0] <= 4
