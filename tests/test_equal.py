@@ -2,13 +2,14 @@
 
 import pyarrow as pa
 import pytest
-from gridloom.operators import equal, grouped, shapes
+from gridloom.operators import equal, grouped, join, shapes
 from gridloom.operators.cover import points_in_shapes
+from gridloom.operators.join import spatial_join
 from gridloom.operators.shapes import nearest_shapes, shape_join
 from pyspark.sql import functions as F
 
 from .test_growth import squares
-from .test_joins import brute, closed, near, pairs, some
+from .test_joins import boxes, brute, closed, near, pairs, some
 
 
 def counted(monkeypatch, module, name, counts):
@@ -88,3 +89,22 @@ def test_equal_points_and_polygons_are_compared_once(spark, monkeypatch, boundar
     found = pairs(points_in_shapes(spark.createDataFrame(spots, "id long, x double, y double"), ring, boundary=boundary).na.fill(-1))
     assert found == sorted((-1 if i is None else i, j) for i, x, _ in spots if inside(x) for j in range(30))
     assert asked[0] <= 4
+
+
+@pytest.mark.parametrize("name", ["intersects", "distance"])
+def test_equal_rectangles_of_unlike_extents_are_joined_as_one(spark, monkeypatch, name):
+    distinct, whole = [], join.leveled
+
+    def leveled(x, y, *rest):
+        distinct.append((x.count(), y.count()))
+        return whole(x, y, *rest)
+
+    monkeypatch.setattr(join, "leveled", leveled)
+    a = [(i, 0.0, 900.0, 5.0 * (i % 2), 5.0 * (i % 2) + 1) for i in range(20)] + [(100 + i, *r[1:]) for k in range(3) for i, r in enumerate(some(3, 40))]
+    b = [(i, *r[1:]) for k in range(4) for i, r in enumerate(some(4, 50))]
+    x, y = boxes(spark, [*a, (7, None, 1.0, 0.0, 1.0)]), boxes(spark, b)
+    options = {"predicate_name": name, "distance": 7.0, "n": 32}
+    test = closed if name == "intersects" else near
+    assert pairs(spatial_join(x, y, **options)) == brute(a, b, test)
+    assert pairs(spatial_join(x, y, exclude_self=True, **options)) == [(i, j) for i, j in brute(a, b, test) if i != j]
+    assert distinct == [(len({r[1:] for r in a}), len({r[1:] for r in b}))] * 2
